@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_mix": mixing.op8_mix,
 }
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op8_mix": mixing.ORACLE,
 }
