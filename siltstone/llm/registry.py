@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, minhash, mixing, quality_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_mix": mixing.op8_mix,
+    "op9_minhash": minhash.op9_minhash,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_mix": mixing.ORACLE,
+    "op9_minhash": minhash.ORACLE,
 }
