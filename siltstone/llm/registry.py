@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, quality_rules
+from . import line_dedup, minhash, mixing, packing, quality_rules
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_mix": mixing.op8_mix,
