@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, materialise, minhash, mixing, packing, quality_rules
+from . import lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_training_order": materialise.op6_training_order,
     "op8_mix": mixing.op8_mix,
     "op9_minhash": minhash.op9_minhash,
+    "op10_lattice": lattice.op10_lattice,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_mix": mixing.ORACLE,
     "op9_minhash": minhash.ORACLE,
+    "op10_lattice": lattice.ORACLE,
 }
