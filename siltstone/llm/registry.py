@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules
+from . import lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_training_order": materialise.op6_training_order,
     "op8_mix": mixing.op8_mix,
     "op9_minhash": minhash.op9_minhash,

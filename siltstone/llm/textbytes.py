@@ -16,6 +16,8 @@ _BLOCK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: All ASCII that is no letter or digit, for words without marks.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
@@ -52,27 +54,31 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts), dtype=np.uint8), starts
 
 
-def words(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word of ``data``, which must end with a space character."""
+def words(data: np.ndarray, lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word of ``data``, which must end with a space character.
+
+    With ``marks``, all ASCII other than letters and digits separates words.
+    """
+    between = _IS_MARK if marks else _IS_SPACE
     found, at = [], 0
     while at < len(data):
         upto = min(at + _BLOCK, len(data))
         if upto < len(data):
-            spaces = np.flatnonzero(_IS_SPACE[data[at:upto]])
+            spaces = np.flatnonzero(between[data[at:upto]])
             upto = at + int(spaces[-1]) + 1 if len(spaces) else upto
-            while not _IS_SPACE[data[upto - 1]]:  # a word longer than a block
-                more = np.flatnonzero(_IS_SPACE[data[upto : upto + _BLOCK]])
+            while not between[data[upto - 1]]:  # a word longer than a block
+                more = np.flatnonzero(between[data[upto : upto + _BLOCK]])
                 upto = upto + int(more[0]) + 1 if len(more) else min(upto + _BLOCK, len(data))
-        found.append((at, *_words(data[at:upto], lower)))
+        found.append((at, *_words(data[at:upto], lower, between)))
         at = upto
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate([a + s for a, s, _, _ in found]), np.concatenate([a + e for a, _, e, _ in found]), np.concatenate([h for *_, h in found])
 
 
-def _words(block: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(block: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values, up, down = _tables()
-    space = _IS_SPACE[block]
+    space = between[block]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -104,3 +110,14 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
         if b > a:
             yield batch.slice(int(a), int(b - a))
+
+
+def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the first ``length`` bytes (A-Z lower-cased) of each word; of all of a shorter word."""
+    values, _, _ = _tables()
+    out = np.full(len(start), np.uint64(length), dtype=np.uint64)
+    for k in range(length):
+        inside = start + k < end
+        byte = values[_LOWER[data[np.where(inside, start + k, start)]]]
+        out = np.where(inside, (out + byte) * _P, out)
+    return mix(out)
