@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity
+from . import attention, lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_training_order": materialise.op6_training_order,
+    "op7_attention": attention.op7_attention,
     "op8_mix": mixing.op8_mix,
     "op9_minhash": minhash.op9_minhash,
     "op10_lattice": lattice.op10_lattice,
