@@ -160,6 +160,11 @@ def materialise(docs: DataFrame, folder: str, how: Order, text: str = "text") ->
     return done.select("index", "slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard * (2 * how.length)).alias("byte_offset"), F.col("n_tokens").cast("long").alias("n_tokens"), "crc32")
 
 
+def as_uri(folder: str) -> str:
+    """A folder's name with its scheme."""
+    return folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     from pyarrow import fs
 
@@ -185,7 +190,4 @@ def read_from(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of 2048 ids, written in training order to the shared folder."""
-    folder = shared_dir(spark)
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    return materialise(table(spark, sf_dir, "documents"), f"{folder}/training-order-{uuid.uuid4().hex}", Order(tokenizer_path()))
+    return materialise(table(spark, sf_dir, "documents"), f"{as_uri(shared_dir(spark))}/training-order-{uuid.uuid4().hex}", Order(tokenizer_path()))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import attention, lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity
+from . import attention, lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_training_order": materialise.op6_training_order,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_mix": mixing.ORACLE,
     "op9_minhash": minhash.ORACLE,
