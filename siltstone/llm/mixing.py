@@ -48,17 +48,21 @@ def _weight(level: str, mix: Mix) -> Column:
 def leaf_budgets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """Leaf sizes (levels, size) -> (levels, size, budget), tokens that are dealt in whole numbers."""
     leaves = sizes.withColumn("cap", F.col("size") * mix.max_epochs)
-    dealt = leaves.agg(F.floor(F.sum("size") * mix.budget_percent / 100).cast("long").alias("budget")).withColumn("root", F.lit(0))
-    above: list[str] = ["root"]
-    leaves = leaves.withColumn("root", F.lit(0))
+    above: list[str] = []
+    dealt = None
     for level in mix.levels:
-        nodes = leaves.groupBy(*above, level).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, mix)).join(dealt, above)
+        nodes = leaves.groupBy(*above, level).agg(F.sum("cap").alias("cap"), F.sum("size").alias("size")).withColumn("w", _weight(level, mix))
+        family = Window.partitionBy(*above)
+        if dealt is None:
+            nodes = nodes.withColumn("budget", F.floor(F.sum("size").over(family) * mix.budget_percent / 100).cast("long"))
+        else:
+            nodes = nodes.join(dealt, above)
         # siblings in the order in which they fill up
-        order = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), level)
+        order = family.orderBy(F.col("cap") / F.col("w"), level)
         nodes = nodes.withColumn("rest", F.col("budget") - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         nodes = nodes.withColumn("weights", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
         full = F.col("cap") * F.col("weights") <= F.col("w") * F.col("rest")
-        first = F.min(F.when(~full, F.struct(F.col("cap") / F.col("w"), level, "rest", "weights"))).over(Window.partitionBy(*above))
+        first = F.min(F.when(~full, F.struct(F.col("cap") / F.col("w"), level, "rest", "weights"))).over(family)
         nodes = nodes.withColumn("full", full).withColumn("first", first)
         share = F.when(F.col("full"), F.col("cap")).otherwise(F.expr("w * first.rest div first.weights"))
         above = [*above, level]
