@@ -17,8 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     Rows with a null label or key, and labels without a document, are left out.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    chosen = chosen.groupBy(key).agg(F.max(label).alias("label")).orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("__key"), "label")
-    return docs.join(chosen, F.col(key) == F.col("__key")).select(F.col(text).alias("text"), F.col("label").cast("int").alias("label"))
+    chosen = chosen.groupBy(key).agg(F.max(label).alias("__label")).orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("__key"), "__label")
+    return docs.join(chosen, F.col(key) == F.col("__key")).select(F.col(text).alias("text"), F.col("__label").cast("int").alias("label"))
 
 
 def fitted(features: DataFrame, fit) -> bytes:
