@@ -82,7 +82,7 @@ class Index:
         numbered = meta if ids else U.with_ids(meta, 0)
         numbered.select("file_id", "path", "mtime_ns", "size", "content_hash").write.mode("overwrite").parquet(self.store.at(name, "files"))
         files = self.spark.read.schema(U.FILES).parquet(self.store.at(name, "files"))
-        content = ok.select(F.col(ids).cast("long").alias("file_id"), "content") if ids else ok.join(files.select("path", "file_id"), "path").select("file_id", "content")
+        content = ok.select(F.col(ids).cast("long").alias("file_id"), "content") if ids else corpus.join(files.select("path", "file_id"), "path").select("file_id", "content")
         self._write_postings(name, P.inverted(content))
         last = files.agg(F.max("file_id")).first()[0] or 0
         self._commit({"generation": number, "files": [name], "postings": [name], "last_id": last, "batches": []})
