@@ -163,8 +163,7 @@ def summary(files: DataFrame, postings: DataFrame) -> DataFrame:
     from ..functions.codec import encoded_size
 
     lists = postings.agg(F.count_distinct("trigram").alias("distinct_trigrams"), F.sum(F.size("ids")).cast("long").alias("pairs"), F.sum(encoded_size(F.col("ids"))).cast("long").alias("bytes"))
-    n = files.agg(F.count("*").alias("files"))
-    return n.withColumn("k", F.lit(1)).join(lists.withColumn("k", F.lit(1)), "k").select("files", "distinct_trigrams", "pairs", "bytes")
+    return lists.select(F.lit(files.count()).cast("long").alias("files"), "distinct_trigrams", "pairs", "bytes")
 
 
 def search_index(index: Index, corpus: DataFrame, pattern: str, ignore_case: bool = False, update: bool = False, with_spans: bool = False) -> DataFrame:
