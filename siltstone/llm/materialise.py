@@ -152,7 +152,8 @@ def materialise(docs: DataFrame, folder: str, how: Order, text: str = "text") ->
     n = cut.count()
     per_shard = max(1, how.shard_bytes // (2 * how.length))
     shards = max(1, -(-n // per_shard))
-    rows = cut.join(offsets, "part").withColumn("index", F.col("before") + F.col("number"))
+    # 12 bytes for each input partition; beyond 100,000 of them Spark chooses the join
+    rows = cut.join(F.broadcast(offsets) if cut.rdd.getNumPartitions() <= 100_000 else offsets, "part").withColumn("index", F.col("before") + F.col("number"))
     rows = rows.withColumn("slot", slot_of(F.col("index"), max(n, 1), how.key, how.rounds))
     ranged = rows.select("index", "slot", "n_tokens", "payload").repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
     _put(folder, "order.json", json.dumps({"sequences": n, "length": how.length, "per_shard": per_shard, "stride": 2 * how.length, "dtype": "<u2", "key": how.key, "rounds": how.rounds}).encode())
