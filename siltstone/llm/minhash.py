@@ -14,7 +14,10 @@ are verified in rounds, each on the full shingle sets:
 2. in tables that still hold several components, each vertex against the table's centre;
 3. in tables that then still hold several components, all pairs from different ones.
 
-So no link between different components is left out, while pairs inside a component
+From round 2 on, pairs are left out that cannot be links because too little of one of the
+two texts occurs in any other text left at that point. The bound is exact, and it takes
+away the copies of a group that have so many changes of their own that they link with
+nothing. So no link between different components is left out, while pairs inside a component
 are never listed. Sketches of one byte for each minhash discard pairs whose estimate is
 6.5 standard deviations below the threshold before sets are fetched.
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import checkpointed, table
+from .common import checkpointed, release, table
 from .graph import components
 
 
@@ -120,6 +123,12 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The entries of tables that hold more than one component."""
+    some = entries.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("t")
+    return entries.join(some, "t", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 12, rows: int = 3) -> DataFrame:
     """(key, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -148,6 +157,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = vertices.select("id", F.col("text_hash").alias("h")).join(involved, "id", "left_semi")
     found = own.join(texts, (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
     sets = checkpointed(shingle_sets(found.select(F.col("key").alias("id"), "text"), width))
+    release(docs.sparkSession)
     sketches = vertices.select("id", "sketch")
     count = 2 * bands * rows
     share = percent / 100
@@ -161,27 +171,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         shared = F.size(F.array_intersect("set_a", "set_b"))
         return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
 
-    near = F.expr(f"100 * n_hi >= {percent} * o_lo and 100 * o_hi >= {percent} * n_lo")
-    links = None
-    component = None
-    tested = None
+    near = F.expr(f"100 * n_hi >= {percent} * o_lo and 100 * o_hi >= {percent} * n_lo and {100 + percent} * least(m, o_m) >= {percent} * (n_lo + o_lo)")
+    links = component = tested = None
+    entries = entries.withColumn("m", F.col("n_hi"))
     for step in range(3):
+        now = entries.withColumn("component", F.col("id"))
         if component is not None:
             now = entries.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("t")
-            entries = checkpointed(now.join(mixed, "t", "left_semi").drop("component"))
-            now = entries.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            now = entries.withColumn("component", F.col("id"))
+            now = checkpointed(_mixed(now))
+        if step == 1:
+            # What a text shares with any other text left here bounds what it shares with one:
+            # a link needs (100 + percent) * intersection >= percent * (sum of the sizes).
+            item = sets.join(now.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("x"))
+            common = item.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("x")
+            most = item.join(common, "x", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
+            now = checkpointed(_mixed(now.drop("m").join(most, "id").filter(F.col("m") * 100 >= percent * F.col("n_lo"))))
+        entries = now.drop("component")
         if step < 2:
-            centre = now.groupBy("t").agg(F.max(F.struct("pop", "id", "n_lo", "n_hi", "component")).alias("m")).select("t", F.col("m.id").alias("o"), F.col("m.n_lo").alias("o_lo"), F.col("m.n_hi").alias("o_hi"), F.col("m.component").alias("oc"))
-            to_centre = now.join(centre, "t").filter(near & (F.col("id") != F.col("o")) & (F.col("component") != F.col("oc")))
-            candidates = to_centre.groupBy("id", "o").agg(F.count("*").alias("c"))
+            centre = now.groupBy("t").agg(F.max(F.struct("pop", "id", "n_lo", "n_hi", "m", "component")).alias("c"))
+            other = centre.select("t", F.col("c.id").alias("o"), F.col("c.n_lo").alias("o_lo"), F.col("c.n_hi").alias("o_hi"), F.col("c.m").alias("o_m"), F.col("c.component").alias("oc"))
+            candidates = now.join(other, "t").filter(near & (F.col("id") != F.col("o")) & (F.col("component") != F.col("oc")))
             if step == 0:
-                best = candidates.groupBy("id").agg(F.max(F.struct("c", "o")).alias("m"))
-                candidates = best.select("id", F.col("m.o").alias("o"))
+                often = candidates.groupBy("id", "o").agg(F.count("*").alias("c"))
+                candidates = often.groupBy("id").agg(F.max(F.struct("c", "o")).alias("c")).select("id", F.col("c.o").alias("o"))
         else:
-            other = now.select("t", F.col("id").alias("o"), F.col("n_lo").alias("o_lo"), F.col("n_hi").alias("o_hi"), F.col("component").alias("oc"))
+            other = now.select("t", F.col("id").alias("o"), F.col("n_lo").alias("o_lo"), F.col("n_hi").alias("o_hi"), F.col("m").alias("o_m"), F.col("component").alias("oc"))
             candidates = now.join(other, "t").filter(near & (F.col("id") < F.col("o")) & (F.col("component") != F.col("oc")))
         candidates = candidates.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
         if tested is not None:
@@ -191,6 +205,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         new = checkpointed(verified(candidates))
         links = new if links is None else links.union(new)
         component = checkpointed(components(links))
+        release(docs.sparkSession)
     final = component.select(F.col("id").alias("__id"), "component")
     groups = vertices.select(F.col("n").alias("n_shingles"), "s1", "s2", "id").join(final, F.col("id") == F.col("__id"), "left")
     groups = groups.select(F.col("n_shingles").alias("gn"), F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.coalesce("component", "id").alias("component"))
