@@ -24,9 +24,11 @@ def components(links: DataFrame) -> DataFrame:
     now = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     while not _is_stars(now):
         both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"))
+        # written before the join, so that Spark can split the neighbours of a hub
+        least = checkpointed(both.groupBy("v").agg(F.least("v", F.min("u")).alias("m")))
         large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.filter("m < v").select("v", F.col("m").alias("u"))).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         now = checkpointed(small.filter("v <> u").distinct())
         release(now.sparkSession)

@@ -5,21 +5,17 @@ keys by pairing, so 2 * bands * rows minhashes do the work of bands * bands * 2
 pair of similarity s shares a table with probability (1 - (1 - s^rows)^bands)^2: 0.9996 at
 0.8 and 0.99999 at 0.86 with the defaults.
 
-Texts with the same shingle set are one vertex from the start. Sub-keys that only one
-vertex has are dropped before pairing, which leaves nothing of most documents. Candidates
-are verified in rounds, each on the full shingle sets:
+Texts with the same shingle set (by a 128-bit digest of the whole set) are one vertex from the
+start. Candidates share a table, and each is verified on the full shingle sets, in two rounds:
 
 1. each vertex against the vertex that is central in most of its tables (central: in
    the largest tables), which settles groups of copies without pairing their members;
-2. in tables that still hold several components, each vertex against the table's centre;
-3. in tables that then still hold several components, all pairs from different ones.
+2. in tables that still hold several components, the pairs from different ones that pass
+   an exact prefix filter (see ``prefix_candidates``). Copies with so many changes of their
+   own that they link with nothing have only rare items in their prefix, and meet nobody.
 
-From round 2 on, pairs are left out that cannot be links because too little of one of the
-two texts occurs in any other text left at that point. The bound is exact, and it takes
-away the copies of a group that have so many changes of their own that they link with
-nothing. So no link between different components is left out, while pairs inside a component
-are never listed. Sketches of one byte for each minhash discard pairs whose estimate is
-6.5 standard deviations below the threshold before sets are fetched.
+So no link between different components is left out, while pairs inside a component are never
+listed. Sets hold 64-bit hashes of shingles.
 
 Null texts and texts without words have no shingle and link with nothing. A row whose key
 is null is kept, with a null component. Rows of one key and different texts are judged
@@ -28,15 +24,13 @@ by their own texts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .common import checkpointed, release, table
@@ -72,7 +66,7 @@ def _least(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, n_shingles, s1, s2, a, b, sketch) of (key, text); s1 and s2 identify the set."""
+    """(key, n_shingles, digest, a, b) of (key, text); the digest names the whole set."""
     key = docs.schema["key"].dataType
     count = 2 * bands * rows
 
@@ -81,21 +75,19 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         place = tb.spread(7, rows) | np.uint64(1)
         for whole in batches:
             for batch in tb.pieces(whole, "text"):
-                n, s1, s2 = (np.zeros(batch.num_rows, dtype=np.uint64) for _ in range(3))
+                n = np.zeros(batch.num_rows, dtype=np.int64)
                 least = np.zeros((batch.num_rows, count), dtype=np.uint64)
+                digests = []
                 for k, found in enumerate(_document_sets(batch, width)):
+                    digests.append(blake2b(found.tobytes(), digest_size=16).digest())
                     if len(found):
-                        n[k], s1[k], s2[k] = len(found), found.sum(dtype=np.uint64), tb.mix(found + np.uint64(1)).sum(dtype=np.uint64)
-                        least[k] = _least(found, factors)
+                        n[k], least[k] = len(found), _least(found, factors)
                 sub = tb.mix((least.reshape(-1, 2 * bands, rows) * place).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 offsets = np.arange(0, batch.num_rows * bands + 1, bands, dtype=np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).reshape(-1))) for x in (sub[:, :bands], sub[:, bands:])]
-                sketch = np.ascontiguousarray((least >> np.uint64(56)).astype(np.uint8))
-                sketch = pa.array([x.tobytes() for x in sketch], pa.binary())
-                longs = [pa.array(x.view(np.int64)) for x in (n, s1, s2)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *longs, *lists, sketch], names=["key", "n_shingles", "s1", "s2", "a", "b", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(digests, pa.binary()), *lists], names=["key", "n_shingles", "digest", "a", "b"])
 
-    return docs.select("key", "text").mapInArrow(run, f"key {key.simpleString()}, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, sketch binary")
+    return docs.select("key", "text").mapInArrow(run, f"key {key.simpleString()}, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -114,102 +106,127 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {key.simpleString()}, n long, items array<long>")
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-    """In how many bytes two sketches of one length are equal."""
-    if not len(x):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (x, y))
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
+def _several(rows: DataFrame, group: list[str], what: str) -> DataFrame:
+    """The groups that hold more than one value of ``what``."""
+    return rows.groupBy(*group).agg(F.min(what).alias("lo"), F.max(what).alias("hi")).filter("lo < hi").select(*group)
 
 
-def _mixed(entries: DataFrame) -> DataFrame:
-    """The entries of tables that hold more than one component."""
-    some = entries.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("t")
-    return entries.join(some, "t", "left_semi")
+def _only(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the given groups. These are written first, so that both sides of the join
+    are shuffled for it and Spark can split a group with very many rows."""
+    return rows.join(checkpointed(groups), by, "left_semi")
+
+
+def table_entries(vertices: DataFrame, bands: int) -> DataFrame:
+    """(id, n_lo, n_hi, t): the tensored tables that a vertex shares with another one.
+
+    A table key combines a sub-key of the first collection with one of the second. Sub-keys
+    that only one vertex has can't be shared and go before they are paired.
+    """
+    sub = vertices.select("id", "n", F.posexplode(F.concat("a", "b")).alias("i", "x"))
+    mine = _only(sub, _several(sub, ["i", "x"], "id"), ["i", "x"]).groupBy("id").agg(F.collect_list(F.struct("i", "x")).alias("own"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    first, second = F.expr(f"filter(own, s -> s.i < {bands})"), F.expr(f"filter(own, s -> s.i >= {bands})")
+    paired = mine.select("id", "n_lo", "n_hi", F.explode(first).alias("p"), second.alias("q")).select("id", "n_lo", "n_hi", "p", F.explode("q").alias("q"))
+    entries = checkpointed(paired.select("id", "n_lo", "n_hi", F.xxhash64("p.i", "p.x", "q.i", "q.x").alias("t")))
+    return checkpointed(_only(entries, _several(entries, ["t"], "id"), ["t"]))
+
+
+def central_candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each vertex with the one that is central in most of its tables."""
+    sizes = checkpointed(entries.groupBy("t").agg(F.count("*").alias("c")))
+    reach = entries.select("id", "t").join(sizes, "t").groupBy("id").agg(F.sum("c").alias("reach"))
+    known = checkpointed(entries.join(reach, "id"))
+    centre = checkpointed(known.groupBy("t").agg(F.max(F.struct("reach", "id", "n_lo", "n_hi")).alias("c")))
+    beside = known.select("id", "n_lo", "n_hi", "t").join(centre, "t").filter(f"id <> c.id and 100 * n_hi >= {percent} * c.n_lo and 100 * c.n_hi >= {percent} * n_lo")
+    often = beside.groupBy("id", F.col("c.id").alias("o")).agg(F.count("*").alias("c"))
+    chosen = often.groupBy("id").agg(F.max(F.struct("c", "o")).alias("c"))
+    return chosen.select(F.least("id", "c.o").alias("a"), F.greatest("id", "c.o").alias("b")).distinct()
+
+
+def _ranked_items(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(id, c, n, x, i): the first items of each set, rarest first; i is the item's rank from 0.
+
+    Items of one set only need no row, but count in the ranks of those behind them.
+    """
+    item = checkpointed(sets.join(component, "id").select("id", "h", "n", "c", F.explode("items").alias("x")))
+    often = checkpointed(item.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"))
+    shared = item.join(often, "x").groupBy("id", "h", "n", "c").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common"))
+    shared = shared.withColumn("own", F.col("n") - F.size("common"))
+    # a set's partner has at least percent of its items, and all but (100 - percent) of them in common
+    within = F.expr(f"slice(common, 1, cast(greatest(0, {100 - percent} * n div 100 + 1 - own) as int))")
+    return shared.select("id", "c", "n", "own", F.posexplode(within).alias("k", "e")).select("id", "c", "n", F.col("e.x").alias("x"), (F.col("own") + F.col("k")).alias("i"))
+
+
+def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that may be links, by an exact prefix filter.
+
+    All sets are ordered in one way, rarest items first. A link has an overlap of
+    percent * (sum of sizes) / (100 + percent) at least, so the first item that the two
+    have in common can't stand behind more than (size - overlap) others in either. For an item
+    of the larger set, its rank so leaves a range of sizes for the smaller one; sizes
+    meet in steps of 5 %. Where most entries of an item and step are of one component,
+    these are met with the others only.
+    """
+    ranked = checkpointed(_ranked_items(sets, component, percent))
+    step = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
+    # the smaller one: overlap >= 2 * percent / (100 + percent) of its size
+    small = ranked.filter(f"{100 + percent} * (n - i) >= {2 * percent} * n").withColumn("q", step)
+    upto = f"least(n, ({100 + percent} * (n - i)) div {percent} - n)"
+    large = ranked.withColumn("most", F.expr(upto)).withColumn("least", F.expr(f"greatest(1, n * {percent} div 100)")).filter("most >= least")
+    steps = F.sequence(F.floor(F.log("least") / F.log(F.lit(1.05))).cast("int"), F.floor(F.log("most") / F.log(F.lit(1.05))).cast("int"))
+    large = large.select("id", "c", "n", "x", "i", F.explode(steps).alias("q"))
+    entries = checkpointed(small.select("x", "q", "id", "c", "n", "i", F.lit(False).alias("is_large")).union(large.select("x", "q", "id", "c", "n", "i", F.lit(True))))
+    each = entries.groupBy("x", "q", "c").agg(F.count("*").alias("m"), F.max("is_large").alias("l"), F.min("is_large").alias("s"))
+    most = each.groupBy("x", "q").agg(F.max(F.struct("m", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("l").alias("l"), F.min("s").alias("s"))
+    most = checkpointed(most.filter("lo < hi and l and not s").select("x", "q", F.col("top.c").alias("top")))
+    met = checkpointed(entries.join(most, ["x", "q"]).withColumn("is_top", F.col("c") == F.col("top")).drop("top"))
+    one, other = met.filter("is_large").drop("is_large"), met.filter("not is_large").drop("is_large").select("x", "q", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "n", "i", "is_top")])
+    fits = F.expr(f"c <> o_c and n >= o_n and {100 + percent} * least(n - i, o_n - o_i) >= {percent} * (n + o_n)")
+    found = [one.filter("not is_top").join(other, ["x", "q"]).filter(fits), one.filter("is_top").join(other.filter("not o_is_top"), ["x", "q"]).filter(fits)]
+    found = [f.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")) for f in found]
+    return found[0].union(found[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 12, rows: int = 3) -> DataFrame:
     """(key, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Links: 100 * intersection >= percent * union of the sets of ``width``-word shingles of
-    texts with A-Z lower-cased (with fewer words: all words as one shingle).
+    texts with A-Z lower-cased (with fewer words: all words as one shingle). Rows that
+    repeat key and text are one document, so they are kept or not together; other columns
+    of ``docs`` are not read. An empty table gives an empty result.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    own = source.select("key", "text", "text_hash")
     # the hash travels with the key, so that rows of one key stay apart
-    signed = checkpointed(signatures(own.select(F.struct("key", "text_hash").alias("key"), "text"), width, bands, rows)).select(F.col("key.key").alias("key"), F.col("key.text_hash").alias("text_hash"), "n_shingles", "s1", "s2", "a", "b", "sketch")
-    vertices = signed.filter("n_shingles > 0 and key is not null").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("key", "text_hash")).alias("k"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch"))
-    vertices = checkpointed(vertices.select(F.col("k.key").alias("id"), F.col("k.text_hash").alias("text_hash"), F.col("n_shingles").alias("n"), "s1", "s2", "a", "b", "sketch"))
-
-    # sub-keys of two vertices or more, then their pairs as table keys
-    sub = vertices.select("id", F.posexplode(F.concat("a", "b")).alias("i", "x"))
-    shared = sub.groupBy("i", "x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("i", "x")
-    mine = sub.join(shared, ["i", "x"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("i", "x")).alias("own"))
-    pairs = F.expr(f"filter(own, s -> s.i < {bands})"), F.expr(f"filter(own, s -> s.i >= {bands})")
-    entries = mine.select("id", F.explode(pairs[0]).alias("p"), pairs[1].alias("q")).select("id", "p", F.explode("q").alias("q")).select("id", F.xxhash64("p.i", "p.x", "q.i", "q.x").alias("t"))
-    entries = checkpointed(entries)
-    sizes = entries.groupBy("t").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("t", "c")
-    crowded = entries.join(sizes, "t")
-    central = crowded.groupBy("id").agg(F.sum("c").alias("pop"))
-    entries = checkpointed(crowded.select("id", "t").join(central, "id").join(vertices.groupBy("id").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "id"))
-    involved = entries.select("id").distinct()
-    texts = vertices.select("id", F.col("text_hash").alias("h")).join(involved, "id", "left_semi")
-    found = own.join(texts, (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
-    sets = checkpointed(shingle_sets(found.select(F.col("key").alias("id"), "text"), width))
+    signed = checkpointed(signatures(source.select(F.struct("key", "text_hash").alias("key"), "text"), width, bands, rows)).select(F.col("key.key").alias("key"), F.col("key.text_hash").alias("text_hash"), "n_shingles", "digest", "a", "b")
+    vertices = signed.filter("n_shingles > 0 and key is not null").groupBy("n_shingles", "digest").agg(F.min(F.struct("key", "text_hash")).alias("k"), F.first("a").alias("a"), F.first("b").alias("b"))
+    vertices = checkpointed(vertices.select(F.col("k.key").alias("id"), F.col("k.text_hash").alias("h"), F.col("n_shingles").alias("n"), "digest", "a", "b"))
+    entries = table_entries(vertices, bands)
+    texts = vertices.select("id", "h").join(entries.select("id").distinct(), "id", "left_semi")
+    found = source.join(texts, (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
+    sets = checkpointed(shingle_sets(found.select(F.struct("key", "text_hash").alias("id"), "text"), width)).select("id.key", "id.text_hash", "n", "items").toDF("id", "h", "n", "items")
     release(docs.sparkSession)
-    sketches = vertices.select("id", "sketch")
-    count = 2 * bands * rows
-    share = percent / 100
-    at_least = math.floor(count * share - 6.5 * math.sqrt(count * share * (1 - share)))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ``candidates`` that are links, by their full sets."""
-        likely = candidates.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").filter(_agreeing("x", "y") >= at_least).select("a", "b").distinct()
-        likely = checkpointed(likely)
-        both = likely.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+
+    def links_of(candidates: DataFrame) -> DataFrame:
+        """The pairs (a, b) of ``candidates`` that share a table and are links by their full sets."""
+        tables = vertices.select("id", F.col("a").alias("one"), F.col("b").alias("two"))
+        keyed = checkpointed(candidates).join(tables.toDF("a", "one_a", "two_a"), "a").join(tables.toDF("b", "one_b", "two_b"), "b")
+        meet = F.expr("exists(zip_with(one_a, one_b, (x, y) -> x = y), z -> z) and exists(zip_with(two_a, two_b, (x, y) -> x = y), z -> z)")
+        likely = checkpointed(keyed.filter(meet).select("a", "b").distinct())
+        full = sets.select("id", "n", "items")
+        both = likely.join(full.toDF("a", "n_a", "set_a"), "a").join(full.toDF("b", "n_b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
-
-    near = F.expr(f"100 * n_hi >= {percent} * o_lo and 100 * o_hi >= {percent} * n_lo and {100 + percent} * least(m, o_m) >= {percent} * (n_lo + o_lo)")
-    links = component = tested = None
-    entries = entries.withColumn("m", F.col("n_hi"))
-    for step in range(3):
-        now = entries.withColumn("component", F.col("id"))
-        if component is not None:
-            now = entries.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            now = checkpointed(_mixed(now))
-        if step == 1:
-            # What a text shares with any other text left here bounds what it shares with one:
-            # a link needs (100 + percent) * intersection >= percent * (sum of the sizes).
-            item = sets.join(now.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("x"))
-            common = item.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("x")
-            most = item.join(common, "x", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
-            now = checkpointed(_mixed(now.drop("m").join(most, "id").filter(F.col("m") * 100 >= percent * F.col("n_lo"))))
-        entries = now.drop("component")
-        if step < 2:
-            centre = now.groupBy("t").agg(F.max(F.struct("pop", "id", "n_lo", "n_hi", "m", "component")).alias("c"))
-            other = centre.select("t", F.col("c.id").alias("o"), F.col("c.n_lo").alias("o_lo"), F.col("c.n_hi").alias("o_hi"), F.col("c.m").alias("o_m"), F.col("c.component").alias("oc"))
-            candidates = now.join(other, "t").filter(near & (F.col("id") != F.col("o")) & (F.col("component") != F.col("oc")))
-            if step == 0:
-                often = candidates.groupBy("id", "o").agg(F.count("*").alias("c"))
-                candidates = often.groupBy("id").agg(F.max(F.struct("c", "o")).alias("c")).select("id", F.col("c.o").alias("o"))
-        else:
-            other = now.select("t", F.col("id").alias("o"), F.col("n_lo").alias("o_lo"), F.col("n_hi").alias("o_hi"), F.col("m").alias("o_m"), F.col("component").alias("oc"))
-            candidates = now.join(other, "t").filter(near & (F.col("id") < F.col("o")) & (F.col("component") != F.col("oc")))
-        candidates = candidates.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        candidates = checkpointed(candidates)
-        tested = candidates if tested is None else tested.union(candidates)
-        new = checkpointed(verified(candidates))
-        links = new if links is None else links.union(new)
-        component = checkpointed(components(links))
-        release(docs.sparkSession)
-    final = component.select(F.col("id").alias("__id"), "component")
-    groups = vertices.select(F.col("n").alias("n_shingles"), "s1", "s2", "id").join(final, F.col("id") == F.col("__id"), "left")
-    groups = groups.select(F.col("n_shingles").alias("gn"), F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.coalesce("component", "id").alias("component"))
-    out = signed.select("key", "text_hash", "n_shingles", "s1", "s2").join(groups, (F.col("n_shingles") == F.col("gn")) & (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")), "left")
+        return checkpointed(both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct())
+
+    links = links_of(central_candidates(entries, percent))
+    component = checkpointed(components(links))
+    release(docs.sparkSession)
+    now = checkpointed(entries.select("id", "t").join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+    mixed = checkpointed(_only(now, _several(now, ["t"], "c"), ["t"]).select("id", "c").distinct())
+    links = links.union(links_of(prefix_candidates(sets, mixed, percent)))
+    component = checkpointed(components(links))
+    release(docs.sparkSession)
+    groups = vertices.join(component, "id", "left").select(F.col("n").alias("gn"), F.col("digest").alias("gd"), F.coalesce("component", "id").alias("component"))
+    out = signed.select("key", "text_hash", "n_shingles", "digest").join(groups, (F.col("n_shingles") == F.col("gn")) & (F.col("digest") == F.col("gd")), "left")
     component_id = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), "text_hash", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
