@@ -1,32 +1,37 @@
 """URL filter over a sorted digest array (operator 3).
 
-A list of rules (host, path, verdict) becomes one file: the sorted 64-bit xxhash keys of
-the rules' strings, then the strings themselves. Every executor fetches the file once and
-its Python workers memory-map it, so they share its pages. A URL gives a probe for each
-suffix of its host's labels and each length of a rule path; all probes of a batch go
-through one vectorised binary search, and a hit counts only if the stored string equals
-the probe. The longest matching rule decides (at equal length the one with the longer
-host), and URLs without one get the default verdict.
-
-The array is made for lists of up to ``most_rules`` rules; longer lists are joined with
-the same probes instead, on the strings, which gives the same result.
+A list of rules (host, path, verdict) of any length becomes shards of one sorted array: Spark
+range-partitions the rules by the 64-bit xxhash of host, NUL and path, and each
+partition writes its keys and strings to a file in the shared folder. The driver gets one row a
+shard, and the distinct lengths of rule paths.
+
+A URL gives a digest for each suffix of its host's labels and each length of a rule path, made
+by Spark's functions. Workers memory-map the shards that they need (where the
+shared folder is not a mounted one, they read them through ``pyarrow.fs``), send all digests of a
+batch's distinct URLs through vectorised binary search, and count a hit only if the stored
+host and path equal the probe's. The longest matching rule decides (at equal length the one with the
+longer host), and URLs without one get the default verdict.
 
 A null URL or one without ``://`` has an empty host and path and matches no rule. Rules
-with a null or empty host or a null path are ignored; of equal rules a block wins.
+with a null or empty host or a null path are ignored; a path that is not empty and does not
+start with ``/`` matches nothing; of equal rules a block wins. An empty list of rules
+gives every URL the default.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
+from .materialise import as_uri
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -39,126 +44,118 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(whole, _URL, 1), _UPPER, _LOWER), F.regexp_extract(whole, _URL, 2)
 
 
-class DigestArray:
-    """A memory-mapped rule file: count, path lengths, sorted keys, verdicts, string ends, strings."""
+def _digest(host: Column, path: Column) -> Column:
+    """xxhash64 of host, NUL and path; as paths are empty or start with a slash, and hosts hold none, the split is part of the key."""
+    return F.xxhash64(F.concat(host, F.lit("\0"), path))
+
+
+def write_array(rules: DataFrame, folder: str) -> tuple[list[int], list[int], list[str]]:
+    """Write (host, path, blocked) as shards; the path lengths, each shard's least key, and the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        keys = rows.column("digest").to_numpy()
+        strings = [f"{h}\0{p}".encode() for h, p in zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True)]
+        parts = [np.array([len(keys)], np.int64), keys, np.cumsum([len(x) for x in strings], dtype=np.int64), rows.column("blocked").to_numpy(zero_copy_only=False).astype(np.uint8)]
+        name = f"shard-{uuid.uuid4().hex}.bin"  # a second attempt writes its own
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(b"".join(x.tobytes() for x in parts) + b"".join(strings))
+        yield pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([f"{folder}/{name}"]), pa.array([json.dumps(sorted({len(p) for p in rows.column("path").to_pylist()}))])], names=["least", "file", "lengths"])
+
+    ordered = rules.select("host", "path", "blocked", _digest(F.col("host"), F.col("path")).alias("digest")).repartitionByRange("digest").sortWithinPartitions("digest")
+    shards = sorted(ordered.mapInArrow(run, "least long, file string, lengths string").collect())
+    return sorted({n for s in shards for n in json.loads(s["lengths"])}), [s["least"] for s in shards], [s["file"] for s in shards]
+
+
+class Shard:
+    """One part of the array: sorted keys, and behind them string ends, verdicts and strings."""
 
     def __init__(self, file: str):
-        data = np.memmap(file, dtype=np.uint8, mode="r")
-        n, lengths = (int(x) for x in data[:16].view(np.int64))
-        at = 16
-
-        def part(count: int, kind: type) -> np.ndarray:
-            nonlocal at
-            size = count * np.dtype(kind).itemsize
-            at += size
-            return data[at - size : at].view(kind)
-
-        self.path_lengths = part(lengths, np.int64).tolist()
-        self.keys, self.ends, self.host_length = part(n, np.uint64), part(n, np.int64), part(n, np.int64)
-        self.blocked = part(n, np.uint8)
-        self.strings = data[at:]
-
-    @staticmethod
-    def build(rules: list[tuple[str, str, str]]) -> bytes:
-        import xxhash
-
-        kept: dict[bytes, tuple[int, bool]] = {}
-        for host, path, verdict in rules:
-            # the host ends at the first slash, so one string names one rule
-            name = f"{host}{path}".encode()
-            kept[name] = (len(host.encode()), verdict == "block" or kept.get(name, (0, False))[1])
-        items = sorted((xxhash.xxh64_intdigest(name), name, *rest) for name, rest in kept.items())
-        lengths = sorted({len(name) - host for _, name, host, _ in items})
-        head = [np.array([len(items), len(lengths), *lengths], np.int64), np.array([i[0] for i in items], np.uint64), np.cumsum([len(i[1]) for i in items], dtype=np.int64), np.array([i[2] for i in items], np.int64), np.array([i[3] for i in items], np.uint8)]
-        return b"".join(x.tobytes() for x in head) + b"".join(i[1] for i in items)
-
-    def find(self, probes: list[bytes]) -> np.ndarray:
-        """The place of each probe, -1 for those not in the array."""
-        import xxhash
-
-        keys = np.array([xxhash.xxh64_intdigest(p) for p in probes], dtype=np.uint64)
-        place = np.searchsorted(self.keys, keys)
-        out = np.full(len(probes), -1, dtype=np.int64)
-        for k in np.flatnonzero(place < len(self.keys)):
-            at = int(place[k])
-            while at < len(self.keys) and self.keys[at] == keys[k]:  # equal keys of different strings
-                if self.string(at) == probes[k]:
-                    out[k] = at
-                    break
-                at += 1
-        return out
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(file)
+        if isinstance(store, fs.LocalFileSystem):
+            data = np.memmap(path, dtype=np.uint8, mode="r")
+        else:
+            with store.open_input_file(path) as f:
+                data = np.frombuffer(f.read(), dtype=np.uint8)
+        n = int(data[:8].view(np.int64)[0])
+        self.keys, self.ends = data[8 : 8 + 8 * n].view(np.int64), data[8 + 8 * n : 8 + 16 * n].view(np.int64)
+        self.blocked, self.strings = data[8 + 16 * n : 8 + 17 * n], data[8 + 17 * n :]
 
     def string(self, at: int) -> bytes:
         return self.strings[int(self.ends[at - 1]) if at else 0 : int(self.ends[at])].tobytes()
 
 
-def _probes(host: str, path: str, lengths: list[int]) -> list[tuple[bytes, int]]:
-    labels = host.split(".")
-    tail = path.encode()
-    suffixes = [".".join(labels[k:]).encode() for k in range(len(labels))]
-    return [(s + tail[:n], len(s)) for s in suffixes if s for n in lengths if n <= len(tail)]
+#: Mapped pages belong to the system's cache; only the places of so many shards are kept.
+_shard = lru_cache(maxsize=1024)(Shard)
 
 
-def _judged_by_array(urls: DataFrame, file: str, default: str) -> DataFrame:
-    kind = urls.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(SparkFiles.get(file))
-        for batch in batches:
-            probes, own, hosts = [], [], []
-            for k, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                for probe, length in _probes(host, path, array.path_lengths):
-                    probes.append(probe)
-                    own.append(k)
-                    hosts.append(length)
-            place = array.find(probes)
-            rule: list[str | None] = [None] * batch.num_rows
-            verdict = [default] * batch.num_rows
-            best = [(0, 0)] * batch.num_rows
-            for k in np.flatnonzero(place >= 0):
-                rank = (len(probes[k]), hosts[k])
-                if hosts[k] == array.host_length[place[k]] and rank > best[own[k]]:
-                    best[own[k]], rule[own[k]] = rank, probes[k].decode()
-                    verdict[own[k]] = "block" if array.blocked[place[k]] else "allow"
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["key", "host", "path", "rule", "verdict"])
-
-    return urls.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
+def _hits(digests: np.ndarray, least: np.ndarray, files: list[str]) -> Iterator[tuple[int, Shard, int]]:
+    """(probe, shard, place) wherever a probe's digest is in the array; equal digests may have several."""
+    # equal digests lie in one shard, as ranges are cut between different digests
+    of = np.searchsorted(least, digests, side="right") - 1
+    for k in np.unique(of[of >= 0]):
+        shard = _shard(files[k])
+        own = np.flatnonzero(of == k)
+        first, last = (np.searchsorted(shard.keys, digests[own], side=side) for side in ("left", "right"))
+        for j in np.flatnonzero(first < last):
+            for place in range(int(first[j]), int(last[j])):
+                yield int(own[j]), shard, place
 
 
-def _judged_by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    rules = rules.groupBy("r_host", "r_path").agg(F.max(F.col("verdict") == "block").alias("blocked"))
-    lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().collect()]
-    rows = urls.withColumn("row", F.monotonically_increasing_id())
-    pairs = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    probes = pairs.withColumn("r_host", F.explode(suffixes)).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).filter("n <= length(path)")
-    probes = probes.withColumn("r_path", F.expr("substring(path, 1, n)"))
-    found = probes.join(rules, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max(F.struct(F.octet_length(F.concat("r_host", "r_path")).alias("n"), F.octet_length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), "blocked")).alias("m"))
-    out = urls.join(found, ["host", "path"], "left")
-    return out.select("key", "host", "path", F.col("m.rule").alias("rule"), F.when(F.col("m").isNull(), default).when(F.col("m.blocked"), "block").otherwise("allow").alias("verdict"))
-
-
-def judge_urls(rows: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", most_rules: int = 1_000_000) -> DataFrame:
+def judge_urls(rows: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict), one row per row of ``rows``; other columns are not read.
 
     ``rules`` has host, path and verdict (block, else allow); hosts are lower-cased.
     """
     spark = rows.sparkSession
+    known = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").filter("host <> '' and (path = '' or startswith(path, '/'))")
+    known = known.groupBy("host", "path").agg(F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False)).alias("blocked"))
+    lengths, starts, files = write_array(known, f"{as_uri(shared_dir(spark))}/url-rules-{uuid.uuid4().hex}")
+    least = np.array(starts, dtype=np.int64)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            place: dict[tuple[str, str], int] = {}
+            own = np.array([place.setdefault(x, len(place)) for x in zip(hosts, paths, strict=True)], dtype=np.int64)
+            first = np.zeros(len(place), np.int64)
+            first[own[::-1]] = np.arange(batch.num_rows)[::-1]
+            probes = batch.column("probes").take(pa.array(first))
+            counts = probes.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            best: list[tuple[int, int, str | None, str]] = [(-1, -1, None, default)] * len(place)
+            urls = list(place)
+            for at, shard, k in _hits(probes.flatten().to_numpy(zero_copy_only=False), least, files):
+                u = int(np.searchsorted(ends, at, side="right"))
+                host, path = urls[u]
+                fitting = [n for n in lengths if n <= len(path)]
+                label, length = divmod(at - int(ends[u] - counts[u]), len(fitting))
+                suffix, prefix = host.split(".", label)[-1], path[: fitting[length]]
+                if shard.string(k) == f"{suffix}\0{prefix}".encode():
+                    size = len(suffix.encode())
+                    found = (size + len(prefix.encode()), size, suffix + prefix, "block" if shard.blocked[k] else "allow")
+                    best[u] = max(best[u], found, key=lambda x: x[:2])
+            rule, verdict = [best[u][2] for u in own], [best[u][3] for u in own]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["key", "host", "path", "rule", "verdict"])
+
     host, path = host_and_path(F.col(url))
     urls = rows.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict").filter("r_host is not null and r_host <> '' and r_path is not null")
-    listed = rules.limit(most_rules + 1).collect() if rules.count() <= most_rules else None
-    if listed is None:
-        out = _judged_by_join(urls, rules, default)
-    else:
-        from .materialise import _put, as_uri
-
-        name = f"url-rules-{uuid.uuid4().hex}.bin"
-        folder = as_uri(shared_dir(spark))
-        _put(folder, name, DigestArray.build([tuple(r) for r in listed]))
-        spark.sparkContext.addFile(f"{folder}/{name}")
-        out = _judged_by_array(urls, name, default)
+    labels = F.split("host", r"\.")
+    suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    probes = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: _digest(s, F.substring(F.col("path"), F.lit(1), n)))))
+    probed = urls.withColumn("probes", F.coalesce(probes, F.array().cast("array<bigint>")))
+    out = probed.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("key", key)
 
 
