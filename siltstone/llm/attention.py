@@ -1,13 +1,20 @@
 """Quality classifier by attention-based multiple-instance learning (operator 7).
 
 A document is cut into passages of ``passage_words`` words. Each passage is encoded from
-its style (shares of bytes and words of several kinds, repeats, word lengths) and its
-hashed words; gated attention weighs the encodings,
+its words, hashed to 4096 learned vectors of which the mean is taken, and from its style (shares
+of bytes and words of several kinds, repeats, word lengths); gated attention weighs
+the encodings h,
 
     a = softmax(w . (tanh(V h) * sigmoid(U h))),
 
 and a logistic function of the weighted sum is the score. All weights are learned from
-document labels on at most ``most_labelled`` documents, by Adam with written-out slopes.
+document labels on at most ``most_labelled`` documents, with all their passages, by Adam
+with written-out slopes.
+
+Rows with a null key or label don't take part in training; of repeated labels of a key the
+largest counts, and every row of ``docs`` with that key is learned from. Labels of one class
+only, or none, give scores near that class, or near one half. Every row is scored by its own
+text, null keys too.
 """
 
 from __future__ import annotations
@@ -34,26 +41,44 @@ _KINDS = [
     np.arange(256) >= 0xC0,
     np.arange(256) == 10,
 ]
-_HASHED = 24
-_FEATURES = len(_KINDS) + 7 + _HASHED
+_STYLE = len(_KINDS) + 7
+_WORDS = 1 << 12
 
 
 @dataclass(frozen=True)
 class Attention:
     most_labelled: int = 8000
     passage_words: int = 64
-    #: passages of one training document that are learned from, evenly spread; scoring takes all
-    most_passages: int = 64
+    #: whether passages are encoded from their style too, or from words alone
+    style: bool = True
     encoded: int = 24
     gate: int = 12
-    epochs: int = 25
+    epochs: int = 12
     batch: int = 64
     rate: float = 0.005
     decay: float = 1e-4
 
 
-def _passages(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and each text's first passage (one more at the end)."""
+@dataclass
+class Passages:
+    """Passages of some texts: style, buckets of all words, and the first word of each passage and one more."""
+
+    style: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+
+    def taken(self, a: int, b: int) -> Passages:
+        return Passages(self.style[a:b], self.words[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a])
+
+    @staticmethod
+    def together(parts: list[Passages]) -> Passages:
+        ends = np.cumsum([0, *(len(p.words) for p in parts)])
+        at = [p.at[:-1] + end for p, end in zip(parts, ends[:-1], strict=True)]
+        return Passages(np.concatenate([p.style for p in parts]), np.concatenate([p.words for p in parts]), np.append(np.concatenate(at), ends[-1]))
+
+
+def _passages(texts: pa.Array, words_each: int) -> tuple[Passages, np.ndarray]:
+    """Every passage, and each text's first passage (one more at the end)."""
     data, starts = tb.joined(texts)
     begin, end, hashes = tb.words(data, lower=True)
     at = np.searchsorted(begin, starts)
@@ -61,14 +86,14 @@ def _passages(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]
     texts_at = np.concatenate([[0], np.cumsum(counts)])
     n = int(texts_at[-1])
     if not n:
-        return np.zeros((0, _FEATURES)), texts_at
+        return Passages(np.zeros((0, _STYLE)), np.empty(0, np.int64), np.zeros(1, np.int64)), texts_at
     own = np.repeat(np.arange(len(counts)), counts)
     first = at[own] + (np.arange(n) - texts_at[own]) * words_each
     last = np.minimum(first + words_each, at[own + 1])
     size = (last - first).astype(np.float64)
     a, b = begin[first], end[last - 1]
     span = np.maximum(b - a, 1).astype(np.float64)
-    out = np.zeros((n, _FEATURES))
+    out = np.zeros((n, _STYLE))
     for k, kind in enumerate(_KINDS):
         sums = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int32)])
         out[:, k] = np.sqrt((sums[b] - sums[a]) / span)
@@ -89,42 +114,59 @@ def _passages(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]
     out[:, k + 5] = np.add.reduceat(same, first) / size
     mark = _KINDS[0] | _KINDS[1] | _KINDS[2]
     out[:, k + 6] = np.add.reduceat(mark[data[end - 1]], first) / size
-    passage = np.repeat(np.arange(n), (last - first))
-    bucket = (hashes % np.uint64(_HASHED)).astype(np.int64)
-    out[:, k + 7 :] = np.sqrt(np.bincount(passage * _HASHED + bucket, minlength=n * _HASHED).reshape(n, _HASHED) / size[:, None])
-    return out, texts_at
+    return Passages(out, (hashes % np.uint64(_WORDS)).astype(np.int64), np.append(first, len(hashes))), texts_at
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(m: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Scores of bags (rows of ``x`` from ``at``), and what the slopes need."""
-    h = np.tanh((x - m["mean"]) / m["spread"] @ m["E"] + m["e"])
+def _forward(m: dict[str, np.ndarray], x: Passages, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Scores of bags (passages of ``x`` from ``at``), and what the slopes need."""
+    size = np.diff(x.at)
+    style = (x.style - m["mean"]) / m["spread"]
+    h = np.tanh(style @ m["E"] + np.add.reduceat(m["W"][x.words], x.at[:-1], axis=0) / size[:, None] + m["e"])
     t, g = np.tanh(h @ m["V"]), _sigmoid(h @ m["U"])
     raw = (t * g) @ m["w"]
     starts, counts = at[:-1], np.diff(at)
     raw = np.exp(raw - np.repeat(np.maximum.reduceat(raw, starts), counts))
     a = raw / np.repeat(np.add.reduceat(raw, starts), counts)
     z = np.add.reduceat(a[:, None] * h, starts)
-    return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": _sigmoid(z @ m["c"] + m["b"])}
+    return {"style": style, "size": size, "h": h, "t": t, "g": g, "a": a, "z": z, "y": _sigmoid(z @ m["c"] + m["b"])}
+
+
+def _slopes(m: dict[str, np.ndarray], x: Passages, at: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """The slope of the mean logistic loss in each learned weight."""
+    f, counts = _forward(m, x, at), np.diff(at)
+    error = (f["y"] - labels) / len(labels)
+    each = np.repeat(error[:, None] * m["c"], counts, axis=0)
+    da = (each * f["h"]).sum(axis=1)
+    draw = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at[:-1]), counts))
+    dt, dg = draw[:, None] * m["w"] * f["g"] * (1 - f["t"] ** 2), draw[:, None] * m["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = f["a"][:, None] * each + dt @ m["V"].T + dg @ m["U"].T
+    dpre = dh * (1 - f["h"] ** 2)
+    per_word = np.repeat(dpre / f["size"][:, None], f["size"], axis=0)
+    return {
+        "E": f["style"].T @ dpre, "e": dpre.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
+        "W": np.stack([np.bincount(x.words, per_word[:, k], len(m["W"])) for k in range(m["W"].shape[1])], axis=1),
+        "w": (draw[:, None] * f["t"] * f["g"]).sum(axis=0), "c": f["z"].T @ error, "b": np.array([error.sum()]),
+    }
 
 
-def fit_attention(bags: list[tuple[np.ndarray, int]], how: Attention) -> dict[str, np.ndarray]:
-    """Weights from (passage features, label) of documents."""
+def fit_attention(bags: list[tuple[Passages, int]], how: Attention) -> dict[str, np.ndarray]:
+    """Weights from (passages, label) of documents."""
     chance = np.random.default_rng(3)
-    bags = [(x, y) for x, y in bags if len(x)]
-    every = np.concatenate([x for x, _ in bags]) if bags else np.zeros((1, _FEATURES))
+    bags = [(x, y) for x, y in bags if len(x.style)]
+    every = np.concatenate([x.style for x, _ in bags]) if bags else np.zeros((1, _STYLE))
     share = sum(y for _, y in bags) / len(bags) if bags else 0.5
     share = min(max(share, 0.01), 0.99)
     m = {
         "mean": every.mean(axis=0), "spread": every.std(axis=0) + 0.02,
-        "E": chance.normal(size=(_FEATURES, how.encoded)) / np.sqrt(_FEATURES), "e": np.zeros(how.encoded),
+        "E": chance.normal(size=(_STYLE, how.encoded)) / np.sqrt(_STYLE) * how.style, "W": chance.normal(size=(_WORDS, how.encoded)) * 0.1, "e": np.zeros(how.encoded),
         "V": chance.normal(size=(how.encoded, how.gate)) / np.sqrt(how.encoded), "U": chance.normal(size=(how.encoded, how.gate)) / np.sqrt(how.encoded),
         "w": np.zeros(how.gate), "c": np.zeros(how.encoded), "b": np.array([np.log(share / (1 - share))]),
     }
-    learned = ["E", "e", "V", "U", "w", "c", "b"]
+    learned = ["E", "W", "e", "V", "U", "w", "c", "b"][0 if how.style else 1 :]
     m["w"] += chance.normal(size=how.gate) * 0.1
     m["c"] += chance.normal(size=how.encoded) * 0.1
     mean, square = ({k: np.zeros_like(m[k]) for k in learned} for _ in range(2))
@@ -133,22 +175,8 @@ def fit_attention(bags: list[tuple[np.ndarray, int]], how: Attention) -> dict[st
         order = chance.permutation(len(bags))
         for cut in range(0, len(order), how.batch):
             some = [bags[k] for k in order[cut : cut + how.batch]]
-            counts = np.array([len(x) for x, _ in some])
-            at = np.concatenate([[0], np.cumsum(counts)])
-            x = np.concatenate([x for x, _ in some])
-            f = _forward(m, x, at)
-            error = (f["y"] - np.array([y for _, y in some])) / len(some)
-            dz = error[:, None] * m["c"]
-            each = np.repeat(dz, counts, axis=0)
-            da = (each * f["h"]).sum(axis=1)
-            draw = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at[:-1]), counts))
-            dt, dg = draw[:, None] * m["w"] * f["g"] * (1 - f["t"] ** 2), draw[:, None] * m["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = f["a"][:, None] * each + dt @ m["V"].T + dg @ m["U"].T
-            dpre = dh * (1 - f["h"] ** 2)
-            slope = {
-                "E": ((x - m["mean"]) / m["spread"]).T @ dpre, "e": dpre.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
-                "w": (draw[:, None] * f["t"] * f["g"]).sum(axis=0), "c": f["z"].T @ error, "b": np.array([error.sum()]),
-            }
+            at = np.cumsum([0, *(len(x.style) for x, _ in some)])
+            slope = _slopes(m, Passages.together([x for x, _ in some]), at, np.array([y for _, y in some]))
             step += 1
             for k in learned:
                 s = slope[k] + how.decay * m[k]
@@ -167,20 +195,25 @@ def train(docs: DataFrame, labels: DataFrame, how: Attention | None = None, labe
         for whole in batches:
             for batch in tb.pieces(whole, "text"):
                 x, at = _passages(batch.column("text"), how.passage_words)
-                rows = []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    take = np.unique(np.linspace(a, b - 1, min(b - a, how.most_passages)).astype(np.int64)) if b > a else np.empty(0, np.int64)
-                    rows.append(x[take].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], names=["x", "label"])
+                own = [x.taken(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns = [[p.style.astype(np.float32).tobytes() for p in own], [p.words.astype(np.uint16).tobytes() for p in own]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], batch.column("label")], names=["style", "words", "label"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(np.frombuffer(x, np.float32).reshape(-1, _FEATURES).astype(np.float64), y) for b in batches for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        found = []
+        for batch in batches:
+            for style, words, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(words, np.uint16).astype(np.int64)
+                style = np.frombuffer(style, np.float32).reshape(-1, _STYLE).astype(np.float64)
+                at = np.minimum(np.arange(len(style) + 1) * how.passage_words, len(words))
+                found.append((Passages(style, words, at), label))
         out = io.BytesIO()
-        np.savez(out, **fit_attention(found, how))
+        model = fit_attention(found, how)
+        np.savez(out, **(model | {"W": model["W"].astype(np.float32)}))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
     rows = training_rows(docs, labels, label, key, text, how.most_labelled)
-    return fitted(rows.mapInArrow(bags, "x binary, label int"), fit)
+    return fitted(rows.mapInArrow(bags, "style binary, words binary, label int"), fit)
 
 
 def score(docs: DataFrame, model: bytes, how: Attention | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +224,7 @@ def score(docs: DataFrame, model: bytes, how: Attention | None = None, key: str
     """
     how = how or Attention()
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen KB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # less than 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = dict(np.load(io.BytesIO(shared.value)))

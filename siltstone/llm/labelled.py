@@ -24,7 +24,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
 def fitted(features: DataFrame, fit) -> bytes:
     """The model that ``fit`` makes of all feature rows, in one task; its bytes come to the driver.
 
-    ``features`` must be bounded, as those of ``training_rows`` are.
+    ``features`` must be bounded, as those of ``training_rows`` are. They are made where the
+    documents are read, and only they move to the one task.
     """
-    row = features.coalesce(1).mapInArrow(fit, "model binary").first()
+    row = features.repartition(1).mapInArrow(fit, "model binary").first()
     return bytes(row["model"])
