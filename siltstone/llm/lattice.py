@@ -161,26 +161,33 @@ def _block_pairs(members: DataFrame, group: str, vertices: DataFrame, block: int
     return dealt.join(vertices, "id").repartition("task").sortWithinPartitions("task")
 
 
-def _local_components(linked: np.ndarray) -> np.ndarray:
-    """The smallest row that each row of a symmetric link matrix reaches."""
-    label = np.arange(len(linked))
+def _local_components(linked: np.ndarray, across: bool) -> np.ndarray:
+    """The smallest row that each row reaches; ``across``: columns are further rows, behind the others."""
+    n = len(linked)
+    label = np.arange(n + linked.shape[1] if across else n)
+    at = n if across else 0
     while True:
-        best = np.where(linked, label, len(label)).min(axis=1)
-        new = np.minimum(label, best)
-        new = new[new]
+        new = label.copy()
+        new[:n] = np.minimum(new[:n], np.where(linked, new[at:], len(label)).min(axis=1))
+        new[at:] = np.minimum(new[at:], np.where(linked, new[:n, None], len(label)).min(axis=0))
+        new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
-def _products(task: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """The rows of one length in a task, with their cosines."""
+def _products(task: pa.Table) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray, bool]]:
+    """The cosines of a task's two blocks, or of its one block with itself, for each length of vectors."""
     task = task.combine_chunks()
     lengths = task.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    own = task.column("own").to_numpy()
+    across = not task.column("same")[0].as_py()
     for length in np.unique(lengths):
-        rows = task.take(pa.array(np.flatnonzero(lengths == length))).combine_chunks()
-        unit = _unit(_matrix(rows.column("vec").combine_chunks()))
-        yield rows, unit @ unit.T
+        some = lengths == length
+        parts = [task.take(pa.array(np.flatnonzero(some & (own == k)))).combine_chunks() for k in (np.unique(own) if across else own[:1])]
+        units = [_unit(_matrix(p.column("vec").combine_chunks())) for p in parts if p.num_rows]
+        if len(units) == len(parts) == 1 + across:
+            yield parts[0], parts[-1], units[0] @ units[-1].T, across
 
 
 def _star_links(tasks: DataFrame, how: Lattice) -> DataFrame:
@@ -188,11 +195,12 @@ def _star_links(tasks: DataFrame, how: Lattice) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _groups(batches, "task"):
-            for rows, cosine in _products(task):
-                label = _local_components(cosine >= how.at_least)
+            for one, other, cosine, across in _products(task):
+                label = _local_components(cosine >= how.at_least, across)
                 far = np.flatnonzero(label != np.arange(len(label)))
                 if len(far):
-                    ids = rows.column("id").combine_chunks()
+                    ids = [t.column("id").combine_chunks() for t in ([one, other] if across else [one])]
+                    ids = pa.concat_arrays(ids)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[far])), ids.take(pa.array(far))], names=["a", "b"])
 
     return tasks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -203,14 +211,15 @@ def _link_counts(tasks: DataFrame, how: Lattice) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _groups(batches, "task"):
-            for rows, cosine in _products(task):
-                own = rows.column("own").to_numpy()
+            for one, other, cosine, across in _products(task):
                 linked = cosine >= how.at_least
-                np.fill_diagonal(linked, False)
-                if not rows.column("same")[0].as_py():
-                    linked &= own[:, None] != own[None, :]
-                n = linked @ rows.column("size").to_numpy()
-                yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(n.astype(np.int64))], names=["id", "n"])
+                if not across:
+                    np.fill_diagonal(linked, False)
+                found = [(one, linked @ other.column("size").to_numpy())]
+                if across:
+                    found.append((other, one.column("size").to_numpy() @ linked))
+                for rows, n in found:
+                    yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(n.astype(np.int64))], names=["id", "n"])
 
     return tasks.mapInArrow(run, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
