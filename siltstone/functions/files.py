@@ -9,14 +9,14 @@ MAX_SIZE = 64 << 20
 
 #: Extensions of formats that are never text, fixed values
 BINARY_EXTENSIONS = (
-    "pdf png jpg jpeg gif bmp ico webp tif tiff psd svgz "
-    "zip gz tgz bz2 xz zst 7z rar jar war tar lz4 "
-    "woff woff2 ttf otf eot "
-    "mp3 mp4 m4a mov avi mkv wav ogg flac webm "
-    "exe dll so dylib a o obj lib class pyc pyo wasm bin dat db sqlite sqlite3 parquet arrow "
-    "doc docx xls xlsx ppt pptx odt ods odp "
-    "dmg iso img pkl npy npz h5 hdf5 onnx pb pt safetensors"
-).split()
+    "pdf", "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "tif", "tiff", "psd", "svgz",
+    "zip", "gz", "tgz", "bz2", "xz", "zst", "7z", "rar", "jar", "war", "tar", "lz4",
+    "woff", "woff2", "ttf", "otf", "eot",
+    "mp3", "mp4", "m4a", "mov", "avi", "mkv", "wav", "ogg", "flac", "webm",
+    "exe", "dll", "so", "dylib", "a", "o", "obj", "lib", "class", "pyc", "pyo", "wasm", "bin", "dat", "db", "sqlite", "sqlite3", "parquet", "arrow",
+    "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp",
+    "dmg", "iso", "img", "pkl", "npy", "npz", "h5", "hdf5", "onnx", "pb", "pt", "safetensors",
+)
 
 
 def too_large(size: Column) -> Column:
@@ -26,7 +26,7 @@ def too_large(size: Column) -> Column:
 def binary_name(path: Column) -> Column:
     """By the last extension; a name that only starts with a dot has none."""
     extension = F.regexp_extract(F.substring_index(path, "/", -1), r"(?s)^.+\.([^.]*)$", 1)
-    return F.lower(extension).isin(BINARY_EXTENSIONS)
+    return F.lower(extension).isin(*BINARY_EXTENSIONS)
 
 
 def _head(content: Column) -> Column:

@@ -50,12 +50,13 @@ def _inverted_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column("file_id").to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     content = batch.column("content")
-    for block in np.unique(ids // BLOCK):
-        own = [k for k in order if ids[k] // BLOCK == block]
+    blocks, edges = np.unique(ids[order] // BLOCK, return_index=True)
+    for block, own in zip(blocks, np.split(order, edges[1:]), strict=True):
         keys = []
         for place, k in enumerate(own):
-            if content[k].is_valid:
-                found = codec.packed(np.frombuffer(content[k].as_buffer(), np.uint8))
+            value = content[int(k)]
+            if value.is_valid:
+                found = codec.packed(np.frombuffer(value.as_buffer(), np.uint8))
                 keys.append(np.unique(found).astype(np.int64) << 32 | place)
         if not keys:
             continue
@@ -63,7 +64,7 @@ def _inverted_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         trigram, place = (keys >> 32).astype(np.int32), keys & 0xFFFFFFFF
         edge = np.flatnonzero(np.diff(trigram, prepend=-1))
         offsets = np.append(edge, len(keys)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[np.array(own)][place]))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[own][place]))
         yield pa.RecordBatch.from_arrays([pa.array(trigram[edge]), pa.array(np.full(len(edge), block, np.int64)), lists], names=["trigram", "block", "ids"])
 
 
@@ -100,12 +101,28 @@ def rarest(stats: DataFrame, required: list[int], most: int) -> list[int] | None
     return [r["trigram"] for r in found][:most] if len(found) == len(set(required)) else None
 
 
-def new_pairs(pairs: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs (trigram, file_id) that the old postings lack."""
-    known = old.select("trigram", F.explode("ids").alias("file_id"))
+def new_pairs(pairs: DataFrame, old: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Pairs (trigram, file_id) that the old postings lack.
+
+    With ``changed`` (file_id) only the lists' ids of these files are looked at: ids of
+    added files can't be in them.
+    """
+    some = old
+    if changed is not None:
+        blocks = changed.select(F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).distinct()
+        some = old.join(blocks, "block", "left_semi")
+    known = some.select("trigram", F.explode("ids").alias("file_id"))
+    if changed is not None:
+        known = known.join(changed.select("file_id"), "file_id", "left_semi")
     return pairs.join(known, ["trigram", "file_id"], "left_anti")
 
 
+def blocked(pairs: DataFrame) -> DataFrame:
+    """Blocked form of pairs (trigram, file_id), each once."""
+    lists = pairs.groupBy("trigram", F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
+    return lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), "trigram", "block", "ids")
+
+
 def stale(postings: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
     """(cause, pairs): indexed pairs that are no longer true, by tombstone or lost trigram."""
     known = postings.select("trigram", F.explode("ids").alias("file_id")).distinct()

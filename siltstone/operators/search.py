@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import binary_content
@@ -34,30 +34,37 @@ def line_hits(content: DataFrame, query: Query, *extra: Column, prefilter: bool
     return found.select("file_id", "path", (F.col("pos") + 1).alias("lineno"), without_cr(F.col("line")).alias("line"), *extra)
 
 
+def narrowed(query: Query, postings: DataFrame, stats: DataFrame | None = None, most_trigrams: int = 8) -> DataFrame | None:
+    """(file_id) of the only files that can match, by the rarest required trigrams; None if the index can't tell."""
+    if not query.required:
+        return None
+    required = P.rarest(stats, list(query.required), most_trigrams) if stats is not None else list(query.required)
+    return P.candidates(postings, required) if required is not None else postings.select(F.lit(0).cast("long").alias("file_id")).limit(0)
+
+
 def search(content: DataFrame, pattern: str, ignore_case: bool = False, postings: DataFrame | None = None, stats: DataFrame | None = None, files: DataFrame | None = None, most_trigrams: int = 8, pushed: int = 10_000, with_spans: bool = False) -> DataFrame:
     """Hits in live content (file_id, path, text), narrowed by postings where there are any.
 
-    Bad patterns raise before any data is read. Content that looks binary has no hits.
-    With few candidates their ids are pushed into the content's scan.
+    Bad patterns raise before any data is read. Content that looks binary has no hits, nor
+    has content that is not in ``files`` (file_id), where that is given. With few
+    candidates their ids are pushed into the content's scan.
     """
-    spark = content.sparkSession
-    query = plan(pattern, ignore_case, spark)
-    extra = [spans(without_cr(F.col("line")), query.java).alias("spans")] if with_spans else []
-    live = content.filter(~binary_content(F.encode("text", "UTF-8")))
-    if files is not None:
-        live = live.join(files.select("file_id"), "file_id", "left_semi")
-    if query.required and postings is not None:
-        required = P.rarest(stats, list(query.required), most_trigrams) if stats is not None else list(query.required)
-        if required is None:
-            live = live.filter(F.lit(False))
+    query = plan(pattern, ignore_case, content.sparkSession)
+    live = content if files is None else content.join(files.select("file_id"), "file_id", "left_semi")
+    chosen = narrowed(query, postings, stats, most_trigrams) if postings is not None else None
+    if chosen is not None:
+        few = [r[0] for r in chosen.limit(pushed + 1).collect()]
+        if len(few) <= pushed:
+            live = live.filter(F.col("file_id").isin(few)) if few else live.filter(F.lit(False))
         else:
-            chosen = P.candidates(postings, required)
-            few = [r[0] for r in chosen.limit(pushed + 1).collect()]
-            if len(few) <= pushed:
-                live = live.filter(F.col("file_id").isin(few)) if few else live.filter(F.lit(False))
-            else:
-                live = live.join(chosen, "file_id", "left_semi")
-    return line_hits(live, query, *extra)
+            live = live.join(chosen, "file_id", "left_semi")
+    return hits_in(live, query, with_spans)
+
+
+def hits_in(content: DataFrame, query: Query, with_spans: bool = False) -> DataFrame:
+    """Hits of a plan in (file_id, path, text); content that looks binary has none."""
+    extra = [spans(without_cr(F.col("line")), query.java).alias("spans")] if with_spans else []
+    return line_hits(content.filter(~binary_content(F.encode("text", "UTF-8"))), query, *extra)
 
 
 def selectivity(content: DataFrame, patterns: list[str], postings: DataFrame) -> DataFrame:
@@ -84,7 +91,8 @@ def hit_totals(hits: DataFrame) -> DataFrame:
 
 def first_per_file(hits: DataFrame) -> DataFrame:
     """Each file's first hit: its heading."""
-    return hits.withColumn("__k", F.row_number().over(Window.partitionBy("file_id").orderBy("lineno"))).filter("__k = 1").drop("__k")
+    first = hits.groupBy("file_id").agg(F.min(F.struct("lineno", "path", "line")).alias("h"))
+    return first.select("file_id", "h.path", "h.lineno", "h.line")
 
 
 def first_hits(hits: DataFrame, n: int) -> DataFrame:
@@ -111,24 +119,33 @@ def highlighted_hits(hits: DataFrame, pattern: str, ignore_case: bool = False, o
     return hits.withColumn("shown", highlighted(F.col("line"), plan(pattern, ignore_case).java, opening, closing))
 
 
-def batch(content: DataFrame, patterns: dict[int, str], postings: DataFrame) -> DataFrame:
-    """(pattern_id, file_id, n_lines) of many patterns in one job.
+def batch(content: DataFrame, patterns: dict[int, str], postings: DataFrame, stats: DataFrame | None = None, files: DataFrame | None = None, most_trigrams: int = 8) -> DataFrame:
+    """(pattern_id, file_id, n_lines) of many patterns in one job; the hits are those of ``search``.
 
-    The postings are read once for all patterns; each pattern's candidates are the files
-    that have as many of its trigrams as it requires.
+    The postings' buckets are read once for all patterns, for the rarest trigrams of each; a
+    pattern's candidates are the files that have them all.
     """
     spark = content.sparkSession
     plans = {k: plan(p, spark=spark) for k, p in patterns.items()}
-    terms = [(k, t, len(q.required)) for k, q in plans.items() for t in q.required or ()]
-    needed = spark.createDataFrame(terms, "pattern_id int, trigram int, k int")
-    some = postings.filter(F.col("trigram").isin(sorted({t for _, t, _ in terms}))) if terms else postings.filter(F.lit(False))
-    pairs = some.select("trigram", F.explode("ids").alias("file_id")).distinct().join(needed, "trigram")
+    needed = {k: set(q.required) for k, q in plans.items() if q.required}
+    if stats is not None and needed:
+        asked = sorted(set.union(*needed.values()))
+        df = {r["trigram"]: r["df"] for r in stats.filter(F.col("trigram").isin(asked)).groupBy("trigram").agg(F.sum("df").alias("df")).collect()}
+        # a trigram that no file has stays in, and leaves no candidate
+        needed = {k: set(sorted(t, key=lambda x: (df.get(x, 0), x))[:most_trigrams]) for k, t in needed.items()}
+    live = content.filter(~binary_content(F.encode("text", "UTF-8")))
+    if files is not None:
+        live = live.join(files.select("file_id"), "file_id", "left_semi")
+    terms = spark.createDataFrame([(k, t, len(own)) for k, own in needed.items() for t in own], "pattern_id int, trigram int, k int")
+    asked = sorted(set().union(*needed.values()))
+    some = postings.filter(F.col("tbucket").isin(sorted({t % P.BUCKETS for t in asked})) & F.col("trigram").isin(asked)) if asked else postings.filter(F.lit(False))
+    pairs = some.select("trigram", F.explode("ids").alias("file_id")).distinct().join(F.broadcast(terms), "trigram")  # at most eight rows a pattern
     chosen = pairs.groupBy("pattern_id", "file_id", "k").agg(F.count("*").alias("n")).filter("n = k").select("pattern_id", "file_id")
-    open_plans = [k for k, q in plans.items() if not q.required]
+    open_plans = [k for k in plans if k not in needed]
     if open_plans:
-        chosen = chosen.unionByName(content.select(F.explode(F.array(*map(F.lit, open_plans))).alias("pattern_id"), "file_id"))
+        chosen = chosen.unionByName(live.select(F.explode(F.array(*map(F.lit, open_plans))).alias("pattern_id"), "file_id"))
     by_file = chosen.groupBy("file_id").agg(F.collect_set("pattern_id").alias("ids"))
-    rows = content.join(by_file, "file_id").select("file_id", "ids", F.explode(lines(F.col("text"))).alias("line"))
+    rows = live.join(by_file, "file_id").select("file_id", "ids", F.explode(lines(F.col("text"))).alias("line"))
     counts = [F.count_if(F.array_contains("ids", k) & F.col("line").rlike(q.java)).alias(str(k)) for k, q in plans.items()]
     wide = rows.groupBy("file_id").agg(*counts)
     each = F.array(*[F.struct(F.lit(k).alias("pattern_id"), F.col(f"`{k}`").alias("n_lines")) for k in plans])

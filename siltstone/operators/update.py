@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.files import index_reason, unchanged_by_stat
 from ..shared import checkpointed
+from ..sources.corpus import Corpus, as_corpus
 
 FILES = "file_id long, path string, mtime_ns long, size long, content_hash long"
 
@@ -16,21 +17,21 @@ def indexable(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("reason", index_reason(F.col("path"), F.col("size"), F.col("content")))
 
 
-def diff(corpus: DataFrame, files: DataFrame) -> DataFrame:
+def diff(corpus: Corpus | DataFrame, files: DataFrame) -> DataFrame:
     """(path, status, by, file_id, mtime_ns, size, content_hash) of all listed or stored paths.
 
-    ``corpus`` has path, mtime_ns, size and content; ``files`` is the stored table. The
-    outer join moves metadata only; content is read for files whose stat differs, and
-    those alone are checked and hashed. Status is added, changed, removed, unchanged or
-    ignored (listed, not indexable, not stored); ``by`` says how (listing, stat, content).
+    ``files`` is the stored table. The outer join moves metadata only; content is read for
+    files whose stat differs, and those alone are checked and hashed. Status is added,
+    changed, removed, unchanged or ignored (listed, not indexable, not stored); ``by`` says
+    how (listing, stat, content).
     """
+    corpus = as_corpus(corpus)
     old = files.select(F.col("path"), F.col("file_id"), F.col("mtime_ns").alias("old_mtime"), F.col("size").alias("old_size"), F.col("content_hash").alias("old_hash"), F.lit(True).alias("stored"))
-    new = corpus.select("path", "mtime_ns", "size", F.lit(True).alias("listed"))
+    new = corpus.listing().withColumn("listed", F.lit(True))
     both = new.join(old, "path", "full_outer")
     same = F.coalesce(unchanged_by_stat(F.col("mtime_ns"), F.col("size"), F.col("old_mtime"), F.col("old_size")), F.lit(False))
-    both = both.withColumn("same", same)
-    suspects = both.filter("listed and not same").select("path")
-    read = corpus.join(suspects, "path", "left_semi")
+    both = checkpointed(both.withColumn("same", same))
+    read = corpus.reading(both.filter("listed and not same").select("path", "size"))
     read = read.select("path", index_reason(F.col("path"), F.col("size"), F.col("content")).alias("reason"), F.xxhash64("content").alias("content_hash"))
     seen = both.join(read, "path", "left")
     bad = F.coalesce(F.col("reason"), F.lit("unreadable")) != "ok"

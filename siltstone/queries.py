@@ -74,7 +74,7 @@ def documents_index(spark: SparkSession, sf_dir: str) -> Index:
 
 def _hits(spark: SparkSession, sf_dir: str, pattern: str, ignore_case: bool = False) -> DataFrame:
     index = documents_index(spark, sf_dir)
-    return S.search(_content(spark, sf_dir), pattern, ignore_case, index.postings(), index.stats())
+    return S.search(_content(spark, sf_dir), pattern, ignore_case, index.postings(), index.stats(), index.files())
 
 
 def _search(pattern: str, ignore_case: bool = False):
@@ -88,6 +88,37 @@ def corpus_indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.indexable(_snapshot(spark, sf_dir, NEW)).select("path", "size", "reason")
 
 
+#: Names of the derived tree: some start with a dot or underscore, and some are no part of it.
+TREE = """
+select concat(case doc_id % 7 when 0 then '.git/' when 1 then '.github/' when 2 then '_site/' else '' end, lang, '/',
+              case doc_id % 5 when 0 then '.env' when 1 then '__init__' when 2 then '_config' else 'file' end, '-', cast(doc_id as string), '.txt') as path, {fields}
+from documents"""
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Every document as a file of its own in the shared folder; the tree's root."""
+    root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    rows = spark.sql(TREE.format(fields="text").replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
+    C.write_tree(rows.select("path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), root)
+    return root
+
+
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files listed and read again: hidden names are in, .git folders are not."""
+    tree = C.Tree(spark, _written_tree(spark, sf_dir))
+    return tree.whole().select("path", "size", F.md5("content").alias("digest"))
+
+
+def tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of half of a tree is indexed, then the whole tree; counts of both updates."""
+    root = _written_tree(spark, sf_dir)
+    every = C.Tree(spark, root).listing().select("path")
+    index = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
+    some = [index.update(C.Tree(spark, root, paths)) for paths in (every.filter("path like '%__init__%' or path like '%.env%'"), every)]
+    names = ("added", "changed", "removed", "unchanged")
+    return spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(some, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
+
+
 def manifest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, manifest = _snapshot(spark, sf_dir, NEW), _snapshot(spark, sf_dir, OLD)
     there = C.listed(C.distinct_listing(corpus.select("path")), manifest).select("path", F.lit(True).alias("present"))
@@ -171,7 +202,8 @@ def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.batch(_content(spark, sf_dir), PATTERNS, documents_index(spark, sf_dir).postings())
+    index = documents_index(spark, sf_dir)
+    out = S.batch(_content(spark, sf_dir), PATTERNS, index.postings(), index.stats(), index.files())
     return out.select("pattern_id", F.col("file_id").alias("doc_id"), "n_lines")
 
 
@@ -280,6 +312,8 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "corpus_indexable": corpus_indexable,
     "manifest_listing": manifest_listing,
+    "tree_listing": tree_listing,
+    "tree_update": tree_update,
     "doc_trigram_counts": doc_trigram_counts,
     "trigram_df": trigram_df,
     "posting_blocks": posting_blocks,
@@ -317,6 +351,7 @@ QUERIES = {
 }
 
 _NEW = f"snew AS ({NEW.format(documents='documents').replace('as string', 'as varchar')})"
+_TREE = TREE.replace("as string", "as varchar")
 _OLD = f"sold AS ({OLD.format(documents='documents', benchmark='benchmark').replace('as string', 'as varchar')})"
 
 
@@ -365,6 +400,10 @@ def _pairs_sql(join: str, extra: str) -> str:
 ORACLES = {
     "corpus_indexable": f"WITH {_NEW} SELECT path, strlen(content) AS size, {_REASON} AS reason FROM snew",
     "manifest_listing": f"WITH {_NEW}, {_OLD} SELECT DISTINCT path, path IN (SELECT path FROM snew) AS present FROM sold",
+    "tree_listing": f"SELECT path, size, digest FROM ({_TREE.format(fields="strlen(coalesce(text, '')) AS size, md5(coalesce(text, '')) AS digest")}) WHERE NOT starts_with(path, '.git/')",
+    "tree_update": f"""WITH t AS ({_TREE.format(fields="doc_id")}), n AS (SELECT contains(path, '__init__') OR contains(path, '.env') AS early FROM t WHERE NOT starts_with(path, '.git/'))
+        SELECT 1 AS step, count(*) FILTER (WHERE early) AS added, 0::BIGINT AS changed, 0::BIGINT AS removed, 0::BIGINT AS unchanged FROM n
+        UNION ALL SELECT 2, count(*) FILTER (WHERE NOT early), 0, 0, count(*) FILTER (WHERE early) FROM n""",
     "doc_trigram_counts": f"WITH {_grams('documents', 'doc_id', 'text')} SELECT documents.doc_id, count(t) AS n_trigrams FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id GROUP BY documents.doc_id",
     "trigram_df": f"WITH {_grams('documents', 'doc_id', 'text')} SELECT {_NUMBER} AS trigram, count(*) AS df FROM g GROUP BY t",
     "posting_blocks": f"""WITH {_grams("documents", "doc_id", "text")}, k AS (SELECT t, doc_id, doc_id // 65536 AS block, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY t, doc_id // 65536 ORDER BY doc_id) AS gap FROM g)

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see; a temporary one only where none is set."""
+    """The folder that all machines of the cluster see: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session makes a temporary folder once; a cluster is told to
+    set it, because a folder of the driver's machine would not be shared.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

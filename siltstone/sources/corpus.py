@@ -1,31 +1,197 @@
-"""Corpora: a tree of files or a table of documents as (path, mtime_ns, size, content)."""
+"""Corpora: a tree of files, a manifest of paths, or a table of documents.
+
+A corpus tells what there is (path, mtime_ns, size) apart from what is in it, so that
+an update reads only what changed, and a search only its candidates.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import mtime_ns
+LISTING = "path string, mtime_ns long, size long"
 
+#: Bytes of content that a task reads, and that a batch of rows holds, about.
+_TASK_BYTES, _BATCH_BYTES = 128 << 20, 16 << 20
 
-def _relative(path, root: str):
-    """The path under ``root``, without scheme. ``path`` is plain text, not URL-encoded."""
-    plain = F.regexp_replace(path, "^[a-z0-9]+:(//[^/]*)?/", "/")
-    return F.substring(plain, len(root.rstrip("/")) + 2, 1 << 30)
 
+def _store(root: str):
+    """The file system of a root and the root's path in it; for use inside tasks."""
+    from pyarrow import fs
 
-def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """All files below ``root`` but those in .git folders; unreadable and vanished ones are skipped.
+    local = root.removeprefix("file://").removeprefix("file:")
+    if "://" not in local:
+        return fs.LocalFileSystem(), local.rstrip("/") or "/"
+    store, path = fs.FileSystem.from_uri(root)
+    return store, path.rstrip("/")
+
+
+def _entries(store, base: str, folder: str) -> list[tuple[str, int, int, str]]:
+    """(path, mtime_ns, size, kind) in a folder: files and folders that are no links, but for .git."""
+    from pyarrow import fs
+
+    out = []
+    try:
+        found = store.get_file_info(fs.FileSelector(f"{base}/{folder}"))
+    except OSError:
+        return [(folder, 0, 0, "unreadable")]
+    for info in found:
+        path = f"{folder}/{info.base_name}" if folder else info.base_name
+        if info.base_name == ".git" or (isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)):
+            continue
+        if info.type == fs.FileType.Directory:
+            out.append((path, 0, 0, "folder"))
+        elif info.type == fs.FileType.File:
+            out.append((path, info.mtime_ns or 0, info.size, "file"))
+    return out
+
+
+def _stat(store, base: str, path: str) -> list[tuple[str, int, int, str]]:
+    from pyarrow import fs
+
+    try:
+        info = store.get_file_info(f"{base}/{path}")
+    except OSError:
+        return []
+    return [(path, info.mtime_ns or 0, info.size, "file")] if info.type == fs.FileType.File else []
+
+
+def _looked_up(rows: DataFrame, root: str, look) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            found = [e for x in batch.column("path").to_pylist() for e in look(store, base, x)]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "mtime_ns", "size", "kind"])
 
-    Without ``content`` only the listing is read. The source leaves out names that start
-    with a dot or underscore and follows symbolic links; where that matters, list the
-    paths in a manifest (``listed``).
+    return rows.select("path").mapInArrow(run, f"{LISTING}, kind string")
+
+
+class Corpus:
+    """What there is, and a way to read some of it."""
+
+    def listing(self) -> DataFrame:
+        """(path, mtime_ns, size), each path once."""
+        raise NotImplementedError
+
+    def reading(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (path and whatever else) with ``content``; paths that can't be read are left out."""
+        raise NotImplementedError
+
+    def whole(self) -> DataFrame:
+        """(path, mtime_ns, size, content) of everything."""
+        return self.reading(self.listing())
+
+
+class Tree(Corpus):
+    """Files below a root, in any store that pyarrow opens; names may start with a dot or underscore.
+
+    Folders are listed in tasks, one level of the tree after another. Links are not followed
+    and .git folders are left out. With ``paths`` (a DataFrame, such as a version control
+    system lists) these are the listing, and only they are looked up.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
-    bare = root.split("://", 1)[-1].removeprefix("file:")
-    bare = bare if bare.startswith("/") else "/" + bare.split("/", 1)[-1]
-    out = files.select(_relative(F.col("path"), bare).alias("path"), mtime_ns(F.col("modificationTime")).alias("mtime_ns"), F.col("length").alias("size"), *(["content"] if content else []))
-    return out.filter(~F.col("path").rlike(r"(^|/)\.git/"))
+
+    def __init__(self, spark: SparkSession, root: str, paths: DataFrame | None = None):
+        self.spark, self.root, self.paths = spark, root, paths
+
+    def _found(self) -> DataFrame:
+        from ..shared import checkpointed
+
+        if self.paths is not None:
+            inside = self.paths.select("path").distinct().filter(~F.col("path").rlike(r"(^|/)\.git(/|$)"))
+            return _looked_up(inside, self.root, _stat)
+        out, now = None, self.spark.createDataFrame([("",)], "path string")
+        while True:
+            level = checkpointed(_looked_up(now, self.root, _entries))
+            out = level if out is None else out.union(level)
+            now = level.filter("kind = 'folder'").select("path").repartition(self.spark.sparkContext.defaultParallelism)
+            if now.isEmpty():
+                return out
+
+    def listing(self) -> DataFrame:
+        return self._found().filter("kind = 'file'").drop("kind")
+
+    def unreadable(self) -> DataFrame:
+        """(path) of folders that could not be listed."""
+        return self._found().filter("kind = 'unreadable'").select("path")
+
+    def reading(self, rows: DataFrame) -> DataFrame:
+        root = self.root
+        kept = rows.drop("content")
+        if "size" in kept.columns:
+            total = kept.agg(F.sum("size")).first()[0] or 0
+            kept = kept.repartition(max(self.spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = _store(root)
+
+            def made(batch: pa.RecordBatch, places: list[int], content: list[bytes]) -> pa.RecordBatch:
+                own = batch.take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([*own.columns, pa.array(content, pa.binary())], names=[*own.schema.names, "content"])
+
+            for batch in batches:
+                places, content = [], []
+                for k, path in enumerate(batch.column("path").to_pylist()):
+                    try:
+                        with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                            data = f.read()
+                    except OSError:
+                        continue
+                    places.append(k)
+                    content.append(data)
+                    if sum(map(len, content)) >= _BATCH_BYTES:
+                        yield made(batch, places, content)
+                        places, content = [], []
+                yield made(batch, places, content)
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+        return kept.mapInArrow(run, f"{fields}, content binary")
+
+
+class Table(Corpus):
+    """A DataFrame of (path, mtime_ns, size, content); listings leave its content column unread."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    def listing(self) -> DataFrame:
+        return self.frame.select("path", "mtime_ns", "size")
+
+    def reading(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("content").join(self.frame.select("path", "content"), "path")
+
+    def whole(self) -> DataFrame:
+        return self.frame
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (path, content) as files below ``root``; a file that is there is replaced."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def as_corpus(corpus: Corpus | DataFrame) -> Corpus:
+    return Table(corpus) if isinstance(corpus, DataFrame) else corpus
+
+
+def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """All files below ``root`` but those in .git folders; unreadable and vanished ones are skipped."""
+    tree = Tree(spark, root)
+    return tree.whole() if content else tree.listing()
 
 
 def from_table(docs: DataFrame, path: str = "doc_id", text: str = "text", mtime: str | None = None) -> DataFrame:
@@ -40,7 +206,7 @@ def read_manifest(spark: SparkSession, file: str, separator: str = "\0") -> Data
 
 
 def listed(corpus: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The files of ``corpus`` whose path is in the manifest."""
+    """The files of a table whose path is in the manifest; for a tree give ``Tree`` the manifest."""
     return corpus.join(manifest.select("path").distinct(), "path", "left_semi")
 
 

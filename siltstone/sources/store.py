@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import postings as P
 from ..operators import update as U
 from ..shared import Store, checkpointed
+from .corpus import Corpus, as_corpus
 
 
 class Index:
@@ -68,35 +69,39 @@ class Index:
     def _commit(self, manifest: dict) -> None:
         self.store.replace("manifest.json", json.dumps(manifest | {"root": self.root}))
 
-    def build(self, corpus: DataFrame, ids: str | None = None) -> None:
-        """A full build of (path, mtime_ns, size, content); old generations go once it is named.
+    def build(self, corpus: Corpus | DataFrame, ids: str | None = None) -> None:
+        """A full build; old generations go once the new one is named.
 
-        Ids follow the order of paths, or are taken from a column of the corpus.
+        Content is read twice, to tell what is indexable and to invert it, and never shuffled.
+        Ids follow the order of paths, or are taken from a column of the corpus (a table).
         """
         raw = self.store.read("manifest.json")
         before = json.loads(raw) if raw else {"generation": 0, "files": [], "postings": []}
         number = before["generation"] + 1
         name = f"gen-{number:06d}"
-        ok = U.indexable(corpus).filter("reason = 'ok'")
-        meta = ok.select("path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash"), *([F.col(ids).cast("long").alias("file_id")] if ids else []))
-        numbered = meta if ids else U.with_ids(meta, 0)
+        corpus = as_corpus(corpus)
+        whole = U.indexable(corpus.whole())
+        meta = whole.select("path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash"), "reason", *([F.col(ids).cast("long").alias("file_id")] if ids else []))
+        ok = checkpointed(meta).filter("reason = 'ok'")
+        numbered = ok if ids else U.with_ids(ok, 0)
         numbered.select("file_id", "path", "mtime_ns", "size", "content_hash").write.mode("overwrite").parquet(self.store.at(name, "files"))
         files = self.spark.read.schema(U.FILES).parquet(self.store.at(name, "files"))
-        content = ok.select(F.col(ids).cast("long").alias("file_id"), "content") if ids else corpus.join(files.select("path", "file_id"), "path").select("file_id", "content")
+        content = whole.filter("reason = 'ok'").select(F.col(ids).cast("long").alias("file_id"), "content") if ids else corpus.reading(files.select("path", "size", "file_id"))
         self._write_postings(name, P.inverted(content))
         last = files.agg(F.max("file_id")).first()[0] or 0
-        self._commit({"generation": number, "files": [name], "postings": [name], "last_id": last, "batches": []})
+        self._commit({"generation": number, "files": [name], "postings": [name], "last_id": last, "streams": {}})
         for old in {*before["files"], *before["postings"]} - {name}:
             self.store.delete(old)
 
-    def update(self, corpus: DataFrame, manifest_paths: DataFrame | None = None) -> dict[str, int]:
+    def update(self, corpus: Corpus | DataFrame, manifest_paths: DataFrame | None = None) -> dict[str, int]:
         """Bring the index up to the corpus; counts of what changed.
 
-        Unchanged files are not read, changed ones keep their ids and only genuinely new
-        pairs are appended. Paths of ``manifest_paths`` that the corpus lacks count as
-        skipped_unreadable.
+        Only files that are new or whose size or time differs are read; changed ones keep their
+        ids, and only genuinely new pairs are appended. Paths of ``manifest_paths`` that the
+        corpus lacks count as skipped_unreadable.
         """
-        skipped = manifest_paths.select("path").distinct().join(corpus.select("path"), "path", "left_anti").count() if manifest_paths is not None else 0
+        corpus = as_corpus(corpus)
+        skipped = manifest_paths.select("path").distinct().join(corpus.listing().select("path"), "path", "left_anti").count() if manifest_paths is not None else 0
         if self.manifest() is None:
             self.build(corpus)
             return {"added": self.files().count(), "changed": 0, "removed": 0, "unchanged": 0, "trigrams_rewritten": self.stats().count(), "skipped_unreadable": skipped}
@@ -107,56 +112,67 @@ class Index:
         name = f"gen-{number:06d}"
         added = U.with_ids(changes.filter("status = 'added'").drop("file_id"), manifest["last_id"])
         kept = changes.filter("status in ('unchanged', 'changed')")
-        files = kept.unionByName(added.select(kept.columns)).select("file_id", "path", "mtime_ns", "size", "content_hash")
-        files.write.mode("overwrite").parquet(self.store.at(name, "files"))
-        written = self.spark.read.schema(U.FILES).parquet(self.store.at(name, "files"))
-        touched = changes.filter("status in ('added', 'changed')").select("path")
-        content = corpus.join(touched, "path", "left_semi").join(written.select("path", "file_id"), "path")
-        pairs = checkpointed(P.new_pairs(P.trigram_pairs(content), self.postings()))
-        stats["trigrams_rewritten"] = U.lists_rewritten(pairs).first()[0]
+        files = kept.unionByName(added.select(kept.columns)).select("file_id", "path", "mtime_ns", "size", "content_hash", "status")
+        files = checkpointed(files)
+        files.drop("status").write.mode("overwrite").parquet(self.store.at(name, "files"))
         names = manifest["postings"]
-        if stats["trigrams_rewritten"]:
-            blocked = pairs.groupBy("trigram", (F.floor(F.col("file_id") / P.BLOCK)).cast("long").alias("block")).agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
-            self._write_postings(name, blocked.withColumn("tbucket", F.col("trigram") % P.BUCKETS))
-            names = [*names, name]
+        if stats["added"] or stats["changed"]:
+            content = corpus.reading(files.filter("status in ('added', 'changed')").select("path", "size", "file_id"))
+            pairs = checkpointed(P.new_pairs(P.trigram_pairs(content), self.postings(), files.filter("status = 'changed'")))
+            stats["trigrams_rewritten"] = U.lists_rewritten(pairs).first()[0]
+            if stats["trigrams_rewritten"]:
+                self._write_postings(name, P.blocked(pairs))
+                names = [*names, name]
         last = max(manifest["last_id"], added.agg(F.max("file_id")).first()[0] or 0)
         self._commit(manifest | {"generation": number, "files": [name], "postings": names, "last_id": last})
         for old in set(manifest["files"]) - {*names, name}:
             self.store.delete(old)
-        return stats | {"skipped_unreadable": skipped}
+        return {"trigrams_rewritten": 0} | stats | {"skipped_unreadable": skipped}
 
-    def append(self, corpus: DataFrame, batch: str) -> None:
-        """Add a batch of new files as a generation of its own name; a batch already named is left.
+    def append(self, corpus: DataFrame, batch: int, stream: str = "stream", merge_every: int = 16) -> None:
+        """Add a batch of new files as a generation of its own; a batch that is in already is left.
 
-        For streams: paths are taken to be new. Doing an unfinished batch again overwrites it.
+        For streams: batches of a stream are numbered upwards and paths are taken to be new. Doing
+        an unfinished batch again overwrites it. Every ``merge_every`` generations their lists
+        become one generation again.
         """
-        raw = self.manifest() or {"generation": 0, "files": [], "postings": [], "last_id": 0, "batches": []}
-        if batch in raw["batches"]:
+        raw = self.manifest() or {"generation": 0, "files": [], "postings": [], "last_id": 0, "streams": {}}
+        if batch <= raw["streams"].get(stream, -1):
             return
+        name, streams = f"{stream}-{batch:06d}", raw["streams"] | {stream: batch}
         ok = checkpointed(U.with_ids(U.indexable(corpus).filter("reason = 'ok'"), raw["last_id"]))
         if ok.isEmpty():
-            self._commit(raw | {"batches": [*raw["batches"], batch]})
+            self._commit(raw | {"streams": streams})
             return
-        ok.select("file_id", "path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash")).write.mode("overwrite").parquet(self.store.at(batch, "files"))
-        self._write_postings(batch, P.inverted(ok))
+        ok.select("file_id", "path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash")).write.mode("overwrite").parquet(self.store.at(name, "files"))
+        self._write_postings(name, P.inverted(ok))
         last = ok.agg(F.max("file_id")).first()[0]
-        self._commit(raw | {"generation": raw["generation"] + 1, "files": [*raw["files"], batch], "postings": [*raw["postings"], batch], "last_id": last, "batches": [*raw["batches"], batch]})
+        self._commit(raw | {"generation": raw["generation"] + 1, "files": [*raw["files"], name], "postings": [*raw["postings"], name], "last_id": last, "streams": streams})
+        if len(raw["postings"]) + 1 >= merge_every:
+            self.merge()
 
-    def compact(self, corpus: DataFrame) -> None:
-        """One generation of postings without stale pairs; ids and files stay as they are."""
+    def _rewrite(self, postings: DataFrame) -> None:
+        """The same files with other lists, as the only generation."""
         manifest = self._opened()
         number = manifest["generation"] + 1
         name = f"gen-{number:06d}"
-        files = self.files()
-        true = P.trigram_pairs(corpus.join(files.select("path", "file_id"), "path"))
-        known = self.postings().select("trigram", F.explode("ids").alias("file_id")).distinct().join(true, ["trigram", "file_id"], "left_semi")
-        blocked = known.groupBy("trigram", (F.floor(F.col("file_id") / P.BLOCK)).cast("long").alias("block")).agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
-        self._write_postings(name, blocked.withColumn("tbucket", F.col("trigram") % P.BUCKETS))
-        files.write.mode("overwrite").parquet(self.store.at(name, "files"))
+        self._write_postings(name, postings)
+        self.files().write.mode("overwrite").parquet(self.store.at(name, "files"))
         self._commit(manifest | {"generation": number, "files": [name], "postings": [name]})
         for old in {*manifest["files"], *manifest["postings"]} - {name}:
             self.store.delete(old)
 
+    def merge(self) -> None:
+        """One generation of what the index holds now; no content is read."""
+        whole = self.postings().groupBy("tbucket", "trigram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+        self._rewrite(whole)
+
+    def compact(self, corpus: Corpus | DataFrame) -> None:
+        """One generation of postings without stale pairs; ids and files stay as they are."""
+        true = P.trigram_pairs(as_corpus(corpus).reading(self.files().select("path", "size", "file_id")))
+        known = self.postings().select("trigram", F.explode("ids").alias("file_id")).distinct().join(true, ["trigram", "file_id"], "left_semi")
+        self._rewrite(P.blocked(known))
+
 
 def summary(files: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: files, distinct_trigrams, pairs, and bytes of the lists as gap numbers."""
@@ -166,17 +182,26 @@ def summary(files: DataFrame, postings: DataFrame) -> DataFrame:
     return lists.select(F.lit(files.count()).cast("long").alias("files"), "distinct_trigrams", "pairs", "bytes")
 
 
-def search_index(index: Index, corpus: DataFrame, pattern: str, ignore_case: bool = False, update: bool = False, with_spans: bool = False) -> DataFrame:
-    """Search a corpus through its index: built if there is none, brought up to date if asked, else as it is."""
-    from ..operators.search import search
+def search_index(index: Index, corpus: Corpus | DataFrame, pattern: str, ignore_case: bool = False, update: bool = False, with_spans: bool = False) -> DataFrame:
+    """Search a corpus through its index: built if there is none, brought up to date if asked, else as it is.
+
+    Only the candidates' content is read, where the pattern has literals to narrow by.
+    """
+    from ..operators import search as S
+    from ..plans.pattern import plan
 
+    query = plan(pattern, ignore_case, index.spark)
+    corpus = as_corpus(corpus)
     if index.manifest() is None:
         index.build(corpus)
     elif update:
         index.update(corpus)
-    files = index.files()
-    content = corpus.join(files.select("path", "file_id"), "path").select("file_id", "path", F.decode("content", "UTF-8").alias("text"))
-    return search(content, pattern, ignore_case, index.postings(), index.stats(), with_spans=with_spans)
+    live = index.files().select("path", "size", "file_id")
+    chosen = S.narrowed(query, index.postings(), index.stats())
+    if chosen is not None:
+        live = live.join(chosen, "file_id", "left_semi")
+    content = corpus.reading(live).select("file_id", "path", F.decode("content", "UTF-8").alias("text"))
+    return S.hits_in(content, query, with_spans)
 
 
 def index_folder(base: str, root: str, spark: SparkSession) -> str:

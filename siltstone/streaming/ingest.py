@@ -25,15 +25,16 @@ def table_stream(spark: SparkSession, path: str, max_files: int = 4000, max_byte
     return reader.parquet(path)
 
 
-def index_stream(docs: DataFrame, index: Index, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
+def index_stream(docs: DataFrame, index: Index, checkpoint: str, key: str = "doc_id", text: str = "text", stream: str = "stream") -> StreamingQuery:
     """Build an index batch by batch; each batch is a generation that is named when whole.
 
-    After a failure the checkpoint replays the last batch under its old name, so finished
-    batches are not done again and none counts twice.
+    After a failure the checkpoint replays the last batch under its old number, so finished
+    batches are not done again and none counts twice. Streams with checkpoints of their own
+    need names of their own.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        index.append(from_table(batch, key, text), f"batch-{batch_id:06d}")
+        index.append(from_table(batch, key, text), batch_id, stream)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,17 +99,25 @@ def test_ids_do_not_depend_on_partitions(spark):
 
 def test_tree_and_manifest(spark, tmp_path):
     root = tmp_path / "tree é"
-    for name, data in {"a.txt": b"needle\n", "sub/b c+%.txt": b"needle\r\n", ".git/x": b"needle", "blob.bin": b"ne\0edle"}.items():
+    hidden = {".env": b"needle", "__init__.py": b"", ".github/ci.yml": b"x", "sub/_config.yml": b"y"}
+    for name, data in ({"a.txt": b"needle\n", "sub/b c+%.txt": b"needle\r\n", ".git/x": b"needle", "sub/.git/y": b"needle", "blob.bin": b"ne\0edle"} | hidden).items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    files = C.read_tree(spark, str(root))
-    assert sorted(r["path"] for r in files.collect()) == ["a.txt", "blob.bin", "sub/b c+%.txt"]
+    (root / "link.txt").symlink_to(root / "a.txt")
+    (root / "up").symlink_to(root)
+    every = {r["path"]: bytes(r["content"]) for r in C.read_tree(spark, str(root)).collect()}
+    assert set(every) == {"a.txt", "blob.bin", "sub/b c+%.txt", *hidden} and all(every[k] == v for k, v in hidden.items())
+    named = spark.createDataFrame([(k,) for k in [*hidden, "gone", ".git/x", ".env"]], "path string")
+    assert sorted(r["path"] for r in C.Tree(spark, str(root), named).listing().collect()) == sorted(hidden)
+    assert {r["path"]: bytes(r["content"]) for r in C.Tree(spark, f"file://{root}", named).whole().collect()} == hidden
+    files = C.read_tree(spark, str(root)).filter("path in ('a.txt', 'blob.bin', 'sub/b c+%.txt')")
     assert all(r["mtime_ns"] > 0 for r in C.read_tree(spark, str(root), content=False).collect())
     (tmp_path / "list").write_bytes(b"a.txt\0blob.bin\0locked\0a.txt\0")
     manifest = C.read_manifest(spark, str(tmp_path / "list"))
     assert sorted(r["path"] for r in C.listed(files, manifest).collect()) == ["a.txt", "blob.bin"]
     assert [r["path"] for r in C.missing(files, manifest).collect()] == ["locked"]
     index = Index(spark, index_folder(f"{tmp_path}/idx", str(root), spark), str(root))
+    index.build(files)
     assert hits(index, files, "needle$") == [("a.txt", 1)] and hits(index, files, "needle") == [("a.txt", 1), ("sub/b c+%.txt", 1)]
 
 
@@ -129,9 +138,74 @@ def test_stream_batches_are_idempotent(spark, tmp_path):
     whole.build(C.from_table(docs))
     assert sorted(map(tuple, index.stats().collect())) == sorted(map(tuple, whole.stats().collect()))
     before = index.manifest()
-    assert len(before["batches"]) == 3
-    index.append(C.from_table(docs), before["batches"][0])  # replay
+    assert before["streams"] == {"stream": 2} and len(before["postings"]) == 3
+    index.append(C.from_table(docs), 2)  # replay
     assert index.manifest() == before
+    index.append(C.from_table(docs.limit(1).selectExpr("doc_id + 100 as doc_id", "text")), 0, "other", merge_every=4)
+    after = index.manifest()
+    assert after["streams"] == {"stream": 2, "other": 0} and len(after["postings"]) == 1 and index.files().count() == 31
+    assert index.stats().filter("df > 1").agg(F.max("df")).first()[0] == 31
+    assert index.postings().select(F.explode("ids").alias("f")).distinct().count() == 31
     hits_df = ingest.standing_search(ingest.table_stream(spark, f"{tmp_path}/in/docs.parquet", 2), "needle 1.$")
     ingest.hits_stream(hits_df, f"{tmp_path}/hits", f"{tmp_path}/cp2").awaitTermination()
     assert sorted((r["doc_id"], r["lineno"]) for r in spark.read.parquet(f"{tmp_path}/hits").collect()) == [(k, 2) for k in range(10, 20)]
+
+
+class Counted(C.Tree):
+    """A tree that notes which files are read."""
+
+    read: list
+
+    def reading(self, rows):
+        self.read = sorted(r["path"] for r in rows.select("path").collect())
+        return super().reading(rows)
+
+
+def test_only_what_is_needed_is_read(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for k in range(400):
+        (root / f"f{k:03}.txt").write_text(f"token{k} and more\n")
+    index = Index(spark, f"{tmp_path}/i", str(root))
+    tree = Counted(spark, str(root))
+    assert index.update(tree)["added"] == 400 and len(tree.read) == 400
+    (root / "f007.txt").write_text("quite another text\n")
+    stats = index.update(tree)
+    assert (stats["changed"], stats["unchanged"]) == (1, 399) and stats["trigrams_rewritten"] > 0
+    assert tree.read == ["f007.txt"]
+    assert hits(index, tree, "token17 ") == [("f017.txt", 1)] and tree.read == ["f017.txt"]
+    assert hits(index, tree, "quite") == [("f007.txt", 1)] and tree.read == ["f007.txt"]
+    assert hits(index, tree, "absent needle") == [] and tree.read == []
+
+
+def test_sparse_ids_invert_in_one_pass():
+    import time
+
+    import pyarrow as pa
+
+    from siltstone.operators import postings as P
+
+    ids = np.arange(8000) * P.BLOCK * 3 + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(ids[::-1].copy()), pa.array([b"abcd"] * 8000, pa.binary())], names=["file_id", "content"])
+    began = time.time()
+    out = pa.Table.from_batches(list(P._inverted_batch(batch)))
+    assert time.time() - began < 3
+    assert out.num_rows == 16000 and sorted({x[0] for x in out.column("ids").to_pylist()}) == ids.tolist()
+
+
+def test_many_patterns_find_what_search_finds(spark, tmp_path):
+    from siltstone.operators import search as S
+
+    files = {"a": "needle one\nneedle two", "b": "nothing", "bin": "needle\0", "gone": "needle gone", "c": "an orange"}
+    index = Index(spark, f"{tmp_path}/i", "r")
+    index.build(corpus(spark, {k: v.replace("\0", "") for k, v in files.items()}))
+    index.update(corpus(spark, {k: v.replace("\0", "") for k, v in files.items() if k != "gone"}))
+    ids = {"a": 1, "b": 2, "bin": 3, "c": 4, "gone": 5}
+    content = spark.createDataFrame([(ids[k], k, v) for k, v in files.items()], "file_id long, path string, text string")
+    patterns = {1: "needle", 2: "o.*e", 3: "range", 4: "zzzz"}
+    got = sorted(map(tuple, S.batch(content, patterns, index.postings(), index.stats(), index.files()).collect()))
+    want = []
+    for k, p in patterns.items():
+        found = S.search(content, p, postings=index.postings(), stats=index.stats(), files=index.files())
+        want += [(k, r["file_id"], r["n_lines"]) for r in S.hits_per_file(found).collect()]
+    assert got == sorted(want) and got
