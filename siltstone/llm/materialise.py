@@ -141,9 +141,10 @@ def materialise(docs: DataFrame, folder: str, how: Order, text: str = "text") ->
     """Write the shards to ``folder`` (a URI that all executors reach); one row per sequence.
 
     Columns: index (in corpus order), slot, shard, byte_offset, n_tokens (without padding)
-    and crc32 of the record. Shards are written when the result is evaluated; slot s is
-    record s % per_shard of shard s // per_shard, and order.json in the folder tells the
-    sizes. An empty table gives no shard. Only ``text`` is read.
+    and crc32 of the record. Slot s is record s % per_shard of shard s // per_shard, and
+    order.json, which tells the sizes, is written when all shards are there, so a folder
+    without it is unfinished. A task that is run again writes the same bytes. An empty table
+    gives no shard. Only ``text`` is read; repeated rows are sequences of their own.
     """
     cut = checkpointed(sequences(docs, how, text))
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))
@@ -156,8 +157,8 @@ def materialise(docs: DataFrame, folder: str, how: Order, text: str = "text") ->
     rows = cut.join(F.broadcast(offsets) if cut.rdd.getNumPartitions() <= 100_000 else offsets, "part").withColumn("index", F.col("before") + F.col("number"))
     rows = rows.withColumn("slot", slot_of(F.col("index"), max(n, 1), how.key, how.rounds))
     ranged = rows.select("index", "slot", "n_tokens", "payload").repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+    done = checkpointed(_write_shards(ranged, folder, how, per_shard))
     _put(folder, "order.json", json.dumps({"sequences": n, "length": how.length, "per_shard": per_shard, "stride": 2 * how.length, "dtype": "<u2", "key": how.key, "rounds": how.rounds}).encode())
-    done = _write_shards(ranged, folder, how, per_shard)
     return done.select("index", "slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard * (2 * how.length)).alias("byte_offset"), F.col("n_tokens").cast("long").alias("n_tokens"), "crc32")
 
 

@@ -104,7 +104,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: four fifths of the tokens that came this far, each document once at most."""
+    """Pipeline stage: four fifths of the tokens that came this far, each document once at most.
+
+    Rows that repeat key and text stay or go together: if the budget ends between them, all stay.
+    """
     taken = select_mix(docs, Mix(budget_percent=80, max_epochs=1), domain=web_or_curated(F.col("source"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
     return docs.join(taken, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.xxhash64("text")), "left_semi")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, checkpointed, table
 
-#: rule -> (numerator, denominator) among the columns of ``features``
+#: rule -> (numerator, denominator) among the columns of ``features``; judged if ``RiskRules.cutoffs`` names it
 RATIOS = {"symbols": ("n_symbols", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

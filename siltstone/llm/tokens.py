@@ -2,7 +2,9 @@
 
 For tokenizers that drop white space and never join what it separates, a text's ids are
 the ids of its words one after another, so each distinct word is encoded once per worker
-process and a batch is put together from the stored ids. The caches are bounded.
+process and a batch is put together from the stored ids. The caches are bounded. A word
+is known by a 64-bit hash, so among the 1.5 million words that a cache holds at most, two get
+each other's ids with a probability of less than 1e-7.
 """
 
 from __future__ import annotations

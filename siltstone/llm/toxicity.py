@@ -9,6 +9,11 @@ A word gives its hash and those of its stems (its first bytes) as features. Only
 in at least ``min_documents`` of the training documents, and in toxic ones more often than
 chance by ``min_z`` standard deviations, get a weight. Training sees at most
 ``most_labelled`` documents, the model has 2^20 weights whatever the corpus.
+
+Rows with a null key or label don't take part in training; of repeated labels of a key the
+largest counts, and every row of ``docs`` with that key is learned from. Labels of one class
+only, or none, leave every weight at zero, and all texts unlikely to offend. Every row is
+scored by its own text, null keys too.
 """
 
 from __future__ import annotations

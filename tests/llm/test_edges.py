@@ -170,6 +170,23 @@ def test_lines(spark, docs, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_a_line_that_all_texts_share(spark):
+    chance = random.Random(14)
+    common, long_line, block = "a line that all texts share", words(55, 3), "\n".join(words(9, 40 + k) for k in range(7))
+    rows = []
+    for k in range(400):
+        parts = [common, *(words(chance.randrange(1, 20), 5000 + 10 * k + j) for j in range(chance.randrange(0, 4)))]
+        parts += [block] if k % 3 == 0 else []
+        parts += [long_line] if k % 5 == 0 else []
+        chance.shuffle(parts)
+        rows.append((k, "\n".join([common, *parts])))
+    rows += [(1000 + k, "\n".join(["w"] * 120)) for k in range(3)]  # runs that overlap themselves
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute_lines(rows)
+    for r, old in zip(sorted(got, key=lambda r: r["doc_id"]), sorted(rows), strict=True):
+        assert (r["text"], r["n_removed"]) == want[old], old[0]
+
+
 # 3 URL filter
 URLS = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/x?y#z", "http://www.example.com/en/", "http://a.www.example.com/en/1", "ftp://notexample.com/en/", "http://example.com/de/", "http://x.net/es/1", "http://x.net/es", "http://net/fr/", "http://a://b/c", "http://com.", "x://é.com/ü?q", "http://example.com?en/", "http://x.org/" + "p" * 5000]
 
@@ -187,32 +204,42 @@ def brute_url(url, rules, default="allow"):
     return (host, path, max(fit)[2], max(fit)[3]) if fit else (host, path, None, default)
 
 
-@pytest.mark.parametrize("most", [1000, 0])
-def test_urls(spark, most):
+def test_urls(spark):
     chance = random.Random(2)
     rules = url_filter.RULES + [(f"h{k}.example.org", f"/{chance.choice('abc')}/", chance.choice(["allow", "block"])) for k in range(50)]
     urls = URLS + [f"http://{chance.choice(['', 'www.'])}h{chance.randrange(60)}.example.org/{chance.choice('abc')}/{k}" for k in range(100)]
     pages = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate(urls)] + [(0, urls[4], "x", 1), (None, urls[4], "x", 1)], "page_id long, url string, host string, row int")
-    listed = spark.createDataFrame([*rules, (None, "/", "block"), ("", "/", "block"), ("x", None, "block")], "host string, path string, verdict string")
-    got = url_filter.judge_urls(pages, listed, most_rules=most).collect()
+    listed = spark.createDataFrame([*rules, (None, "/", "block"), ("", "/", "block"), ("x", None, "block"), ("com", "en/", "block"), ("net", "/fr/", None)], "host string, path string, verdict string")
+    got = url_filter.judge_urls(pages, listed).collect()
     assert len(got) == len(urls) + 2
     for r in got:
         if r["page_id"]:
             assert tuple(r)[1:] == brute_url(urls[r["page_id"]], rules), urls[r["page_id"]]
-    assert url_filter.judge_urls(pages.limit(0), listed, most_rules=most).count() == 0
-    assert {r["verdict"] for r in url_filter.judge_urls(pages, listed.limit(0), most_rules=max(most, 1)).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, listed.limit(0)).collect()} == {"allow"}
+
+
+def test_splits_of_one_string_are_told_apart(spark):
+    rules = spark.createDataFrame([("ab", "/", "block"), ("a", "b/", "allow"), ("AB", "/", "allow"), ("c", "", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "x://ab/"), (2, "x://a/b/"), (3, "x://z.c"), (4, "x://c/q")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, default="none").collect()}
+    assert got == {1: ("ab/", "block"), 2: (None, "none"), 3: ("c", "block"), 4: ("c", "block")}
 
 
-def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
-    import xxhash
+def test_equal_digests_are_told_apart(spark, tmp_path, monkeypatch):
+    """Many rules, a few digests, several shards; with few digests each has very many strings."""
+    monkeypatch.setattr(url_filter, "_digest", lambda host, path: F.length(F.concat(host, path)) % 5)
+    rules = [(f"h{k}.com", "/", "block" if k % 2 else "allow") for k in range(300)]
+    pages = spark.createDataFrame([(k, f"x://{h}/p") for k, (h, _, _) in enumerate(rules)] + [(999, "x://h9999.com/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), default="none").collect()}
+    assert got == {k: (h + p, v) for k, (h, p, v) in enumerate(rules)} | {999: (None, "none")}
 
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: len(b) % 3)
-    rules = [(f"h{k}.com", "/", "block" if k % 2 else "allow") for k in range(20)]
-    file = tmp_path / "rules.bin"
-    file.write_bytes(url_filter.DigestArray.build(rules))
-    array = url_filter.DigestArray(str(file))
-    place = array.find([f"{h}{p}".encode() for h, p, _ in rules] + [b"other.com/"])
-    assert [array.string(k).decode() for k in place[:-1]] == [h + p for h, p, _ in rules] and place[-1] == -1
+
+def test_many_rules_make_many_shards(spark, tmp_path):
+    rules = spark.range(20000).selectExpr("concat('h', id, '.com') as host", "concat('/', id % 7, '/') as path", "id % 3 = 0 as blocked")
+    lengths, least, files = url_filter.write_array(rules, f"file://{tmp_path}/rules")
+    assert lengths == [3] and len(files) > 1 and least == sorted(least)
+    assert sum(len(url_filter.Shard(f).keys) for f in files) == 20000
 
 
 # 4 quality rules
@@ -272,6 +299,79 @@ def test_scores(docs, empty, labels, no_labels, module, label):
     assert module.train(empty, labels, label=label)
 
 
+def test_one_class_of_labels(spark, docs):
+    for module, label in ((toxicity, "toxic"), (attention, "quality")):
+        for value in (0, 1):
+            marks = spark.createDataFrame([(k, value) for k in range(1, 13)], f"doc_id long, {label} int")
+            scores = [r["score"] for r in module.score(docs, module.train(docs, marks, label=label)).collect()]
+            assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
+            assert np.mean(scores) < 0.1 if value == 0 else module is toxicity or np.mean(scores) > 0.9
+
+
+def some_passages(chance, n):
+    words_each = chance.integers(1, 6, n)
+    return attention.Passages(chance.normal(size=(n, attention._STYLE)), chance.integers(0, 50, words_each.sum()), np.append(0, np.cumsum(words_each)))
+
+
+def test_attention_slopes_are_those_of_its_loss():
+    chance = np.random.default_rng(4)
+    size = {"E": (attention._STYLE, 5), "W": (50, 5), "e": (5,), "V": (5, 3), "U": (5, 3), "w": (3,), "c": (5,), "b": (1,)}
+    m = {k: chance.normal(size=v) * 0.5 for k, v in size.items()} | {"mean": np.zeros(attention._STYLE), "spread": np.ones(attention._STYLE)}
+    x, at, labels = some_passages(chance, 9), np.array([0, 2, 3, 9]), np.array([1, 0, 1])
+
+    def loss():
+        y = attention._forward(m, x, at)["y"]
+        return -np.mean(labels * np.log(y) + (1 - labels) * np.log(1 - y))
+
+    for name, slope in attention._slopes(m, x, at, labels).items():
+        for k in chance.integers(0, m[name].size, 12):
+            place, old = np.unravel_index(k, m[name].shape), m[name].flat[k]
+            m[name].flat[k] = old + 1e-6
+            up = loss()
+            m[name].flat[k] = old - 1e-6
+            down = loss()
+            m[name].flat[k] = old
+            assert slope[place] == pytest.approx((up - down) / 2e-6, abs=1e-7), name
+
+
+@pytest.mark.parametrize("style", [True, False])
+def test_quality_of_unseen_documents(spark, style):
+    """A bad passage hides somewhere in a bad document; what is bad are its words."""
+    chance = random.Random(5)
+    rows, marks = [], []
+    for k in range(700):
+        parts = [words(64, 50_000 + 20 * k + j) for j in range(chance.randrange(1, 5))]
+        good = chance.random() < 0.6
+        if not good:
+            parts[chance.randrange(len(parts))] = " ".join(chance.choice(["cheap", "click", "winner", "prize", "offer"]) if chance.random() < 0.5 else w for w in parts[0].split())
+        rows.append((k, " ".join(parts), "x"))
+        marks.append((k, int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    how = attention.Attention(style=style)
+    out = {r["doc_id"]: r["score"] for r in attention.score(docs, attention.train(docs, labels, how), how).collect()}
+    held = [k for k, _ in marks if zlib.crc32(str(k).encode()) % 5 == 0]
+    truth = dict(marks)
+    assert sum((out[k] >= 0.5) == bool(truth[k]) for k in held) >= 0.95 * len(held)
+
+
+def test_noisy_or_is_one_minus_the_product(spark):
+    texts = ["one two. three four! five\nsix", "seven", "", None, "a b c. d e f. " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = np.random.default_rng(6).normal(size=toxicity._BUCKETS + 1).astype(np.float32)
+    weight[-1] = -2
+    model = weight.tobytes()
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    each = {}
+    for r in toxicity.offending_sentences(docs, model, at_least=0.0).collect():
+        each.setdefault(r["doc_id"], []).append(r["score"])
+    assert [len(each.get(k, [])) for k in range(5)] == [4, 1, 0, 0, 100]
+    for k, some in each.items():
+        assert out[k]["score"] == pytest.approx(1 - np.prod([1 - p for p in some]), abs=1e-9)
+        assert some[out[k]["worst_sentence"]] == max(some) if k < 4 else True
+    pull = 1 / (1 + np.exp(2))
+    assert out[2]["score"] == pytest.approx(pull) and out[3]["score"] == pytest.approx(pull)
+
+
 def test_offending_sentences(spark):
     chance = random.Random(1)
     rows, marks = [], []
@@ -422,6 +522,38 @@ def test_star_of_copies_without_links_among_them(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components({k: shingles(t, 4) for k, t in rows})
 
 
+def test_a_large_group_among_many_rows(spark):
+    """20,000 rows, 2,000 of them near copies of one text; ids divisible by 20 against all rows."""
+    chance = random.Random(18)
+    base = words(120, 77).split()
+    rows = []
+    for k in range(20_000):
+        if k % 10 == 0:
+            copy = list(base)
+            for _ in range(chance.choice([0, 1, 2, 4, 8, 12])):
+                at = chance.randrange(len(copy))
+                copy[at : at + 1] = chance.choice([[], [f"n{chance.randrange(40)}"], [copy[at], "and"]])
+            rows.append((k, " ".join(copy)))
+        elif k % 10 == 4:
+            rows.append((k, words(30, k // 200)))
+        else:
+            rows.append((k, words(chance.randrange(5, 60), 100_000 + k)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=4).collect()}
+    sets = {k: frozenset(shingles(t, 4)) for k, t in rows}
+    by_size, links, found = {}, 0, 0
+    for k, s in sets.items():
+        by_size.setdefault(len(s), []).append(k)
+    for q in range(0, 20_000, 20):
+        n = len(sets[q])
+        for size in range(-(-n * 4 // 5), n * 5 // 4 + 1):
+            for o in by_size.get(size, ()):
+                if o != q and 180 * len(sets[q] & sets[o]) >= 80 * (n + size):
+                    links += 1
+                    found += got[q] == got[o]
+    assert links > 1000 and found >= 0.99 * links
+    assert all(got[k] == k for k in range(20_000) if k % 10 not in (0, 4))
+
+
 # 10 embeddings
 def test_lattice(spark):
     chance = np.random.default_rng(2)

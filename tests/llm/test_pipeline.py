@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from math import comb
 
 import numpy as np
 import pytest
@@ -19,20 +20,22 @@ def outputs(spark, tmp_path_factory):
     chance = random.Random(12)
     shared = [words(60, 900 + k) for k in range(4)]
     rows = []
-    for k in range(150):
+    for k in range(450):
         parts = [words(chance.randrange(5, 40), 2000 + k + 1000 * j) for j in range(chance.randrange(1, 6))]
         if k % 9 == 0:
             parts.insert(chance.randrange(len(parts) + 1), chance.choice(shared))
         if k % 17 == 0:
-            parts.append("spam " * 200)
+            parts.append("spam " * chance.choice([20, 200]))
+        if k % 23 == 0:
+            parts.append("# $ % " * 5)
         text = "\n".join(parts)
-        if k % 7 == 3 and rows[-1][1]:
+        if k % 7 == 3 and tokens(rows[-1][1]):
             text = rows[-1][1].replace(tokens(rows[-1][1])[0], "other", 1)
         if k % 31 == 5:
             text = rows[-2][1]
-        rows.append((k, None if k == 77 else text, chance.choice(["en", "en", "de", "fr", None]), chance.choice(["src0", "src0", "src3", "src12"]), 0))
+        rows.append((k, None if k == 77 else text, chance.choice(["en"] * 5 + ["de", "fr", None]), chance.choice(["src0", "src0", "src3", "src12"]), 0))
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{base}/documents.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(k, int(k % 17 > 0 and k % 23 > 0), 0) for k in range(420)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
     out = [spark.read.parquet(f"{base}/documents.parquet").collect()]
     now = spark.read.parquet(f"{base}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
@@ -45,13 +48,32 @@ def outputs(spark, tmp_path_factory):
 
 def test_quality(outputs):
     docs, kept = outputs[0][:2]
-    # 40 labels certify no cutoff, so the base rules alone decide
-    want = set()
-    for r in docs:
-        n, _, _, _, repeated = brute_features(r["text"])
-        if n >= 50 and 100 * repeated <= 50 * n:
-            want.add(r["doc_id"])
-    assert {r["doc_id"] for r in kept} == want and len(want) < len(docs)
+    found = {r["doc_id"]: brute_features(r["text"]) for r in docs}
+    strata = {r["doc_id"]: r["lang"] for r in docs}
+    ratio = {"symbols": lambda f: (f[2], f[1]), "repeats": lambda f: (f[4], f[0])}
+    cutoffs = {"symbols": [20, 10, 5, 2, 1], "repeats": [45, 40, 35, 30, 25, 20]}
+    good = {}
+    for k in range(420):
+        if k % 17 > 0 and k % 23 > 0:
+            good.setdefault(strata[k], []).append(found[k])
+    certified = {}
+    for lang, some in good.items():
+        for rule, steps in cutoffs.items():
+            for cut in steps:
+                bad = sum(100 * a > cut * b for a, b in map(ratio[rule], some))
+                tail = sum(comb(len(some), j) * 0.025**j * 0.975 ** (len(some) - j) for j in range(bad + 1))
+                if bad >= len(some) * 0.025 or tail > 0.1 / (len(good) * 2):
+                    break
+                certified[lang, rule] = cut
+    assert ("en", "symbols") in certified and ("en", "repeats") in certified and ("de", "symbols") not in certified
+    want, by_base = set(), set()
+    for i, f in found.items():
+        if f[0] < 50 or 100 * f[4] > 50 * f[0]:
+            continue
+        by_base.add(i)
+        if not any(100 * ratio[r](f)[0] > c * ratio[r](f)[1] for (lang, r), c in certified.items() if lang == strata[i]):
+            want.add(i)
+    assert {r["doc_id"] for r in kept} == want and len(want) < len(by_base) < len(docs)
 
 
 def test_lines(outputs):
