@@ -56,7 +56,7 @@ def _sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     number = np.cumsum(_ENDS[data])[begin] if len(begin) else np.empty(0, np.int64)
     first = np.flatnonzero(np.diff(number, prepend=-1))
     texts_at = np.searchsorted(begin[first], starts)
-    last = np.append(first[1:], len(begin)) - 1
+    last = np.append(first[1:], len(begin))[: len(first)] - 1
     own = np.searchsorted(starts, begin[first], side="right") - 1
     features = np.stack([hashes, *(tb.prefixes(data, begin, end, n) for n in _STEMS)], axis=1).reshape(-1)
     return (features >> np.uint64(44)).astype(np.int32), first * _PER_WORD, texts_at, begin[first] - starts[own], end[last] - starts[own]
