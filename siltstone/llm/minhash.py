@@ -207,15 +207,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     release(docs.sparkSession)
 
     def links_of(candidates: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ``candidates`` that share a table and are links by their full sets."""
+        """The pairs (a, b) of ``candidates`` that share a table and are links by their full sets.
+
+        An id with several texts may give a pair twice. That is left so: dropping repeats here
+        would tie the joins' partitions, and Spark could not split those of a central vertex.
+        """
         tables = vertices.select("id", F.col("a").alias("one"), F.col("b").alias("two"))
         keyed = checkpointed(candidates).join(tables.toDF("a", "one_a", "two_a"), "a").join(tables.toDF("b", "one_b", "two_b"), "b")
         meet = F.expr("exists(zip_with(one_a, one_b, (x, y) -> x = y), z -> z) and exists(zip_with(two_a, two_b, (x, y) -> x = y), z -> z)")
-        likely = checkpointed(keyed.filter(meet).select("a", "b").distinct())
+        likely = checkpointed(keyed.filter(meet).select("a", "b"))
         full = sets.select("id", "n", "items")
         both = likely.join(full.toDF("a", "n_a", "set_a"), "a").join(full.toDF("b", "n_b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        return checkpointed(both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct())
+        return checkpointed(both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
 
     links = links_of(central_candidates(entries, percent))
     component = checkpointed(components(links))
