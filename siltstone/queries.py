@@ -16,7 +16,7 @@ from .operators import update as U
 from .plans.pattern import plan, trigrams_of
 from .shared import checkpointed, shared_dir
 from .sources import corpus as C
-from .sources.store import Index, summary
+from .sources.store import Index, search_index, summary
 from .streaming import ingest
 
 NEW = """
@@ -295,6 +295,59 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("trigram", F.size("before").cast("long").alias("n"), (F.col("ids") == F.col("before")).alias("ok"), "error", F.octet_length("encoded").cast("long").alias("bytes"))
 
 
+def _updated_index(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
+    """An index of the old snapshot, and the new snapshot."""
+    index = Index(spark, f"{shared_dir(spark)}/text-update-{uuid.uuid4().hex}", sf_dir)
+    index.update(_snapshot(spark, sf_dir, OLD))
+    return index, _snapshot(spark, sf_dir, NEW)
+
+
+def search_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in the new snapshot through the old index as it is (step 1), and brought up to date (step 2)."""
+    index, new = _updated_index(spark, sf_dir)
+    stale = checkpointed(search_index(index, new, "license"))
+    fresh = search_index(index, new, "license", update=True)
+    return stale.select(F.lit(1).alias("step"), "path", "lineno", "line").unionByName(fresh.select(F.lit(2).alias("step"), "path", "lineno", "line"))
+
+
+def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds after an update and after compacting it."""
+    index, new = _updated_index(spark, sf_dir)
+    index.update(new)
+    updated = checkpointed(summary(index.files(), index.postings()).select(F.lit("updated").alias("state"), "files", "pairs"))
+    index.compact(new)
+    return updated.unionByName(summary(index.files(), index.postings()).select(F.lit("compacted").alias("state"), "files", "pairs"))
+
+
+def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an updated index that hold all trigrams of a pattern, without those that are gone."""
+    index, new = _updated_index(spark, sf_dir)
+    index.update(new)
+    return index.files().join(S.narrowed(plan("tion"), index.postings(), index.stats()), "file_id", "left_semi").select("path")
+
+
+def posting_list_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.posting_list(documents_index(spark, sf_dir).postings(), trigrams_of(b"lic").pop()).select(F.col("file_id").alias("doc_id"))
+
+
+def file_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored row of one file, and no row for an id that was never given."""
+    index = documents_index(spark, sf_dir)
+    return index.file(7).unionByName(index.file(-1)).select("file_id", "path", "size")
+
+
+def packed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three bytes of every document as a trigram."""
+    head = F.substring(F.encode("text", "UTF-8"), 1, 3)
+    return _table(spark, sf_dir, "documents").filter(F.octet_length("text") >= 3).select("doc_id", codec.pack(head).alias("trigram"))
+
+
+def shown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as they are shown, below a base and without one."""
+    rows = _snapshot(spark, sf_dir, NEW)
+    return rows.select("path", C.shown_path(F.col("path"), "corpus/").alias("below"), C.shown_path(F.col("path")).alias("plain"))
+
+
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     index = Index(spark, f"{base}/index", sf_dir)
@@ -346,6 +399,13 @@ QUERIES = {
     "posting_gaps": posting_gaps,
     "path_fnv1a64": path_fnv1a64,
     "codec_roundtrip": codec_roundtrip,
+    "search_after_update": search_after_update,
+    "compacted_index": compacted_index,
+    "live_candidates": live_candidates,
+    "posting_list_ids": posting_list_ids,
+    "file_by_id": file_by_id,
+    "packed_heads": packed_heads,
+    "shown_paths": shown_paths,
     "stream_index": stream_index,
     "stream_search": stream_search,
 }
@@ -448,6 +508,20 @@ ORACLES = {
     "posting_gaps": f"WITH {_grams('documents', 'doc_id', 'text')}, k AS (SELECT t, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY t ORDER BY doc_id) AS gap FROM g) SELECT {_NUMBER} AS trigram, max(gap) AS widest, count(*) AS n FROM k GROUP BY t",
     "path_fnv1a64": f"""WITH {_NEW}, h AS (SELECT path, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(path)), '..'), lambda x: ('0x' || x)::HUGEINT)),
         lambda a, x: xor(a, x) * 1099511628211 % 18446744073709551616) AS v FROM snew) SELECT path, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)::BIGINT AS hash FROM h""",
+    "search_after_update": f"""WITH {_NEW}, {_OLD}, {_STORED}, n AS (SELECT *, {_REASON} AS reason FROM snew),
+        {_lines("(SELECT n.path, n.content, s.content AS old FROM n LEFT JOIN stored s USING (path) WHERE NOT contains(n.content, chr(0)) AND NOT (" + _CONTROL.replace("content", "n.content") + "))", "path", "content")},
+        hit AS (SELECT path, lineno, regexp_replace(raw, '\\r$', '') AS line FROM l WHERE contains(raw, 'license'))
+        SELECT 1 AS step, hit.* FROM hit JOIN stored USING (path) WHERE contains(content, 'lic') AND contains(content, 'ice') AND contains(content, 'cen') AND contains(content, 'ens') AND contains(content, 'nse')
+        UNION ALL SELECT 2, hit.* FROM hit JOIN n USING (path) WHERE reason = 'ok'""",
+    "compacted_index": f"""WITH {_NEW}, {_OLD}, {_STORED}, n AS (SELECT * FROM (SELECT *, {_REASON} AS reason FROM snew) WHERE reason = 'ok'), {_grams("n", "path", "content", "gn")}, {_grams("stored", "path", "content", "go")}
+        SELECT 'updated' AS state, (SELECT count(*) FROM n) AS files, (SELECT count(*) FROM (SELECT * FROM gn UNION SELECT * FROM go)) AS pairs
+        UNION ALL SELECT 'compacted', (SELECT count(*) FROM n), (SELECT count(*) FROM gn)""",
+    "live_candidates": f"""WITH {_NEW}, {_OLD}, {_STORED}, n AS (SELECT * FROM (SELECT *, {_REASON} AS reason FROM snew) WHERE reason = 'ok')
+        SELECT n.path FROM n LEFT JOIN stored s USING (path) WHERE (contains(n.content, 'tio') OR contains(coalesce(s.content, ''), 'tio')) AND (contains(n.content, 'ion') OR contains(coalesce(s.content, ''), 'ion'))""",
+    "posting_list_ids": "SELECT doc_id FROM documents WHERE contains(text, 'lic')",
+    "file_by_id": "SELECT doc_id AS file_id, doc_id::VARCHAR AS path, strlen(text) AS size FROM documents WHERE doc_id = 7",
+    "packed_heads": "SELECT doc_id, ('0x' || left(hex(encode(text)), 6))::INTEGER AS trigram FROM documents WHERE strlen(text) >= 3",
+    "shown_paths": f"WITH {_NEW} SELECT path, 'corpus/' || path AS below, path AS plain FROM snew",
     "codec_roundtrip": f"""WITH {_grams("documents", "doc_id", "text")}, k AS (SELECT t, doc_id, doc_id // 65536 AS block, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY t, doc_id // 65536 ORDER BY doc_id) AS gap FROM g)
         SELECT {_NUMBER} AS trigram, count(*) AS n, true AS ok, NULL::VARCHAR AS error, sum({_BITS})::BIGINT AS bytes FROM k GROUP BY t, block""",
     "stream_search": _hit_sql("license", _ALL),
