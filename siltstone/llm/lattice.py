@@ -133,23 +133,26 @@ def _filed(vertices: DataFrame, how: Lattice) -> DataFrame:
     return vertices.select("id", "vec").mapInArrow(run, f"id {kind}, cell long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal ``key`` in a sorted stream."""
+def _whole_tasks(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
+    """A stream sorted by task as tables of about so many rows, or of one larger task."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        if held and held[-1].column(key)[0].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
-            held = []
-        held.append(batch.slice(edges[-2]))
+        if count >= rows:
+            # up to the last change of task, what is held is whole
+            whole = pa.Table.from_batches(held).combine_chunks()
+            tasks = np.append(whole.column("task").to_numpy(), batch.column("task")[0].as_py())
+            edge = int(np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1]))[-1])
+            if edge:
+                yield whole.slice(0, edge)
+                held = whole.slice(edge).to_batches()
+                count -= edge
+        held.append(batch)
+        count += batch.num_rows
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _block_pairs(members: DataFrame, group: str, vertices: DataFrame, block: int) -> DataFrame:
@@ -161,47 +164,66 @@ def _block_pairs(members: DataFrame, group: str, vertices: DataFrame, block: int
     return dealt.join(vertices, "id").repartition("task").sortWithinPartitions("task")
 
 
-def _local_components(linked: np.ndarray, across: bool) -> np.ndarray:
-    """The smallest row that each row reaches; ``across``: columns are further rows, behind the others."""
-    n = len(linked)
-    label = np.arange(n + linked.shape[1] if across else n)
-    at = n if across else 0
-    while True:
-        new = label.copy()
-        new[:n] = np.minimum(new[:n], np.where(linked, new[at:], len(label)).min(axis=1))
-        new[at:] = np.minimum(new[at:], np.where(linked, new[:n, None], len(label)).min(axis=0))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _products(task: pa.Table) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray, bool]]:
-    """The cosines of a task's two blocks, or of its one block with itself, for each length of vectors."""
-    task = task.combine_chunks()
-    lengths = task.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    own = task.column("own").to_numpy()
-    across = not task.column("same")[0].as_py()
-    for length in np.unique(lengths):
-        some = lengths == length
-        parts = [task.take(pa.array(np.flatnonzero(some & (own == k)))).combine_chunks() for k in (np.unique(own) if across else own[:1])]
-        units = [_unit(_matrix(p.column("vec").combine_chunks())) for p in parts if p.num_rows]
-        if len(units) == len(parts) == 1 + across:
-            yield parts[0], parts[-1], units[0] @ units[-1].T, across
+#: Tasks of one block of so many vectors at most are compared pair by pair, all of a table at once.
+_SMALL = 64
+_PAIRS = 1 << 16
+
+
+def _pairs_of_small(unit: np.ndarray, size: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among consecutive groups of ``size`` rows each."""
+    n = len(unit)
+    after = np.repeat(np.cumsum(size), size) - np.arange(n) - 1  # rows behind a row in its group
+    starts = np.cumsum(after) - after
+    one = np.repeat(np.arange(n), after)
+    other = one + 1 + np.arange(len(one)) - np.repeat(starts, after)
+    kept = [np.einsum("ij,ij->i", unit[one[k : k + _PAIRS]], unit[other[k : k + _PAIRS]]) >= at_least for k in range(0, len(one), _PAIRS)]
+    kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+    return one[kept], other[kept]
+
+
+def _links(batches: Iterator[pa.RecordBatch], how: Lattice) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, i, j): the links between rows i and j, each once: of one block of a group, or across its two."""
+    for tasks in _whole_tasks(batches):
+        lengths = tasks.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        for length in np.unique(lengths):
+            rows = tasks.take(pa.array(np.flatnonzero(lengths == length))).combine_chunks()
+            task = rows.column("task").to_numpy()
+            first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            size = np.diff(np.append(first, len(task)))
+            same = rows.column("same").to_numpy(zero_copy_only=False)[first]
+            small = same & (size <= _SMALL)
+            few = rows.take(pa.array(np.flatnonzero(np.repeat(small, size)))).combine_chunks()
+            if few.num_rows:
+                yield few, *_pairs_of_small(_unit(_matrix(few.column("vec").combine_chunks())), size[small], how.at_least)
+            for k in np.flatnonzero(~small):
+                own = rows.slice(int(first[k]), int(size[k])).combine_chunks()
+                unit = _unit(_matrix(own.column("vec").combine_chunks()))
+                block = own.column("own").to_numpy()
+                one = np.arange(len(block)) if same[k] else np.flatnonzero(block == block[0])
+                other = one if same[k] else np.flatnonzero(block != block[0])
+                linked = unit[one] @ unit[other].T >= how.at_least
+                i, j = np.nonzero(np.triu(linked, 1) if same[k] else linked)
+                yield own, one[i], other[j]
 
 
 def _star_links(tasks: DataFrame, how: Lattice) -> DataFrame:
+    """(a, b): each vector of a task with the first one that it reaches there."""
     kind = tasks.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task in _groups(batches, "task"):
-            for one, other, cosine, across in _products(task):
-                label = _local_components(cosine >= how.at_least, across)
-                far = np.flatnonzero(label != np.arange(len(label)))
-                if len(far):
-                    ids = [t.column("id").combine_chunks() for t in ([one, other] if across else [one])]
-                    ids = pa.concat_arrays(ids)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[far])), ids.take(pa.array(far))], names=["a", "b"])
+        for rows, i, j in _links(batches, how):
+            label = np.arange(rows.num_rows)
+            while True:
+                new = label.copy()
+                np.minimum.at(new, i, label[j])
+                np.minimum.at(new, j, label[i])
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            far = np.flatnonzero(label != np.arange(len(label)))
+            ids = rows.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[far])), ids.take(pa.array(far))], names=["a", "b"])
 
     return tasks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -210,16 +232,11 @@ def _link_counts(tasks: DataFrame, how: Lattice) -> DataFrame:
     kind = tasks.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task in _groups(batches, "task"):
-            for one, other, cosine, across in _products(task):
-                linked = cosine >= how.at_least
-                if not across:
-                    np.fill_diagonal(linked, False)
-                found = [(one, linked @ other.column("size").to_numpy())]
-                if across:
-                    found.append((other, one.column("size").to_numpy() @ linked))
-                for rows, n in found:
-                    yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(n.astype(np.int64))], names=["id", "n"])
+        for rows, i, j in _links(batches, how):
+            size = rows.column("size").to_numpy()
+            n = np.bincount(i, size[j], len(size)) + np.bincount(j, size[i], len(size))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(some)), pa.array(n[some].astype(np.int64))], names=["id", "n"])
 
     return tasks.mapInArrow(run, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
