@@ -591,6 +591,23 @@ def test_lattice(spark):
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 50])
+def test_separated_vectors_are_exact(spark, block):
+    """Tight groups, from one vector to 300: in pairs, in a matrix, and across blocks."""
+    chance = np.random.default_rng(9)
+    rows, group = [], []
+    for g, n in enumerate([1, 2, 3, 5, 64, 65, 70, 300] + [1] * 60):
+        centre = chance.normal(size=32)
+        for _ in range(n):
+            rows.append((len(rows), (centre + chance.normal(size=32) * 0.03).tolist()))
+            group.append(g)
+    rows.append((len(rows), rows[10][1]))  # an exact copy
+    group.append(group[10])
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), how=lattice.Lattice(block=block)).collect()}
+    for k, g in enumerate(group):
+        assert (got[k]["n_links"], got[k]["component_id"]) == (group.count(g) - 1, group.index(g)), k
+
+
 def test_e8_decoding_is_nearest():
     chance = np.random.default_rng(5)
     steps = lattice.shortest_steps()
