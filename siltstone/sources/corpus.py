@@ -17,6 +17,8 @@ LISTING = "path string, mtime_ns long, size long"
 
 #: Bytes of content that a task reads, and that a batch of rows holds, about.
 _TASK_BYTES, _BATCH_BYTES = 128 << 20, 16 << 20
+#: So many paths at most are pushed into a table's scan.
+_PUSHED = 10_000
 
 
 def _store(root: str):
@@ -163,7 +165,12 @@ class Table(Corpus):
         return self.frame.select("path", "mtime_ns", "size")
 
     def reading(self, rows: DataFrame) -> DataFrame:
-        return rows.drop("content").join(self.frame.select("path", "content"), "path")
+        """With few rows their paths are pushed into the scan, and content is not shuffled."""
+        rows, content = rows.drop("content"), self.frame.select("path", "content")
+        few = [r[0] for r in rows.select("path").limit(_PUSHED + 1).collect()]
+        if len(few) > _PUSHED:
+            return rows.join(content, "path")
+        return content.filter(F.col("path").isin(few) if few else F.lit(False)).join(F.broadcast(rows), "path")  # at most _PUSHED rows
 
     def whole(self) -> DataFrame:
         return self.frame
