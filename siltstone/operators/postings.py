@@ -18,6 +18,8 @@ from ..functions import codec
 
 BLOCK = 65536
 BUCKETS = 64
+#: Blocks whose lists of a bucket are merged and written by one task.
+SPAN = 64
 
 
 def trigram_pairs(files: DataFrame) -> DataFrame:
@@ -25,10 +27,10 @@ def trigram_pairs(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.explode(codec.trigrams("content")).alias("trigram")).select("trigram", "file_id")
 
 
-def inverted(files: DataFrame) -> DataFrame:
-    """Blocked form (tbucket, trigram, block, ids) of (file_id, content); ids ascend.
+def short_lists(files: DataFrame) -> DataFrame:
+    """(trigram, block, ids) of (file_id, content), in short lists.
 
-    Each task inverts the files of a batch on its own and sends on short lists, one for
+    Each task inverts the files of a batch on its own, so what is shuffled next is one list for
     each trigram and batch, not one row for each pair.
     """
 
@@ -41,9 +43,23 @@ def inverted(files: DataFrame) -> DataFrame:
                 yield from _inverted_batch(batch.slice(at, stop - at))
                 at = stop
 
-    lists = files.select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, block long, ids array<long>")
-    whole = lists.groupBy("trigram", "block").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-    return whole.select((F.col("trigram") % BUCKETS).alias("tbucket"), "trigram", "block", "ids")
+    return files.select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, block long, ids array<long>")
+
+
+def joined_lists(lists: DataFrame) -> DataFrame:
+    """Blocked form (tbucket, trigram, block, ids) of lists that may be in several parts; ids ascend.
+
+    One shuffle, by bucket and span of blocks, joins the parts and puts together what
+    goes to one file, so an index of any size has as many tasks as it has spans and buckets.
+    """
+    keyed = lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), F.floor(F.col("block") / SPAN).alias("span"), "trigram", "block", "ids")
+    whole = keyed.repartition("tbucket", "span").groupBy("tbucket", "span", "trigram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    return whole.drop("span")
+
+
+def inverted(files: DataFrame) -> DataFrame:
+    """Blocked form (tbucket, trigram, block, ids) of (file_id, content); ids ascend."""
+    return joined_lists(short_lists(files))
 
 
 def _inverted_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -117,10 +133,9 @@ def new_pairs(pairs: DataFrame, old: DataFrame, changed: DataFrame | None = None
     return pairs.join(known, ["trigram", "file_id"], "left_anti")
 
 
-def blocked(pairs: DataFrame) -> DataFrame:
-    """Blocked form of pairs (trigram, file_id), each once."""
-    lists = pairs.groupBy("trigram", F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
-    return lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), "trigram", "block", "ids")
+def listed(pairs: DataFrame) -> DataFrame:
+    """(trigram, block, ids) of pairs (trigram, file_id)."""
+    return pairs.groupBy("trigram", F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.collect_list("file_id").alias("ids"))
 
 
 def stale(postings: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def narrowed(query: Query, postings: DataFrame, stats: DataFrame | None = None,
     return P.candidates(postings, required) if required is not None else postings.select(F.lit(0).cast("long").alias("file_id")).limit(0)
 
 
-def search(content: DataFrame, pattern: str, ignore_case: bool = False, postings: DataFrame | None = None, stats: DataFrame | None = None, files: DataFrame | None = None, most_trigrams: int = 8, pushed: int = 10_000, with_spans: bool = False) -> DataFrame:
+def search(content: DataFrame, pattern: str, ignore_case: bool = False, postings: DataFrame | None = None, stats: DataFrame | None = None, files: DataFrame | None = None, most_trigrams: int = 8, pushed: int = 1000, with_spans: bool = False) -> DataFrame:
     """Hits in live content (file_id, path, text), narrowed by postings where there are any.
 
     Bad patterns raise before any data is read. Content that looks binary has no hits, nor

@@ -18,7 +18,7 @@ LISTING = "path string, mtime_ns long, size long"
 #: Bytes of content that a task reads, and that a batch of rows holds, about.
 _TASK_BYTES, _BATCH_BYTES = 128 << 20, 16 << 20
 #: So many paths at most are pushed into a table's scan.
-_PUSHED = 10_000
+_PUSHED = 1000
 
 
 def _store(root: str):

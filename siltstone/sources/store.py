@@ -60,8 +60,9 @@ class Index:
         read = self.spark.read.schema("trigram int, df long").parquet(*[self.store.at(g, "stats") for g in self._opened()["postings"]])
         return read.groupBy("trigram").agg(F.sum("df").alias("df"))
 
-    def _write_postings(self, generation: str, postings: DataFrame) -> None:
-        table = postings.repartition("tbucket").sortWithinPartitions("trigram", "block")
+    def _write_postings(self, generation: str, lists: DataFrame) -> None:
+        """Join and write lists (trigram, block, ids), and how many files each trigram has in them."""
+        table = P.joined_lists(lists).sortWithinPartitions("tbucket", "trigram", "block")
         table.write.mode("overwrite").partitionBy("tbucket").parquet(self.store.at(generation, "postings"))
         written = self.spark.read.schema("trigram int, block long, ids array<long>, tbucket int").parquet(self.store.at(generation, "postings"))
         P.document_frequency(written).write.mode("overwrite").parquet(self.store.at(generation, "stats"))
@@ -87,7 +88,7 @@ class Index:
         numbered.select("file_id", "path", "mtime_ns", "size", "content_hash").write.mode("overwrite").parquet(self.store.at(name, "files"))
         files = self.spark.read.schema(U.FILES).parquet(self.store.at(name, "files"))
         content = whole.filter("reason = 'ok'").select(F.col(ids).cast("long").alias("file_id"), "content") if ids else corpus.reading(files.select("path", "size", "file_id"))
-        self._write_postings(name, P.inverted(content))
+        self._write_postings(name, P.short_lists(content))
         last = files.agg(F.max("file_id")).first()[0] or 0
         self._commit({"generation": number, "files": [name], "postings": [name], "last_id": last, "streams": {}})
         for old in {*before["files"], *before["postings"]} - {name}:
@@ -121,7 +122,7 @@ class Index:
             pairs = checkpointed(P.new_pairs(P.trigram_pairs(content), self.postings(), files.filter("status = 'changed'")))
             stats["trigrams_rewritten"] = U.lists_rewritten(pairs).first()[0]
             if stats["trigrams_rewritten"]:
-                self._write_postings(name, P.blocked(pairs))
+                self._write_postings(name, P.listed(pairs))
                 names = [*names, name]
         last = max(manifest["last_id"], added.agg(F.max("file_id")).first()[0] or 0)
         self._commit(manifest | {"generation": number, "files": [name], "postings": names, "last_id": last})
@@ -145,18 +146,18 @@ class Index:
             self._commit(raw | {"streams": streams})
             return
         ok.select("file_id", "path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash")).write.mode("overwrite").parquet(self.store.at(name, "files"))
-        self._write_postings(name, P.inverted(ok))
+        self._write_postings(name, P.short_lists(ok))
         last = ok.agg(F.max("file_id")).first()[0]
         self._commit(raw | {"generation": raw["generation"] + 1, "files": [*raw["files"], name], "postings": [*raw["postings"], name], "last_id": last, "streams": streams})
         if len(raw["postings"]) + 1 >= merge_every:
             self.merge()
 
-    def _rewrite(self, postings: DataFrame) -> None:
+    def _rewrite(self, lists: DataFrame) -> None:
         """The same files with other lists, as the only generation."""
         manifest = self._opened()
         number = manifest["generation"] + 1
         name = f"gen-{number:06d}"
-        self._write_postings(name, postings)
+        self._write_postings(name, lists)
         self.files().write.mode("overwrite").parquet(self.store.at(name, "files"))
         self._commit(manifest | {"generation": number, "files": [name], "postings": [name]})
         for old in {*manifest["files"], *manifest["postings"]} - {name}:
@@ -164,14 +165,13 @@ class Index:
 
     def merge(self) -> None:
         """One generation of what the index holds now; no content is read."""
-        whole = self.postings().groupBy("tbucket", "trigram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-        self._rewrite(whole)
+        self._rewrite(self.postings())
 
     def compact(self, corpus: Corpus | DataFrame) -> None:
         """One generation of postings without stale pairs; ids and files stay as they are."""
         true = P.trigram_pairs(as_corpus(corpus).reading(self.files().select("path", "size", "file_id")))
         known = self.postings().select("trigram", F.explode("ids").alias("file_id")).distinct().join(true, ["trigram", "file_id"], "left_semi")
-        self._rewrite(P.blocked(known))
+        self._rewrite(P.listed(known))
 
 
 def summary(files: DataFrame, postings: DataFrame) -> DataFrame:
