@@ -138,9 +138,10 @@ class Index:
         become one generation again.
         """
         raw = self.manifest() or {"generation": 0, "files": [], "postings": [], "last_id": 0, "streams": {}}
-        if batch <= raw["streams"].get(stream, -1):
+        done = raw.get("streams", {})
+        if batch <= done.get(stream, -1):
             return
-        name, streams = f"{stream}-{batch:06d}", raw["streams"] | {stream: batch}
+        name, streams = f"{stream}-{batch:06d}", done | {stream: batch}
         ok = checkpointed(U.with_ids(U.indexable(corpus).filter("reason = 'ok'"), raw["last_id"]))
         if ok.isEmpty():
             self._commit(raw | {"streams": streams})
