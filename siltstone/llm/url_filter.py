@@ -94,8 +94,8 @@ class Shard:
         return self.strings[int(self.ends[at - 1]) if at else 0 : int(self.ends[at])].tobytes()
 
 
-#: Mapped pages belong to the system's cache; only the places of so many shards are kept.
-_shard = lru_cache(maxsize=1024)(Shard)
+#: So many shards are kept open. Mapped pages belong to the system's cache; elsewhere a shard is in memory.
+_shard = lru_cache(maxsize=16)(Shard)
 
 
 def _hits(digests: np.ndarray, least: np.ndarray, files: list[str]) -> Iterator[tuple[int, Shard, int]]:
