@@ -102,7 +102,8 @@ def candidates(postings: DataFrame, required: list[int] | tuple[int, ...]) -> Da
     """
     required = list(required)
     some = postings.filter(F.col("tbucket").isin(sorted({t % BUCKETS for t in required})) & F.col("trigram").isin(required))
-    whole = some.groupBy("block", "trigram").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    # one shuffle serves both groupings
+    whole = some.repartition("block").groupBy("block", "trigram").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     lists = whole.groupBy("block").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == len(required))
     both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], lambda a, x: F.array_intersect(a, x))
     return lists.select(F.explode(both).alias("file_id"))

@@ -38,7 +38,9 @@ def narrowed(query: Query, postings: DataFrame, stats: DataFrame | None = None,
     """(file_id) of the only files that can match, by the rarest required trigrams; None if the index can't tell."""
     if not query.required:
         return None
-    required = P.rarest(stats, list(query.required), most_trigrams) if stats is not None else list(query.required)
+    required = list(query.required)
+    if stats is not None and len(required) > most_trigrams:
+        required = P.rarest(stats, required, most_trigrams)
     return P.candidates(postings, required) if required is not None else postings.select(F.lit(0).cast("long").alias("file_id")).limit(0)
 
 
