@@ -145,7 +145,8 @@ def batch(content: DataFrame, patterns: dict[int, str], postings: DataFrame, sta
     chosen = pairs.groupBy("pattern_id", "file_id", "k").agg(F.count("*").alias("n")).filter("n = k").select("pattern_id", "file_id")
     open_plans = [k for k in plans if k not in needed]
     if open_plans:
-        chosen = chosen.unionByName(live.select(F.explode(F.array(*map(F.lit, open_plans))).alias("pattern_id"), "file_id"))
+        # ids alone; content that is not live drops out below
+        chosen = chosen.unionByName((content if files is None else files).select(F.explode(F.array(*map(F.lit, open_plans))).alias("pattern_id"), "file_id"))
     by_file = chosen.groupBy("file_id").agg(F.collect_set("pattern_id").alias("ids"))
     rows = live.join(by_file, "file_id").select("file_id", "ids", F.explode(lines(F.col("text"))).alias("line"))
     counts = [F.count_if(F.array_contains("ids", k) & F.col("line").rlike(q.java)).alias(str(k)) for k, q in plans.items()]
