@@ -53,7 +53,7 @@ def joined_lists(lists: DataFrame) -> DataFrame:
     goes to one file, so an index of any size has as many tasks as it has spans and buckets.
     """
     keyed = lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), F.floor(F.col("block") / SPAN).alias("span"), "trigram", "block", "ids")
-    whole = keyed.repartition("tbucket", "span").groupBy("tbucket", "span", "trigram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    whole = keyed.repartition("tbucket", "span").groupBy("tbucket", "span", "trigram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     return whole.drop("span")
 
 
