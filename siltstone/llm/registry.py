@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, toxicity, url_filter
+from . import attention, impact, lattice, line_dedup, materialise, minhash, mixing, packing, quality_rules, ranked, runs, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_minhash": minhash.op9_minhash,
     "op10_lattice": lattice.op10_lattice,
+    "op11_top_k": impact.op11_top_k,
+    "op12_ranked": ranked.op12_ranked,
+    "op13_runs": runs.op13_runs,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
@@ -23,4 +26,6 @@ ORACLES = {
     "op8_mix": mixing.ORACLE,
     "op9_minhash": minhash.ORACLE,
     "op10_lattice": lattice.ORACLE,
+    "op11_top_k": impact.ORACLE,
+    "op12_ranked": ranked.ORACLE,
 }
