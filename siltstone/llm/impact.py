@@ -5,10 +5,10 @@ some queries and a span of rows, which it indexes and searches ``block`` rows at
 
 * Index of a block: for each dimension its rows by value; the rows of one value are a segment,
   and a segment's impact on a query is the query's component times its value.
-* Score at a time: impacts are quantised by powers of four, and all segments of one level are
+* Score at a time: impacts are quantised by powers of eight, and all segments of one level are
   processed together, from the highest level down: each row sums what it has met.
-* After each level a row has an upper bound: its sum, and for each dimension it was not met in the
-  largest impact that is left. The k-th best exact score so far (of earlier blocks, or of the k
+* After each of the last levels a row has an upper bound: its sum, and the largest impacts that are
+  left in all dimensions. The k-th best exact score so far (of earlier blocks, or of the k
   rows with the largest sums) is the bar. Rows that can't reach it are proved out. Once few
   are left, or nothing but impacts of zero and below is, the rest is scored exactly.
 * The bar goes on from block to block within a task; the k best of each task meet in a window.
@@ -34,17 +34,20 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
+#: Impacts of one level differ by this factor at most.
+_BASE = 8
+
 
 @dataclass(frozen=True)
 class Search:
     k: int = 20
     scale: int = 64
     #: Rows that are indexed together, blocks that a task searches one after another, and its queries.
-    block: int = 2048
-    span: int = 16
+    block: int = 4096
+    span: int = 32
     queries: int = 64
     #: The share of a block (1 / rest) that may be left to score exactly when levels stop.
-    rest: int = 8
+    rest: int = 4
 
 
 class Segments:
@@ -52,10 +55,14 @@ class Segments:
 
     def __init__(self, values: np.ndarray):
         self.values = values
+        self.single = values.astype(np.float32)
+        self.bound = max(1, int(np.abs(values).max(initial=0)))
         d = values.shape[1]
-        order = np.argsort(values, axis=0, kind="stable")
-        ordered = np.take_along_axis(values, order, 0).T
-        self.rows, self.held = order.T.ravel(), ordered.ravel()
+        lists = np.ascontiguousarray(values.T)
+        # small numbers are sorted by their digits
+        order = np.argsort(lists.astype(np.int16) if self.bound < 1 << 15 else lists, axis=1, kind="stable")
+        ordered = np.take_along_axis(lists, order, 1)
+        self.rows, self.held = order.ravel(), ordered.ravel().astype(np.float64)
         self.least, self.most = values.min(axis=0), values.max(axis=0)
         self.low, self.width = int(values.min()), int(values.max()) - int(values.min()) + 2
         self.starts = np.arange(d) * self.width
@@ -65,61 +72,67 @@ class Segments:
         """In each dimension the first posting of at least a value."""
         return np.searchsorted(self.keys, np.clip(value - self.low, 0, self.width - 1) + self.starts)
 
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores of some rows; in single precision where that holds all whole numbers on the way."""
+        if self.bound * int(np.abs(q).max()) * len(q) < 1 << 24:
+            return (self.single[rows] @ q.astype(np.float32)).astype(np.int64)
+        return self.values[rows] @ q
+
 
-def _levels(index: Segments, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(first, last, floor): the postings of each dimension whose impact is ``floor`` or more, and below the level before."""
-    up = q > 0
-    divisor = np.where(q == 0, 1, q)
+def _levels(index: Segments, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(first, last, floor, left): the postings of each dimension whose impact is ``floor`` or more, and
+    below the level before; and what all dimensions' lower impacts can add up to."""
+    up, live = q > 0, q != 0
+    divisor = np.where(live, q, 1)
 
     def edges(floor: int) -> np.ndarray:
         # up: the first posting with enough impact; down: one behind the last
         return index.first(np.where(up, -(-floor // divisor), floor // divisor + 1))
 
-    most = int(np.maximum(q * index.least, q * index.most).max(initial=0))
+    largest = np.maximum(q * index.least, q * index.most)
+    most = int(largest.max(initial=0))
     floor = 1
-    while 4 * floor <= most:
-        floor *= 4
+    while _BASE * floor <= most:
+        floor *= _BASE
     before = edges(most + 1)
     while floor:
         now = edges(floor)
         first, last = np.where(up, now, before), np.where(up, before, now)
-        yield first, np.where(q == 0, first, last), floor
-        before, floor = now, floor // 4
+        yield first, np.where(live, last, first), floor, int(np.clip(largest, 0, floor - 1).sum())
+        before, floor = now, floor // _BASE
 
 
 def possible_rows(index: Segments, q: np.ndarray, own: list[int], k: int, bar: int | None, rest: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, scores): all rows of a block that can be among the k best, with their exact scores; ``own`` rows are barred."""
     n = len(index.values)
-    sums, met = np.zeros(n), np.zeros(n)
-    live = int((q != 0).sum())
-    barred = np.zeros(n, bool)
-    barred[own] = True
-    left = ~barred
-    raised = False
-    for first, last, floor in _levels(index, q):
-        size = last - first
-        total = int(size.sum())
-        if total:
-            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)
-            rows = index.rows[at]
-            sums += np.bincount(rows, np.repeat(q, size) * index.held[at], n)
-            met += np.bincount(rows, minlength=n)
-        if floor > 64 and bar is None:
+    sums = np.zeros(n)
+    left, raised = None, False
+    for first, last, floor, more in _levels(index, q):
+        some = np.flatnonzero(last > first)
+        if len(some):
+            spans = [slice(a, b) for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+            gain = np.concatenate([index.held[s] for s in spans])
+            gain *= np.repeat(q[some], (last - first)[some])
+            sums += np.bincount(np.concatenate([index.rows[s] for s in spans]), gain, n)
+        if floor > _BASE * _BASE:
             continue
-        if not raised and floor <= 64:
+        if not raised:
             # the k rows with the largest sums so far: their k-th exact score is met by k rows
             raised = True
-            likely = np.flatnonzero(~barred)
-            if len(likely) >= k:
-                likely = likely[np.argpartition(-sums[likely], k - 1)[:k]]
-                least = int((index.values[likely] @ q).min())
+            sums[own] = -np.inf
+            likely = np.argpartition(-sums, k - 1)[:k] if n - len(own) >= k else np.zeros(0, np.int64)
+            if len(likely):
+                least = int(index.scores(likely, q).min())
                 bar = least if bar is None else max(bar, least)
         if bar is not None:
-            left = ~barred & (sums + (live - met) * (floor - 1) >= bar)
-            if left.sum() * rest <= n:
+            left = sums + more >= bar
+            if np.count_nonzero(left) * rest <= n:
                 break
+    if left is None:
+        left = np.ones(n, bool)
+    left[own] = False
     rows = np.flatnonzero(left)
-    return rows, index.values[rows] @ q
+    return rows, index.scores(rows, q)
 
 
 def _tasks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -179,12 +192,15 @@ def top_k(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str
                 asking += list(values)
                 best += [[] for _ in names]
                 continue
-            index, place = Segments(values), {}
+            index, place, sought = Segments(values), {}, set(searched)
             for k, name in enumerate(names):
-                place.setdefault(name, []).append(k)
+                if name in sought:
+                    place.setdefault(name, []).append(k)
             for k, (name, q) in enumerate(zip(searched, asking, strict=True)):
                 bar = -best[k][-1][0] if len(best[k]) == how.k else None
                 near, scores = possible_rows(index, q, place.get(name, []), how.k, bar, how.rest)
+                if len(scores) > how.k:
+                    bar = max(int(np.partition(scores, -how.k)[-how.k]), scores.min() if bar is None else bar)
                 if bar is not None:
                     near, scores = near[scores >= bar], scores[scores >= bar]
                 best[k] = heapq.nsmallest(how.k, [*best[k], *((-int(s), names[r]) for r, s in zip(near, scores, strict=True))])
