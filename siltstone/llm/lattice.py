@@ -16,7 +16,8 @@ once, so a count costs one product per pair of a component's vectors.
 
 Vectors that are null, empty, zero or hold a null or a non-finite component link with
 nothing, and so do rows with a null key; vectors of different lengths don't link. Equal
-vectors are one vertex with a size.
+vectors are one vertex with a size. Rows of one key and different vectors are each judged by their
+own vector; a component is named by the smallest key in it.
 """
 
 from __future__ import annotations
@@ -247,13 +248,16 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     usable = F.col("key").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     source = rows.select(F.col(key).alias("key"), F.col(vector).alias("vec"))
     source = source.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
-    vertices = checkpointed(source.filter("ok").groupBy("h1", "h2").agg(F.min("key").alias("id"), F.count("*").alias("size"), F.first("vec").alias("vec")))
+    # a vertex has a number of its own, as one key may come with several vectors
+    vertices = source.filter("ok").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count("*").alias("size"), F.first("vec").alias("vec"))
+    vertices = checkpointed(vertices.withColumn("id", F.monotonically_increasing_id()))
     body = vertices.select("id", "size", "vec")
     links = _star_links(_block_pairs(_filed(vertices, how), "cell", body, how.block), how)
     component = checkpointed(components(checkpointed(links)))
     counts = _link_counts(_block_pairs(component, "component", body, how.block), how)
-    known = vertices.select("h1", "h2", "id", "size").join(component.join(counts, "id", "left"), "id", "left")
-    known = known.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    names = component.join(vertices.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("name"))
+    known = vertices.select("h1", "h2", "id", "size", "least").join(component.join(counts, "id", "left").join(names, "component"), "id", "left")
+    known = known.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("name", "least").alias("component"))
     out = source.drop("vec").join(known, (F.col("ok")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     component_id = F.coalesce("component", "key")
     return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("key") == component_id, F.lit(True)).alias("kept"))
