@@ -47,21 +47,26 @@ def binary_content(content: Column) -> Column:
     return has_nul(content) | has_control(content)
 
 
+#: What ``has_control`` counts, as bytes.
+_CONTROL = bytes(b for b in range(32) if b not in b"\t\n\r") + b"\x7f"
+
+
+def head_reason(head: bytes) -> str | None:
+    """nul or control, by the first 8192 bytes: the rules of ``has_nul`` and ``has_control`` for use inside tasks."""
+    if b"\0" in head:
+        return "nul"
+    return "control" if 20 * (len(head) - len(head.translate(None, _CONTROL))) > len(head) else None
+
+
+def stat_reason(path: Column, size: Column) -> Column:
+    """too_large or binary_name, which need no content, or null."""
+    return F.when(too_large(size), "too_large").when(binary_name(path), "binary_name")
+
+
 def index_reason(path: Column, size: Column, content: Column) -> Column:
     """ok, or the first reason against: too_large, binary_name, unreadable, nul, control."""
-    return (
-        F.when(too_large(size), "too_large")
-        .when(binary_name(path), "binary_name")
-        .when(content.isNull(), "unreadable")
-        .when(has_nul(content), "nul")
-        .when(has_control(content), "control")
-        .otherwise("ok")
-    )
-
-
-def mtime_ns(modified: Column) -> Column:
-    """Nanoseconds since the epoch, 0 where there is none."""
-    return F.coalesce(F.unix_micros(modified) * 1000, F.lit(0)).cast("long")
+    by_content = F.when(content.isNull(), "unreadable").when(has_nul(content), "nul").when(has_control(content), "control")
+    return F.coalesce(stat_reason(path, size), by_content, F.lit("ok"))
 
 
 def unchanged_by_stat(mtime: Column, size: Column, old_mtime: Column, old_size: Column) -> Column:

@@ -20,6 +20,8 @@ BLOCK = 65536
 BUCKETS = 64
 #: Blocks whose lists of a bucket are merged and written by one task.
 SPAN = 64
+#: File ids of one partition of the forward table.
+FORWARD = 4096
 
 
 def trigram_pairs(files: DataFrame) -> DataFrame:
@@ -46,14 +48,16 @@ def short_lists(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, block long, ids array<long>")
 
 
-def joined_lists(lists: DataFrame) -> DataFrame:
+def joined_lists(lists: DataFrame, small: bool = False) -> DataFrame:
     """Blocked form (tbucket, trigram, block, ids) of lists that may be in several parts; ids ascend.
 
     One shuffle, by bucket and span of blocks, joins the parts and puts together what
-    goes to one file, so an index of any size has as many tasks as it has spans and buckets.
+    goes to one file, so an index of any size has as many tasks as it has spans and buckets. ``small``
+    lists are the work of one task.
     """
     keyed = lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), F.floor(F.col("block") / SPAN).alias("span"), "trigram", "block", "ids")
-    whole = keyed.repartition("tbucket", "span").groupBy("tbucket", "span", "trigram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    dealt = keyed.repartition(1) if small else keyed.repartition("tbucket", "span")
+    whole = dealt.groupBy("tbucket", "span", "trigram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     return whole.drop("span")
 
 
@@ -122,18 +126,30 @@ def new_pairs(pairs: DataFrame, old: DataFrame, changed: DataFrame | None = None
     """Pairs (trigram, file_id) that the old postings lack.
 
     With ``changed`` (file_id) only the lists' ids of these files are looked at: ids of
-    added files can't be in them.
+    added files can't be in them. A list is intersected with its block's changed ids before it
+    is exploded.
     """
-    some = old
+    known = old.select("trigram", F.explode("ids").alias("file_id"))
     if changed is not None:
-        blocks = changed.select(F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).distinct()
-        some = old.join(blocks, "block", "left_semi")
-    known = some.select("trigram", F.explode("ids").alias("file_id"))
-    if changed is not None:
-        known = known.join(changed.select("file_id"), "file_id", "left_semi")
+        # at most BLOCK ids a row
+        blocks = changed.groupBy(F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.collect_set("file_id").alias("changed"))
+        known = old.join(blocks, "block").select("trigram", F.explode(F.array_intersect("ids", "changed")).alias("file_id"))
     return pairs.join(known, ["trigram", "file_id"], "left_anti")
 
 
+def forward_rows(files: DataFrame) -> DataFrame:
+    """(fblock, file_id, trigrams): the sorted trigrams of each of (file_id, content), in spans of ``FORWARD`` ids."""
+    span = F.floor(F.col("file_id") / FORWARD).cast("long")
+    return files.select(span.alias("fblock"), "file_id", codec.trigrams("content").alias("trigrams"))
+
+
+def forward_delta(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Pairs (trigram, file_id) of (file_id, trigrams) that the old rows lack: one array difference a file."""
+    both = new.join(old.select("file_id", F.col("trigrams").alias("before")), "file_id", "left")
+    gained = F.when(F.col("before").isNull(), F.col("trigrams")).otherwise(F.array_except("trigrams", "before"))
+    return both.select(F.explode(gained).alias("trigram"), "file_id")
+
+
 def listed(pairs: DataFrame) -> DataFrame:
     """(trigram, block, ids) of pairs (trigram, file_id)."""
     return pairs.groupBy("trigram", F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.collect_list("file_id").alias("ids"))

@@ -98,9 +98,32 @@ def first_per_file(hits: DataFrame) -> DataFrame:
 
 
 def first_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The first n of hits that are there, or are all to be found."""
     return hits.orderBy("file_id", "lineno").limit(n)
 
 
+def first_hits_of(live: DataFrame, read, query: Query, n: int, first: int = 32, most: int = 8192) -> DataFrame:
+    """The first n hits (file_id, path, lineno, line), without reading much more than they are in.
+
+    ``live`` has the candidates (file_id and whatever ``read`` needs), and ``read`` gives content
+    (file_id, path, text) of some of them. Candidates are taken by growing ranges of ids, of which the driver
+    holds at most ``most``, until n hits are there; the last range is all that is left.
+    """
+    spark, found, last, size = live.sparkSession, [], None, first
+    kind = live.schema["file_id"].dataType.simpleString()
+    while len(found) < n:
+        rest = live if last is None else live.filter(F.col("file_id") > last)
+        some = rest.orderBy("file_id").limit(size).collect() if size <= most else None
+        if some is not None and not some:
+            break
+        hits = hits_in(read(rest if some is None else spark.createDataFrame(some, live.schema)), query)
+        found += first_hits(hits, n - len(found)).collect()
+        if some is None:
+            break
+        last, size = some[-1]["file_id"], 4 * size
+    return spark.createDataFrame(found, f"file_id {kind}, path string, lineno int, line string")
+
+
 def in_order(hits: DataFrame) -> DataFrame:
     return hits.orderBy("file_id", "lineno")
 
@@ -121,38 +144,12 @@ def highlighted_hits(hits: DataFrame, pattern: str, ignore_case: bool = False, o
     return hits.withColumn("shown", highlighted(F.col("line"), plan(pattern, ignore_case).java, opening, closing))
 
 
-def batch(content: DataFrame, patterns: dict[int, str], postings: DataFrame, stats: DataFrame | None = None, files: DataFrame | None = None, most_trigrams: int = 8) -> DataFrame:
-    """(pattern_id, file_id, n_lines) of many patterns in one job; the hits are those of ``search``.
+def batch(content: DataFrame, patterns: dict[int, str], postings: DataFrame, stats: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(pattern_id, file_id, n_lines) of a few patterns; for many, see ``batch_table``."""
+    from .batch import batch_table
 
-    The postings' buckets are read once for all patterns, for the rarest trigrams of each; a
-    pattern's candidates are the files that have them all.
-    """
-    spark = content.sparkSession
-    plans = {k: plan(p, spark=spark) for k, p in patterns.items()}
-    needed = {k: set(q.required) for k, q in plans.items() if q.required}
-    if stats is not None and needed:
-        asked = sorted(set.union(*needed.values()))
-        df = {r["trigram"]: r["df"] for r in stats.filter(F.col("trigram").isin(asked)).groupBy("trigram").agg(F.sum("df").alias("df")).collect()}
-        # a trigram that no file has stays in, and leaves no candidate
-        needed = {k: set(sorted(t, key=lambda x: (df.get(x, 0), x))[:most_trigrams]) for k, t in needed.items()}
-    live = content.filter(~binary_content(F.encode("text", "UTF-8")))
-    if files is not None:
-        live = live.join(files.select("file_id"), "file_id", "left_semi")
-    terms = spark.createDataFrame([(k, t, len(own)) for k, own in needed.items() for t in own], "pattern_id int, trigram int, k int")
-    asked = sorted(set().union(*needed.values()))
-    some = postings.filter(F.col("tbucket").isin(sorted({t % P.BUCKETS for t in asked})) & F.col("trigram").isin(asked)) if asked else postings.filter(F.lit(False))
-    pairs = some.select("trigram", F.explode("ids").alias("file_id")).distinct().join(F.broadcast(terms), "trigram")  # at most eight rows a pattern
-    chosen = pairs.groupBy("pattern_id", "file_id", "k").agg(F.count("*").alias("n")).filter("n = k").select("pattern_id", "file_id")
-    open_plans = [k for k in plans if k not in needed]
-    if open_plans:
-        # ids alone; content that is not live drops out below
-        chosen = chosen.unionByName((content if files is None else files).select(F.explode(F.array(*map(F.lit, open_plans))).alias("pattern_id"), "file_id"))
-    by_file = chosen.groupBy("file_id").agg(F.collect_set("pattern_id").alias("ids"))
-    rows = live.join(by_file, "file_id").select("file_id", "ids", F.explode(lines(F.col("text"))).alias("line"))
-    counts = [F.count_if(F.array_contains("ids", k) & F.col("line").rlike(q.java)).alias(str(k)) for k, q in plans.items()]
-    wide = rows.groupBy("file_id").agg(*counts)
-    each = F.array(*[F.struct(F.lit(k).alias("pattern_id"), F.col(f"`{k}`").alias("n_lines")) for k in plans])
-    return wide.select("file_id", F.inline(each)).filter("n_lines > 0").select("pattern_id", "file_id", "n_lines")
+    rows = content.sparkSession.createDataFrame(list(patterns.items()), "pattern_id int, pattern string")
+    return batch_table(content, rows, postings, stats, files)
 
 
 def write_flat(hits: DataFrame, folder: str) -> None:

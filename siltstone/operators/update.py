@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.files import index_reason, unchanged_by_stat
+from ..functions.files import index_reason, stat_reason, unchanged_by_stat
 from ..shared import checkpointed
 from ..sources.corpus import Corpus, as_corpus
 
@@ -17,35 +17,56 @@ def indexable(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("reason", index_reason(F.col("path"), F.col("size"), F.col("content")))
 
 
-def diff(corpus: Corpus | DataFrame, files: DataFrame) -> DataFrame:
-    """(path, status, by, file_id, mtime_ns, size, content_hash) of all listed or stored paths.
+def _below(paths: DataFrame, failed: DataFrame) -> DataFrame:
+    """The paths that are, or lie below, one of ``failed``."""
+    parts = F.split("path", "/")
+    above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above"))
+    return above.join(failed.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
 
-    ``files`` is the stored table. The outer join moves metadata only; content is read for
-    files whose stat differs, and those alone are checked and hashed. Status is added,
-    changed, removed, unchanged or ignored (listed, not indexable, not stored); ``by`` says
-    how (listing, stat, content).
+
+def diff(corpus: Corpus | DataFrame, files: DataFrame, rejected: DataFrame | None = None, entries: DataFrame | None = None, keep_unlisted: bool = True) -> DataFrame:
+    """(path, status, by, reason, known, moved, listed, file_id, mtime_ns, size, content_hash) of all listed or known paths.
+
+    ``files`` and ``rejected`` (path, mtime_ns, size, reason) are what the index knows; ``entries`` a
+    listing made before. The outer join moves metadata only. Content is read for files whose
+    stat differs from what is known, and that their name and size don't rule out. Status is
+    added, changed, removed, unchanged, ignored (listed, not indexable, not stored) or forgotten
+    (rejected once, no longer listed). ``by`` says how: listing, stat, content, or unlisted: stored files below a folder that could not
+    be listed count as unchanged with ``keep_unlisted``, else as removed. ``moved`` rows differ
+    from what is known.
     """
     corpus = as_corpus(corpus)
-    old = files.select(F.col("path"), F.col("file_id"), F.col("mtime_ns").alias("old_mtime"), F.col("size").alias("old_size"), F.col("content_hash").alias("old_hash"), F.lit(True).alias("stored"))
-    new = corpus.listing().withColumn("listed", F.lit(True))
-    both = new.join(old, "path", "full_outer")
+    entries = checkpointed(corpus.entries()) if entries is None else entries
+    before = [F.col("mtime_ns").alias("old_mtime"), F.col("size").alias("old_size")]
+    old = files.select("path", "file_id", *before, F.col("content_hash").alias("old_hash"), F.lit(None).cast("string").alias("old_reason"), F.lit(True).alias("stored"))
+    if rejected is not None:
+        old = old.unionByName(rejected.select("path", *before, F.col("reason").alias("old_reason"), F.lit(False).alias("stored")), allowMissingColumns=True)
+    new = entries.filter("kind = 'file'").select("path", "mtime_ns", "size", F.lit(True).alias("listed"))
     same = F.coalesce(unchanged_by_stat(F.col("mtime_ns"), F.col("size"), F.col("old_mtime"), F.col("old_size")), F.lit(False))
-    both = checkpointed(both.withColumn("same", same))
-    read = corpus.reading(both.filter("listed and not same").select("path", "size"))
-    read = read.select("path", index_reason(F.col("path"), F.col("size"), F.col("content")).alias("reason"), F.xxhash64("content").alias("content_hash"))
-    seen = both.join(read, "path", "left")
-    bad = F.coalesce(F.col("reason"), F.lit("unreadable")) != "ok"
+    both = new.join(old, "path", "full_outer").withColumn("same", same).withColumn("by_name", stat_reason(F.col("path"), F.col("size")))
+    both = checkpointed(both.withColumn("known", F.col("stored").isNotNull()).fillna(False, ["listed", "stored"]))
+    failed = entries.filter("kind = 'unreadable'")
+    if keep_unlisted and not failed.isEmpty():
+        both = both.join(_below(both.filter("stored and not listed"), failed).withColumn("unlisted", F.lit(True)), "path", "left").fillna(False, ["unlisted"])
+    else:
+        both = both.withColumn("unlisted", F.lit(False))
+    read = corpus.judged(both.filter("listed and not same and by_name is null").select("path", "mtime_ns", "size"))
+    seen = both.join(read.select("path", "reason", F.xxhash64("content").alias("content_hash")), "path", "left")
+    reason = F.when(F.col("same"), F.coalesce("old_reason", F.lit("ok"))).when(F.col("listed"), F.coalesce("by_name", "reason", F.lit("unreadable")))
+    seen = seen.withColumn("reason", reason)
     status = (
-        F.when(F.col("listed").isNull(), "removed")
-        .when(F.col("same"), "unchanged")
-        .when(bad & F.col("stored"), "removed")
-        .when(bad, "ignored")
-        .when(F.col("stored").isNull(), "added")
+        F.when(F.col("unlisted"), "unchanged")
+        .when(~F.col("listed"), F.when(F.col("stored"), "removed").otherwise("forgotten"))
+        .when(F.col("same"), F.when(F.col("stored"), "unchanged").otherwise("ignored"))
+        .when(F.col("reason") != "ok", F.when(F.col("stored"), "removed").otherwise("ignored"))
+        .when(~F.col("stored"), "added")
         .when(F.col("content_hash") == F.col("old_hash"), "unchanged")
         .otherwise("changed")
     )
-    by = F.when(F.col("listed").isNull(), "listing").when(F.col("same"), "stat").otherwise("content")
-    return seen.select("path", status.alias("status"), by.alias("by"), "file_id", "mtime_ns", "size", F.when(F.col("same"), F.col("old_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
+    by = F.when(F.col("unlisted"), "unlisted").when(~F.col("listed"), "listing").when(F.col("same"), "stat").when(F.col("by_name").isNotNull(), "listing").otherwise("content")
+    kept = F.col("same") | F.col("unlisted")
+    columns = [F.coalesce(f"{new}", old).alias(new) for new, old in (("mtime_ns", "old_mtime"), ("size", "old_size"))]
+    return seen.select("path", status.alias("status"), by.alias("by"), "reason", "known", (~kept).alias("moved"), "listed", "file_id", *columns, F.when(kept, F.col("old_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
 
 
 def counts(changes: DataFrame) -> DataFrame:

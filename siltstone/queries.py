@@ -13,10 +13,11 @@ from .functions.text import spans
 from .operators import postings as P
 from .operators import search as S
 from .operators import update as U
+from .operators.batch import batch_table
 from .plans.pattern import plan, trigrams_of
 from .shared import checkpointed, shared_dir
 from .sources import corpus as C
-from .sources.store import Index, search_index, summary
+from .sources.store import Index, Pieces, root_key, search_index, summary
 from .streaming import ingest
 
 NEW = """
@@ -119,6 +120,91 @@ def tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(some, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
 
 
+def _snapshot_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The new snapshot as files, some of them with names or content that is no text; the tree's root."""
+    root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    C.write_tree(_snapshot(spark, sf_dir, NEW), root)
+    return root
+
+
+def tree_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index of a tree knows to be no text, after an update that opened no file again."""
+    root = _snapshot_tree(spark, sf_dir)
+    tree, index = C.Tree(spark, root), Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
+    index.update(tree)
+    before = tree.opened.value
+    index.update(tree)
+    return index.rejected().select("path", "size", "reason", F.lit(tree.opened.value - before).cast("long").alias("opened_again"))
+
+
+def tree_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest lists that is no file, and how an update counts it."""
+    root = _snapshot_tree(spark, sf_dir)
+    manifest = _snapshot(spark, sf_dir, NEW).select("path").union(_snapshot(spark, sf_dir, OLD).select("path"))
+    tree = C.Tree(spark, root, manifest)
+    stats = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root).update(tree)
+    return tree.unreadable().withColumn("counted", F.lit(stats["skipped_unreadable"]).cast("long"))
+
+
+class _Stopped(Exception):
+    pass
+
+
+def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree's build in four pieces that is stopped after two, and goes on: the files that readers see, and their ids."""
+    root = _snapshot_tree(spark, sf_dir)
+    tree, base = C.Tree(spark, root), f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}"
+    share = -(-tree.listing().count() // 4)
+    index, taken, take = Index(spark, base, root), [], Index._taken_in
+
+    def stopping(*args):
+        if len(taken) == 2:
+            raise _Stopped
+        taken.append(args)
+        return take(index, *args)
+
+    index._taken_in = stopping
+    try:
+        index.build(tree, pieces=Pieces(files=share))
+    except _Stopped:
+        pass
+    seen = Index(spark, base, root).manifest()
+    index = Index(spark, base, root)
+    index.build(tree)
+    return index.files().select("path", "file_id", F.lit(seen is not None).alias("seen_early"))
+
+
+def appended_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents appended in nine parts, eight of which merge; lists and generations after that."""
+    index = Index(spark, f"{shared_dir(spark)}/text-parts-{uuid.uuid4().hex}", sf_dir)
+    docs = _table(spark, sf_dir, "documents")
+    for k in range(9):
+        index.append(C.from_table(docs.filter(f"doc_id % 9 = {k}")), k)
+    return index.stats().withColumn("generations", F.lit(len(index.manifest()["generations"])).cast("long"))
+
+
+def index_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct trigrams by the stored sketches against an exact count, and the number of lists."""
+    index = documents_index(spark, sf_dir)
+    exact = index.stats().agg(F.count("*").alias("exact"))
+    both = index.approximate().crossJoin(exact)  # one row and one row
+    return both.select("lists", (F.abs(F.col("distinct_trigrams") - F.col("exact")) * 50 <= F.col("exact")).alias("close"))
+
+
+def forward_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New pairs of an update by trigram, from the stored trigrams of the changed files."""
+    index = Index(spark, f"{shared_dir(spark)}/text-forward-{uuid.uuid4().hex}", sf_dir, forward=True)
+    index.update(_snapshot(spark, sf_dir, OLD))
+    index.update(_snapshot(spark, sf_dir, NEW))
+    added = spark.read.parquet(index.store.at(index.manifest()["generations"][-1]["name"], "stats"))
+    return added.select("trigram", F.col("df").alias("n_new"))
+
+
+def root_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that the indexes of many roots would have."""
+    return _snapshot(spark, sf_dir, NEW).select("path", root_key(F.col("path")).alias("key"))
+
+
 def manifest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, manifest = _snapshot(spark, sf_dir, NEW), _snapshot(spark, sf_dir, OLD)
     there = C.listed(C.distinct_listing(corpus.select("path")), manifest).select("path", F.lit(True).alias("present"))
@@ -183,7 +269,19 @@ def first_hit_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.first_hits(_hits(spark, sf_dir, "thand"), 10).select(F.col("file_id").alias("doc_id"), "lineno", "line")
+    """The first ten hits, by growing ranges of candidates."""
+    index, content = documents_index(spark, sf_dir), _content(spark, sf_dir)
+    query = plan("thand", spark=spark)
+    live = checkpointed(index.files().select("file_id").join(S.narrowed(query, index.postings(), index.stats()), "file_id", "left_semi"))
+    found = S.first_hits_of(live, lambda rows: content.join(rows, "file_id", "left_semi"), query, 10)
+    return found.select(F.col("file_id").alias("doc_id"), "lineno", "line")
+
+
+def hits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits with their places in the order in which they are shown."""
+    hits = _hits(spark, sf_dir, "license").withColumn("at", F.struct("file_id", "lineno"))
+    placed = hits.select("at", "line").toDF("path", "line")
+    return U.with_ids(placed, 0).select(F.col("path.file_id").alias("doc_id"), F.col("path.lineno").alias("lineno"), F.col("file_id").alias("place"))
 
 
 def hits_flat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +305,18 @@ def batch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pattern_id", F.col("file_id").alias("doc_id"), "n_lines")
 
 
+#: A pattern for each benchmark item: two of its words, not far from each other.
+ITEM_PATTERN = "concat(regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]', '.'{g}), '.*', regexp_replace(split_part(text, ' ', 3), '[^A-Za-z]', '.'{g}))"
+
+
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a table of patterns finds, one pattern for each benchmark item."""
+    index = documents_index(spark, sf_dir)
+    patterns = _table(spark, sf_dir, "benchmark").select("item_id", F.expr(ITEM_PATTERN.format(g="")).alias("pattern"))
+    out = batch_table(_content(spark, sf_dir), patterns, index.postings(), index.stats(), index.files(), id="item_id")
+    return out.withColumnRenamed("file_id", "doc_id")
+
+
 def _stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files table that the old snapshot's index holds."""
     old = U.indexable(_snapshot(spark, sf_dir, OLD)).filter("reason = 'ok'")
@@ -367,6 +477,15 @@ QUERIES = {
     "manifest_listing": manifest_listing,
     "tree_listing": tree_listing,
     "tree_update": tree_update,
+    "tree_rejections": tree_rejections,
+    "tree_skips": tree_skips,
+    "resumed_build": resumed_build,
+    "appended_levels": appended_levels,
+    "index_sketch": index_sketch,
+    "forward_delta": forward_delta,
+    "root_keys": root_keys,
+    "pattern_table": pattern_table,
+    "hits_in_order": hits_in_order,
     "doc_trigram_counts": doc_trigram_counts,
     "trigram_df": trigram_df,
     "posting_blocks": posting_blocks,
@@ -526,4 +645,16 @@ ORACLES = {
         SELECT {_NUMBER} AS trigram, count(*) AS n, true AS ok, NULL::VARCHAR AS error, sum({_BITS})::BIGINT AS bytes FROM k GROUP BY t, block""",
     "stream_search": _hit_sql("license", _ALL),
 }
+_PATTERN = ITEM_PATTERN.format(g=", 'g'")
+ORACLES |= {
+    "tree_rejections": f"WITH {_NEW} SELECT * FROM (SELECT path, strlen(content) AS size, {_REASON} AS reason, 0::BIGINT AS opened_again FROM snew) WHERE reason <> 'ok'",
+    "tree_skips": f"WITH {_NEW}, {_OLD} SELECT path, count(*) OVER () AS counted FROM (SELECT DISTINCT path FROM sold WHERE path NOT IN (SELECT path FROM snew))",
+    "resumed_build": f"WITH {_NEW} SELECT path, row_number() OVER (ORDER BY path) AS file_id, false AS seen_early FROM (SELECT *, {_REASON} AS reason FROM snew) WHERE reason = 'ok'",
+    "appended_levels": f"WITH {_grams('documents', 'doc_id', 'text')} SELECT {_NUMBER} AS trigram, count(*) AS df, 2::BIGINT AS generations FROM g GROUP BY t",
+    "index_sketch": f"WITH {_grams('documents', 'doc_id', 'text')} SELECT count(DISTINCT t) AS lists, true AS close FROM g",
+    "forward_delta": ORACLES["postings_delta"],
+    "root_keys": ORACLES["path_fnv1a64"].rpartition("SELECT path, (CASE")[0] + "SELECT path, lpad(lower(to_hex(v::UBIGINT)), 16, '0') AS key FROM h",
+    "pattern_table": f"WITH {_lines('documents', 'doc_id', 'text')}, p AS (SELECT item_id, {_PATTERN} AS pattern FROM benchmark) SELECT item_id, doc_id, count(*) AS n_lines FROM p JOIN l ON regexp_matches(raw, pattern) GROUP BY ALL",
+    "hits_in_order": _hit_sql("license", "SELECT doc_id, lineno, row_number() OVER (ORDER BY doc_id, lineno) AS place FROM hit"),
+}
 ORACLES["stream_index"] = ORACLES["trigram_df"]

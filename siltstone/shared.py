@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,17 +56,37 @@ class Store:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Write a small file so that readers see the old or the new one, whole."""
-        scratch = self._path(self.at(f".{name}.new"))
+    def names(self) -> list[str]:
+        """The names in the folder; none if it is not there."""
+        base = self._path(self.base)
+        return [f.getPath().getName() for f in self._fs.listStatus(base)] if self._fs.exists(base) else []
+
+    def size(self, *parts: str) -> int:
+        """Bytes of a folder and all below it."""
+        return self._fs.getContentSummary(self._path(self.at(*parts))).getLength()
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a small file, whole, unless there is one of that name already; whether it was written.
+
+        Of several writers one succeeds, where renaming does not replace (HDFS) or on a local disk.
+        """
+        scratch = self._path(self.at(f".{uuid.uuid4().hex}.new"))
         stream = self._fs.create(scratch, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(scratch.toUri(), self.spark._jsc.hadoopConfiguration())
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = option
-        context.rename(context.makeQualified(scratch), context.makeQualified(self._path(self.at(name))), options)
+        target = self._path(self.at(name))
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(scratch.toUri().getPath(), target.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(scratch, False)
+        if self._fs.exists(target) or not self._fs.rename(scratch, target):
+            self._fs.delete(scratch, False)
+            return False
+        return True
 
     def delete(self, *parts: str) -> None:
         self._fs.delete(self._path(self.at(*parts)), True)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import update as U
 from siltstone.sources import corpus as C
-from siltstone.sources.store import Index, index_folder, search_index, summary
+from siltstone.sources.store import FANOUT, Index, Pieces, first_in_index, index_folder, search_index, summary
 from siltstone.streaming import ingest
 
 SCHEMA = "path string, mtime_ns long, size long, content binary"
@@ -72,7 +72,7 @@ def test_wrong_root_and_unfinished_build(spark, tmp_path):
     assert hits(b, corpus(spark, {"g": "secret_b"}), "secret_a") == []
     assert hits(b, corpus(spark, {"g": "secret_b"}), "secret_b") == [("g", 1)]
     c = Index(spark, f"{tmp_path}/j", "c")
-    corpus(spark, {"f": "x"}).write.parquet(f"{tmp_path}/j/gen-000001/files")
+    corpus(spark, {"f": "x"}).write.parquet(f"{tmp_path}/j/gen-1/files")
     with pytest.raises(FileNotFoundError):
         c.files()
     assert hits(c, corpus(spark, {"f": "whole"}), "whole") == [("f", 1)]
@@ -138,12 +138,13 @@ def test_stream_batches_are_idempotent(spark, tmp_path):
     whole.build(C.from_table(docs))
     assert sorted(map(tuple, index.stats().collect())) == sorted(map(tuple, whole.stats().collect()))
     before = index.manifest()
-    assert before["streams"] == {"stream": 2} and len(before["postings"]) == 3
+    assert before["streams"] == {"stream": 2} and len(before["generations"]) == 3
     index.append(C.from_table(docs), 2)  # replay
     assert index.manifest() == before
-    index.append(C.from_table(docs.limit(1).selectExpr("doc_id + 100 as doc_id", "text")), 0, "other", merge_every=4)
+    index.append(C.from_table(docs.limit(1).selectExpr("doc_id + 100 as doc_id", "text")), 0, "other")
+    index.merge()
     after = index.manifest()
-    assert after["streams"] == {"stream": 2, "other": 0} and len(after["postings"]) == 1 and index.files().count() == 31
+    assert after["streams"] == {"stream": 2, "other": 0} and len(after["generations"]) == 1 and index.files().count() == 31
     assert index.stats().filter("df > 1").agg(F.max("df")).first()[0] == 31
     assert index.postings().select(F.explode("ids").alias("f")).distinct().count() == 31
     hits_df = ingest.standing_search(ingest.table_stream(spark, f"{tmp_path}/in/docs.parquet", 2), "needle 1.$")
@@ -151,14 +152,11 @@ def test_stream_batches_are_idempotent(spark, tmp_path):
     assert sorted((r["doc_id"], r["lineno"]) for r in spark.read.parquet(f"{tmp_path}/hits").collect()) == [(k, 2) for k in range(10, 20)]
 
 
-class Counted(C.Tree):
-    """A tree that notes which files are read."""
-
-    read: list
-
-    def reading(self, rows):
-        self.read = sorted(r["path"] for r in rows.select("path").collect())
-        return super().reading(rows)
+def read_by(tree, work):
+    """How many files the tree's tasks opened during ``work``, and its result."""
+    before = tree.opened.value
+    out = work()
+    return tree.opened.value - before, out
 
 
 def test_only_what_is_needed_is_read(spark, tmp_path):
@@ -166,16 +164,291 @@ def test_only_what_is_needed_is_read(spark, tmp_path):
     root.mkdir()
     for k in range(400):
         (root / f"f{k:03}.txt").write_text(f"token{k} and more\n")
-    index = Index(spark, f"{tmp_path}/i", str(root))
-    tree = Counted(spark, str(root))
-    assert index.update(tree)["added"] == 400 and len(tree.read) == 400
+    index, tree = Index(spark, f"{tmp_path}/i", str(root)), C.Tree(spark, str(root))
+    assert index.update(tree)["added"] == 400
     (root / "f007.txt").write_text("quite another text\n")
-    stats = index.update(tree)
+    opened, stats = read_by(tree, lambda: index.update(tree))
     assert (stats["changed"], stats["unchanged"]) == (1, 399) and stats["trigrams_rewritten"] > 0
-    assert tree.read == ["f007.txt"]
-    assert hits(index, tree, "token17 ") == [("f017.txt", 1)] and tree.read == ["f017.txt"]
-    assert hits(index, tree, "quite") == [("f007.txt", 1)] and tree.read == ["f007.txt"]
-    assert hits(index, tree, "absent needle") == [] and tree.read == []
+    assert opened == 2  # to tell whether it is text, and to invert it
+    assert read_by(tree, lambda: hits(index, tree, "token17 ")) == (1, [("f017.txt", 1)])
+    assert read_by(tree, lambda: hits(index, tree, "quite")) == (1, [("f007.txt", 1)])
+    assert read_by(tree, lambda: hits(index, tree, "absent needle")) == (0, [])
+
+
+def test_what_is_no_text_is_read_once_or_never(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for name, data in {"a.txt": b"needle\n", "movie.mp4": b"needle", "report.PDF": b"needle", "nul.txt": b"needle\0" + b"x" * 20000, "odd.txt": b"\x01" * 600 + b"needle"}.items():
+        (root / name).write_bytes(data)
+    with open(root / "huge.txt", "wb") as f:
+        f.truncate((64 << 20) + 1)
+    with open(root / "just.txt", "wb") as f:
+        f.write(b"some text\n" * 1000)
+    index, tree = Index(spark, f"{tmp_path}/i", str(root)), C.Tree(spark, str(root))
+    opened, stats = read_by(tree, lambda: index.update(tree))
+    assert stats["added"] == 2 and opened == 4 + 2  # two are read twice, two by their heads
+    assert tree.bytes_read.value == 2 * (7 + 10000) + 8192 + 606
+    assert {r["path"]: r["reason"] for r in index.rejected().collect()} == {"movie.mp4": "binary_name", "report.PDF": "binary_name", "nul.txt": "nul", "odd.txt": "control", "huge.txt": "too_large"}
+    before = index.manifest()
+    opened, stats = read_by(tree, lambda: index.update(tree))
+    assert opened == 0 and stats == {"added": 0, "changed": 0, "removed": 0, "unchanged": 2, "trigrams_rewritten": 0, "skipped_unreadable": 0}
+    assert index.manifest() == before  # nothing was written either
+    (root / "nul.txt").write_bytes(b"needle of text\n")
+    (root / "a.txt").write_bytes(b"needle\0")
+    (root / "movie.mp4").unlink()
+    opened, stats = read_by(tree, lambda: index.update(tree))
+    assert opened == 3 and (stats["added"], stats["removed"], stats["unchanged"]) == (1, 1, 1)
+    assert {r["path"] for r in index.rejected().collect()} == {"a.txt", "report.PDF", "odd.txt", "huge.txt"}
+    assert hits(index, tree, "needle") == [("nul.txt", 1)]
+
+
+def test_heads_are_judged_alike(spark):
+    import random
+
+    from siltstone.functions.files import head_reason, index_reason
+
+    chance = random.Random(2)
+    rows = [bytes(chance.choice(b"\x01\x0b\x7f\x1f") if chance.random() < rate else chance.choice(b"ab \n\t\r\x80\xff\x0a") for _ in range(n)) for n in (0, 1, 19, 20, 21, 400, 9000) for rate in (0.0, 0.04, 0.05, 0.06) for _ in range(4)]
+    rows += [b"a" * 8191 + b"\0", b"a" * 8192 + b"\0", b"\x01" + b"a" * 19, b"\x01" + b"a" * 18]
+    frame = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(rows)], "k int, content binary")
+    got = {r["k"]: r["reason"] for r in frame.select("k", index_reason(F.lit("f.txt"), F.octet_length("content").cast("long"), F.col("content")).alias("reason")).collect()}
+    assert got == {k: head_reason(r[:8192]) or "ok" for k, r in enumerate(rows)}
+
+
+def deep(root, names):
+    """Make folders inside one another whose whole path the system can't open, with a file in the last."""
+    import os
+
+    at = os.open(root, os.O_RDONLY)
+    for name in names:
+        os.mkdir(name, dir_fd=at)
+        inner = os.open(name, os.O_RDONLY, dir_fd=at)
+        os.close(at)
+        at = inner
+    os.write(file := os.open("file.txt", os.O_CREAT | os.O_WRONLY, dir_fd=at), b"needle deep\n")
+    os.close(file)
+    os.close(at)
+
+
+def test_a_root_that_cannot_be_listed_changes_nothing(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    (root / "a.txt").write_text("needle\n")
+    index, tree = Index(spark, f"{tmp_path}/i", "r"), C.Tree(spark, str(root))
+    index.update(tree)
+    before = index.manifest()
+    root.rename(tmp_path / "moved")
+    for gone in (tree, C.Tree(spark, str(root), spark.createDataFrame([("a.txt",)], "path string"))):
+        with pytest.raises(OSError):
+            index.update(gone)
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(OSError):
+        index.update(C.Tree(spark, f"{tmp_path}/file"))
+    assert index.manifest() == before and index.files().count() == 1
+    assert hits(index, C.Tree(spark, f"{tmp_path}/moved"), "needle") == [("a.txt", 1)]
+
+
+def test_a_folder_that_cannot_be_listed_is_counted_and_its_files_stay(spark, tmp_path):
+    short, long = tmp_path / "t", tmp_path
+    names = ["d" * 250] * 14
+    short.mkdir()
+    (short / "a.txt").write_text("needle\n")
+    deep(short, names)
+    index = Index(spark, f"{tmp_path}/i", "r")
+    assert index.update(C.Tree(spark, str(short)))["added"] == 2
+    for k in range(4):  # the same tree below a longer path, so its last folders can't be opened
+        long = long / ("p" * 200)
+        long.mkdir()
+    short.rename(long / "t")
+    tree = C.Tree(spark, f"{long}/t")
+    assert tree.unreadable().count() == 1
+    stats = index.update(tree)
+    assert (stats["unchanged"], stats["removed"], stats["skipped_unreadable"]) == (2, 0, 1) and index.files().count() == 2
+    by = {r["path"][:5]: r["by"] for r in U.diff(tree, index.files()).collect()}
+    assert by == {"a.txt": "stat", "ddddd": "unlisted"}
+    stats = index.update(tree, keep_unlisted=False)
+    assert (stats["unchanged"], stats["removed"], stats["skipped_unreadable"]) == (1, 1, 1) and index.files().count() == 1
+
+
+def test_a_flat_folder_is_listed_by_several_tasks(spark, tmp_path):
+    names = [f"n{k}" for k in range(C._PAGE * 2 + 500)]
+    for name in names:
+        open(tmp_path / name, "w").close()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/x").write_text("x")
+    tree = C.Tree(spark, str(tmp_path))
+    found = tree._found()
+    assert found.filter("kind = 'pages'").select("path", "size").collect() == [("", 3)]
+    per_task = found.filter("kind = 'file'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 3 and max(r["count"] for r in per_task) < C._PAGE
+    assert sorted(r["path"] for r in tree.listing().collect()) == sorted([*names, "sub/x"])
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_tree_build_goes_on_where_it_was_killed(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for k in range(20):
+        (root / f"f{k:02}.txt").write_text(f"token{k} and more {k * 7}\n")
+    (root / "f05.pdf").write_bytes(b"no text")
+    (root / "f06.dat.txt").write_bytes(b"\0")
+    tree = C.Tree(spark, str(root))
+    whole = Index(spark, f"{tmp_path}/whole", "r")
+    whole.build(tree)
+    index, done = Index(spark, f"{tmp_path}/i", "r"), []
+    take = index._taken_in
+
+    def killed(*args):
+        if len(done) == 3:
+            raise Killed
+        done.append(args)
+        return take(*args)
+
+    index._taken_in = killed
+    with pytest.raises(Killed):
+        index.build(tree, pieces=Pieces(files=5))
+    assert index.manifest() is None  # unfinished, so readers see nothing
+    assert len(index._latest()["building"]["done"]) == 3 and len(index._latest()["building"]["pieces"]) == 5
+    again = Index(spark, f"{tmp_path}/i", "r")
+    opened, _ = read_by(tree, lambda: again.build(tree))
+    assert opened == 2 * (22 - 15)  # the last two pieces only: files 15 to 21 of the listing
+    assert len(again.manifest()["generations"]) == 5 and again.manifest()["building"] is None
+
+    def held(i):
+        lists = i.postings().groupBy("trigram").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+        return sorted((r["trigram"], tuple(r["ids"])) for r in lists.collect()), sorted((r["path"], r["file_id"], r["content_hash"]) for r in i.files().collect()), sorted(map(tuple, i.rejected().collect()))
+
+    assert held(again) == held(whole)
+    assert again.update(tree)["unchanged"] == 20
+    assert hits(again, tree, "token17 ") == [("f17.txt", 1)]
+
+
+def test_pieces_are_bounded_by_files_bytes_and_trigrams(spark, tmp_path):
+    files = spark.createDataFrame([(f"p{k:03}", 1, 10 if k < 50 else 1000) for k in range(100)], "path string, mtime_ns long, size long")
+    index = Index(spark, f"{tmp_path}/i", "r")
+    for pieces, n_files, n_bytes in ((Pieces(files=8), 8, 10**9), (Pieces(bytes=2500), 100, 2500), (Pieces(trigrams=2500), 100, 2500), (Pieces(files=8, bytes=2500), 8, 2500)):
+        got = index._cut(files, pieces).groupBy("piece").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.min("path").alias("a"), F.max("path").alias("z")).orderBy("piece").collect()
+        assert len(got) > 5 and all(r["n"] <= n_files + 1 and r["b"] <= n_bytes + 1000 for r in got), (pieces, got)
+        assert all(x["z"] < y["a"] for x, y in zip(got, got[1:])) and sum(r["n"] for r in got) == 100
+
+
+def test_many_small_updates_merge_with_their_like(spark, tmp_path):
+    files = {f"b{k:03}": f"base{k} text" for k in range(70)}
+    index = Index(spark, f"{tmp_path}/i", "r")
+    index.build(corpus(spark, files))
+    sizes, rewritten, most = len(files), 0, 0
+    merged = index._merged
+
+    def counted(generations, level):
+        nonlocal rewritten
+        rewritten += sum(g["files"] for g in generations)
+        return merged(generations, level)
+
+    index._merged = counted
+    n = 20
+    for k in range(n):
+        files[f"n{k:03}"] = f"token{k} new"
+        index.append(corpus(spark, {f"n{k:03}": files[f"n{k:03}"]}), k)
+        most = max(most, len(index.manifest()["generations"]))
+    levels = [g["level"] for g in index.manifest()["generations"]]
+    assert levels == sorted(levels, reverse=True) and most <= 1 + (FANOUT - 1) * 2
+    assert rewritten == 8 * (n // 8)  # and not the 70 that were there
+    assert index.files().count() == sizes + n and hits(index, corpus(spark, files), "token1") == sorted((p, 1) for p, t in files.items() if "token1" in t)
+
+
+def test_merged_generations_remember_what_they_replaced(spark, tmp_path):
+    index = Index(spark, f"{tmp_path}/i", "r")
+    files = {k: f"text of {k}" for k in "abcdefgh"}
+    index.build(corpus(spark, files))
+    for step in range(FANOUT):
+        files = {k: (f"step{step} of {k}", step + 2) if k == "ab"[step % 2] else v for k, v in files.items() if k != "defgh"[step % 5] or step > 4}
+        index.update(corpus(spark, files))
+    assert [g["level"] for g in index.manifest()["generations"]] == [1, 1]
+    assert sorted(r["path"] for r in index.files().collect()) == sorted(files)
+    for pattern in ("step7", "step6", "step5", "text of c", "text of d"):
+        want = sorted((k, 1) for k, v in files.items() if pattern in (v[0] if isinstance(v, tuple) else v))
+        assert hits(index, corpus(spark, files), pattern) == want
+    index.merge()
+    assert len(index.manifest()["generations"]) == 1 and sorted(r["path"] for r in index.files().collect()) == sorted(files)
+
+
+def test_writers_at_the_same_time_both_count(spark, tmp_path):
+    files = {"a": "alpha", "b": "beta"}
+    index, other = Index(spark, f"{tmp_path}/i", "r"), Index(spark, f"{tmp_path}/i", "r")
+    index.build(corpus(spark, files))
+    commit, met = index._commit, []
+
+    def late(before, change):
+        if not met:
+            met.append(other.append(corpus(spark, {"c": "gamma"}), 0))
+        return commit(before, change)
+
+    index._commit = late
+    assert index.append(corpus(spark, {"d": "delta"}), 0, "mine") is None
+    assert {r["path"]: r["file_id"] for r in index.files().collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
+    assert index.manifest()["streams"] == {"stream": 0, "mine": 0}
+    met.clear()
+    stats = index.update(corpus(spark, {**files, "c": "gamma", "d": "delta changed", "e": "epsilon"}))
+    assert (stats["added"], stats["changed"]) == (1, 1)
+    assert hits(index, corpus(spark, {**files, "c": "gamma", "d": "delta changed", "e": "epsilon"}), "delta changed|epsilon") == [("d", 1), ("e", 1)]
+
+
+def test_a_search_outlives_builds_and_merges(spark, tmp_path):
+    files = {"a": "needle alpha", "b": "beta"}
+    index = Index(spark, f"{tmp_path}/i", "r")
+    index.build(corpus(spark, files))
+    begun = search_index(index, corpus(spark, files), "needle")
+    index.update(corpus(spark, {**files, "c": "needle too"}))
+    index.compact(corpus(spark, {**files, "c": "needle too"}))
+    index.build(corpus(spark, {"z": "other"}))
+    assert [(r["path"], r["lineno"]) for r in begun.collect()] == [("a", 1)]
+    for _ in range(index.keep):
+        index.merge()
+    names = [n for n in index.store.names() if not n.startswith(".")]
+    assert len([n for n in names if n.startswith("manifest")]) == index.keep and len([n for n in names if n.startswith("gen")]) == index.keep
+
+
+def test_forward_rows_give_the_delta(spark, tmp_path):
+    old = {f"f{k}": f"text number {k} of many" for k in range(30)}
+    new = {**old, "f7": ("text number 7 of quite different", 2), "g": "brand new"}
+    fast, slow = Index(spark, f"{tmp_path}/i", "r", forward=True), Index(spark, f"{tmp_path}/j", "r")
+    stats = []
+    for index in (fast, slow):
+        index.build(corpus(spark, old))
+        stats.append(index.update(corpus(spark, new)))
+    assert stats[0] == stats[1] and stats[0]["changed"] == 1
+    pairs = [sorted(map(tuple, i.postings().select("trigram", F.explode("ids")).collect())) for i in (fast, slow)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == len(set(pairs[0]))
+    gone = {**new, "f7": ("text", 3)}  # no new trigram, fewer old ones
+    assert fast.update(corpus(spark, gone))["trigrams_rewritten"] == 0
+    seven = [r["file_id"] for r in fast.files().filter("path = 'f7'").collect()]
+    assert [sorted(r["trigrams"]) for r in fast.trigrams_of(seven).collect()] == [sorted({(a << 16) | (b << 8) | c for a, b, c in zip(b"text", b"ext", b"xt")})]
+    plan = fast.trigrams_of([7])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(fblock" in plan and "PushedFilters: [IsNotNull(file_id), EqualTo(file_id,7)]" in plan
+    for index in (fast, slow):
+        index.merge()
+        again = index.update(corpus(spark, {**gone, "f7": ("text number 7 of many", 4)}))
+        assert again["changed"] == 1
+    assert hits(fast, corpus(spark, {**gone, "f7": ("text number 7 of many", 4)}), "7 of many") == hits(slow, corpus(spark, {**gone, "f7": ("text number 7 of many", 4)}), "7 of many") == [("f17", 1), ("f27", 1), ("f7", 1)]
+
+
+def test_sketches_are_close(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('doc ', sha2(cast(id as string), 512), sha2(cast(id * 31 as string), 512)) as text")
+    index = Index(spark, f"{tmp_path}/i", "r")
+    index.append(C.from_table(docs.filter("doc_id < 250")), 0)
+    index.append(C.from_table(docs.filter("doc_id >= 250")), 1)
+    got = index.approximate().first()
+    exact = index.stats().count()
+    assert abs(got["distinct_trigrams"] - exact) <= 0.02 * exact
+    lengths = sorted(r["df"] for g in index.manifest()["generations"] for r in spark.read.parquet(index.store.at(g["name"], "stats")).collect())
+    assert got["lists"] == len(lengths)
+    for q, name in ((0.5, "median_length"), (0.99, "p99_length")):
+        near = [lengths[max(0, min(len(lengths) - 1, int((q + d) * len(lengths))))] for d in (-0.03, 0.03)]
+        assert near[0] <= got[name] <= near[1]
+    assert Index(spark, f"{tmp_path}/j", "r")._latest()["number"] == 0
 
 
 def test_sparse_ids_invert_in_one_pass():
@@ -209,3 +482,67 @@ def test_many_patterns_find_what_search_finds(spark, tmp_path):
         found = S.search(content, p, postings=index.postings(), stats=index.stats(), files=index.files())
         want += [(k, r["file_id"], r["n_lines"]) for r in S.hits_per_file(found).collect()]
     assert got == sorted(want) and got
+
+
+def test_thousands_of_patterns_in_one_plan(spark, tmp_path, monkeypatch):
+    from siltstone.operators import batch as B
+    from siltstone.operators import search as S
+    from siltstone.plans.pattern import PatternError
+
+    texts = [f"alpha{k} beta{k % 7} line\nsecond é{k} gamma{k % 3}\r\n" for k in range(60)] + ["", "bin\0alpha1", None, "alpha5 " * 500]
+    content = spark.createDataFrame([(k, f"p{k}", t) for k, t in enumerate(texts)], "file_id long, path string, text string")
+    index = Index(spark, f"{tmp_path}/i", "r")
+    index.build(content.filter("text is not null").selectExpr("path", "1L as mtime_ns", "octet_length(text) + 0L as size", "encode(text, 'UTF-8') as content", "file_id").filter("file_id <> 3"), ids="file_id")
+    patterns = {k: f"alpha{k}( |$)" for k in range(5000)} | {5001: "beta3.*line", 5002: "é5[0-9]", 5003: "a|b", 5004: "gamma2$", 5005: "gamma2\\r?$", 5006: "zzz"}
+    few = {k: patterns[k] for k in (1, 5, 59, 61, 4999, 5001, 5002, 5004, 5005, 5006)}
+
+    def found(some):
+        frame = spark.createDataFrame(list(some.items()), "pattern_id int, pattern string").repartition(3)
+        out = B.batch_table(content, frame, index.postings(), index.stats(), index.files())
+        return out, sorted(map(tuple, out.collect()))
+
+    want = []
+    for k, p in few.items():
+        hits_ = S.search(content, p, postings=index.postings(), stats=index.stats(), files=index.files())
+        want += [(k, r["file_id"], r["n_lines"]) for r in S.hits_per_file(hits_).collect()]
+    small, got = found(few)
+    assert got == sorted(want) and {k for k, *_ in got} >= {1, 5, 59, 5001, 5002}
+    many, got = found(patterns)
+    assert [r for r in got if r[0] in few] == sorted(want)
+    assert {r[1] for r in got if r[0] == 5003} == {k for k in range(64) if k not in (3, 60, 61, 62)}  # no literal: all live text is read
+    size = [len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (small, many)]
+    assert size[1] < 2 * size[0]  # ids of at most a thousand candidates may be pushed in one and not in the other
+    monkeypatch.setattr(B, "_SLICE", 4)
+    monkeypatch.setattr(B, "_TOGETHER", 1)
+    assert found(few)[1] == sorted(want)
+    with pytest.raises(PatternError):
+        found({1: "fine", 2: "(open"})
+    with pytest.raises(PatternError):
+        found({1: "x{3,1}"})
+    assert B.batch_table(content, spark.createDataFrame([], "pattern_id int, pattern string"), index.postings(), index.stats()).count() == 0
+
+
+def test_first_hits_read_little(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for k in range(600):
+        (root / f"f{k:03}.txt").write_text("common word\n" * (k % 3) + f"token{k} rare\n" + ("late needle\n" if k > 560 else "late ned, needl\n"))
+    index, tree = Index(spark, f"{tmp_path}/i", str(root)), C.Tree(spark, str(root))
+    index.build(tree)
+    every = {p: sorted((r["file_id"], r["lineno"], r["line"]) for r in search_index(index, tree, p).collect()) for p in ("common", "late n(eedle)?$", "[0-9]9 rare", "nowhere at all")}
+    for pattern, hits_ in every.items():
+        for n in (1, 10, 10_000):
+            opened, got = read_by(tree, lambda p=pattern, n=n: first_in_index(index, tree, p, n).collect())
+            assert [(r["file_id"], r["lineno"], r["line"]) for r in got] == hits_[:n]
+            if pattern == "common" and n <= 10:
+                assert opened == 32
+    from siltstone.operators import search as S
+    from siltstone.plans.pattern import plan
+
+    live = index.files().select("path", "size", "file_id")
+
+    def read(rows):
+        return tree.reading(rows).select("file_id", "path", F.decode("content", "UTF-8").alias("text"))
+
+    got = S.first_hits_of(live, read, plan("late needle"), 3, first=2, most=100)
+    assert [r["file_id"] for r in got.collect()] == [562, 563, 564]
