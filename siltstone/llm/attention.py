@@ -105,9 +105,10 @@ def _passages(texts: pa.Array, words_each: int) -> tuple[Passages, np.ndarray]:
     out[:, k + 2] = np.sqrt(np.maximum(np.add.reduceat(length**2, first) / size - mean**2, 0))
     out[:, k + 3] = np.add.reduceat(length <= 4, first) / size
     same = np.zeros(len(hashes), dtype=bool)
+    text = np.repeat(np.arange(len(counts)), np.diff(at))
     for lag in range(1, 9):
         again = np.zeros(len(hashes), dtype=bool)
-        again[lag:] = hashes[lag:] == hashes[:-lag]
+        again[lag:] = (hashes[lag:] == hashes[:-lag]) & (text[lag:] == text[:-lag])
         if lag == 1:
             out[:, k + 4] = np.add.reduceat(again, first) / size
         same |= again
