@@ -90,8 +90,22 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, f"key {key.simpleString()}, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
+#: 64-bit words of a set's parities.
+_WORDS = 8
+_PARITY = [f"s{k}" for k in range(_WORDS)]
+
+
+def _parities(found: np.ndarray) -> np.ndarray:
+    """For each of 64 * _WORDS classes of items, whether the set holds an odd number of them.
+
+    An item that one of two sets lacks changes one parity, so sets differ in at least as many items as parities.
+    """
+    odd = np.bincount((tb.mix(found) & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, items): the full shingle set of each text as sorted hashes."""
+    """(id, n, items, s0, ...): the full shingle set of each text as sorted hashes, and its parities."""
     key = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +115,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in found], out=offsets[1:])
                 items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), items], names=["id", "n", "items"])
+                parities = np.array([_parities(x) for x in found]).reshape(-1, _WORDS).T
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), items, *(pa.array(np.ascontiguousarray(p)) for p in parities)], names=["id", "n", "items", *_PARITY])
 
-    return docs.mapInArrow(run, f"id {key.simpleString()}, n long, items array<long>")
+    return docs.mapInArrow(run, f"id {key.simpleString()}, n long, items array<long>, " + ", ".join(f"{s} long" for s in _PARITY))
 
 
 def _several(rows: DataFrame, group: list[str], what: str) -> DataFrame:
@@ -144,7 +159,7 @@ def central_candidates(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _ranked_items(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """(id, c, n, x, i): the first items of each set, rarest first; i is the item's rank from 0.
+    """(id, c, n, x, i, s0, ...): the first items of each set, rarest first; i is the item's rank from 0.
 
     Items of one set only need no row, but count in the ranks of those behind them.
     """
@@ -154,7 +169,8 @@ def _ranked_items(sets: DataFrame, component: DataFrame, percent: int) -> DataFr
     shared = shared.withColumn("own", F.col("n") - F.size("common"))
     # a set's partner has at least percent of its items, and all but (100 - percent) of them in common
     within = F.expr(f"slice(common, 1, cast(greatest(0, {100 - percent} * n div 100 + 1 - own) as int))")
-    return shared.select("id", "c", "n", "own", F.posexplode(within).alias("k", "e")).select("id", "c", "n", F.col("e.x").alias("x"), (F.col("own") + F.col("k")).alias("i"))
+    first = shared.select("id", "h", "c", "n", "own", within.alias("within")).join(sets.select("id", "h", *_PARITY), ["id", "h"])
+    return first.select("id", "c", "n", "own", *_PARITY, F.posexplode("within").alias("k", "e")).select("id", "c", "n", F.col("e.x").alias("x"), (F.col("own") + F.col("k")).alias("i"), *_PARITY)
 
 
 def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +181,8 @@ def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> Da
     have in common can't stand behind more than (size - overlap) others in either. For an item
     of the larger set, its rank so leaves a range of sizes for the smaller one; sizes
     meet in steps of 5 %. Where most entries of an item and step are of one component,
-    these are met with the others only.
+    these are met with the others only. Of the pairs that meet, those whose parities differ
+    in more places than the items of a link can are dropped in the join, before any is written.
     """
     ranked = checkpointed(_ranked_items(sets, component, percent))
     step = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
@@ -174,14 +191,16 @@ def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> Da
     upto = f"least(n, ({100 + percent} * (n - i)) div {percent} - n)"
     large = ranked.withColumn("most", F.expr(upto)).withColumn("least", F.expr(f"greatest(1, n * {percent} div 100)")).filter("most >= least")
     steps = F.sequence(F.floor(F.log("least") / F.log(F.lit(1.05))).cast("int"), F.floor(F.log("most") / F.log(F.lit(1.05))).cast("int"))
-    large = large.select("id", "c", "n", "x", "i", F.explode(steps).alias("q"))
-    entries = checkpointed(small.select("x", "q", "id", "c", "n", "i", F.lit(False).alias("is_large")).union(large.select("x", "q", "id", "c", "n", "i", F.lit(True))))
+    large = large.select("id", "c", "n", "x", "i", *_PARITY, F.explode(steps).alias("q"))
+    columns = ["x", "q", "id", "c", "n", "i", *_PARITY]
+    entries = checkpointed(small.select(*columns, F.lit(False).alias("is_large")).union(large.select(*columns, F.lit(True))))
     each = entries.groupBy("x", "q", "c").agg(F.count("*").alias("m"), F.max("is_large").alias("l"), F.min("is_large").alias("s"))
     most = each.groupBy("x", "q").agg(F.max(F.struct("m", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("l").alias("l"), F.min("s").alias("s"))
     most = checkpointed(most.filter("lo < hi and l and not s").select("x", "q", F.col("top.c").alias("top")))
     met = checkpointed(entries.join(most, ["x", "q"]).withColumn("is_top", F.col("c") == F.col("top")).drop("top"))
-    one, other = met.filter("is_large").drop("is_large"), met.filter("not is_large").drop("is_large").select("x", "q", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "n", "i", "is_top")])
-    fits = F.expr(f"c <> o_c and n >= o_n and {100 + percent} * least(n - i, o_n - o_i) >= {percent} * (n + o_n)")
+    one, other = met.filter("is_large").drop("is_large"), met.filter("not is_large").drop("is_large").select("x", "q", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "n", "i", "is_top", *_PARITY)])
+    differ = " + ".join(f"bit_count({s} ^ o_{s})" for s in _PARITY)
+    fits = F.expr(f"c <> o_c and n >= o_n and {100 + percent} * least(n - i, o_n - o_i) >= {percent} * (n + o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (n + o_n)")
     found = [one.filter("not is_top").join(other, ["x", "q"]).filter(fits), one.filter("is_top").join(other.filter("not o_is_top"), ["x", "q"]).filter(fits)]
     found = [f.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")) for f in found]
     return found[0].union(found[1]).distinct()
@@ -203,7 +222,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     entries = table_entries(vertices, bands)
     texts = vertices.select("id", "h").join(entries.select("id").distinct(), "id", "left_semi")
     found = source.join(texts, (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
-    sets = checkpointed(shingle_sets(found.select(F.struct("key", "text_hash").alias("id"), "text"), width)).select("id.key", "id.text_hash", "n", "items").toDF("id", "h", "n", "items")
+    sets = checkpointed(shingle_sets(found.select(F.struct("key", "text_hash").alias("id"), "text"), width)).select("id.key", "id.text_hash", "n", "items", *_PARITY).toDF("id", "h", "n", "items", *_PARITY)
     release(docs.sparkSession)
 
     def links_of(candidates: DataFrame) -> DataFrame:
