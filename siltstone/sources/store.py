@@ -3,7 +3,7 @@
     <base>/manifest-<number>.json       what counts: root, generations, next file id, unfinished build
     <base>/<generation>/files           file_id, path, mtime_ns, size, content_hash, reason
     <base>/<generation>/gone            path: rows of earlier generations that no longer hold
-    <base>/<generation>/postings        tbucket (partition, but for small ones), trigram, block, ids
+    <base>/<generation>/postings        tbucket (partition of large ones), trigram, block, ids
     <base>/<generation>/stats           trigram, df
     <base>/<generation>/sketch          sketches of the distinct trigrams and of the lists' lengths
     <base>/<generation>/forward         fblock (partition), file_id, trigrams; with ``forward`` only
@@ -47,8 +47,8 @@ SKETCH = "trigrams binary, lengths binary"
 FORWARD = "file_id long, trigrams array<int>, fblock long"
 #: Changed files whose ids are pushed into the scan of the forward table, at most.
 _PUSHED = 1000
-#: Bytes of text whose lists are not worth a file for each bucket.
-_SMALL = 4 << 20
+#: Bytes of text whose lists are one task's work, and whose lists are not worth a folder for each bucket.
+_SMALL, _PLAIN = 4 << 20, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -186,10 +186,9 @@ class Index:
             gone.select("path").write.parquet(self.store.at(name, "gone"))
             out["gone"] = self.spark.read.schema("path string").parquet(self.store.at(name, "gone")).count()
         if lists is not None:
-            # few lists are one file, in which the buckets are row groups at most
-            small = (size or 0) <= _SMALL
-            table = P.joined_lists(lists, small).sortWithinPartitions("tbucket", "trigram", "block")
-            (table.write if small else table.write.partitionBy("tbucket")).parquet(self.store.at(name, "postings"))
+            # few lists are one file, and not very many a file a task: sorted, so that row groups are skipped as folders are
+            table = P.joined_lists(lists, (size or 0) <= _SMALL).sortWithinPartitions("tbucket", "trigram", "block")
+            (table.write if (size or 0) <= _PLAIN else table.write.partitionBy("tbucket")).parquet(self.store.at(name, "postings"))
             written = self.spark.read.schema(LISTS).parquet(self.store.at(name, "postings"))
             P.document_frequency(written).write.parquet(self.store.at(name, "stats"))
             stats = self.spark.read.schema("trigram int, df long").parquet(self.store.at(name, "stats"))
