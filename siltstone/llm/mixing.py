@@ -76,7 +76,7 @@ def select_mix(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text
     A token is a word. Null texts have none; null level values join the node ''. ``domain``
     is the expression for the level of that name, else levels are columns of ``docs``.
     Rows that repeat key and text are each a document of their own, next to one another in
-    the order, and may be split only by the budget's end.
+    the order, and may be split only by the budget's end. Rows with a null key are placed by their text.
     """
     value = {c: F.coalesce((domain if c == "domain" and domain is not None else F.col(c)).cast("string"), F.lit("")).alias(c) for c in mix.levels}
     tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD + "+")).cast("long")
@@ -84,7 +84,7 @@ def select_mix(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text
     levels = list(mix.levels)
     sizes = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("size")).filter("size > 0")
     plan = leaf_budgets(sizes, mix).withColumn("full", F.expr("budget div size")).withColumn("rest", F.expr("budget % size"))
-    rows = rows.join(plan, levels).withColumn("order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("full") + 1, F.coalesce(F.col("__key").cast("string"), F.lit("")))))
+    rows = rows.join(plan, levels).withColumn("order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("full") + 1, F.coalesce(F.col("__key").cast("string"), F.concat(F.lit("null "), "text_hash")))))
     rows = rows.withColumn("range", F.substring("order", 1, 3))
     sums = rows.groupBy(*levels, "range").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("r"))
     upto = F.sum("t").over(Window.partitionBy(*levels).orderBy("range"))

@@ -352,6 +352,27 @@ def test_one_class_of_labels(spark, docs):
             assert np.mean(scores) < 0.1 if value == 0 or module is toxicity else np.mean(scores) > 0.9
 
 
+def test_a_key_with_very_many_texts_is_one_training_row(spark):
+    from siltstone.llm import labelled
+
+    rows = [(k % 3 if k < 300 else k, f"text {k}") for k in range(400)] + [(500, None), (500, None), (None, "x")]
+    docs = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, label int, __text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(600), 1, 2]] + [(None, 1), (7, None)], "doc_id long, quality int")
+    got = labelled.training_rows(docs, labels, "quality", "doc_id", "text", 1000)
+    kept = {k for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 5}
+    assert got.columns == ["text", "label"] and got.count() == len(kept)
+    assert labelled.training_rows(docs, labels, "quality", "doc_id", "text", 20).count() <= 20
+    again = labelled.training_rows(docs.repartition(5), labels, "quality", "doc_id", "text", 1000)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+
+
+def test_null_keys_spread_over_the_mix(spark):
+    rows = [(None, f"w{k} " * 5, "en", "src1") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.select_mix(docs, mixing.Mix(levels=("source",), weights={}, budget_percent=50, max_epochs=1)).collect()
+    assert len(taken) == 200 and {r["copies"] for r in taken} == {1}
+
+
 def test_attention_scores_by_plain_loops():
     """A score word by word and passage by passage; and no score depends on the texts beside it."""
     import math
