@@ -1,16 +1,18 @@
 """URL filter over a sorted digest array (operator 3).
 
 A list of rules (host, path, verdict) of any length becomes shards of one sorted array: Spark
-range-partitions the rules by the 64-bit xxhash of host, NUL and path, and each
-partition writes its keys and strings to a file in the shared folder. The driver gets one row a
-shard, and the distinct lengths of rule paths.
-
-A URL gives a digest for each suffix of its host's labels and each length of a rule path, made
-by Spark's functions. Workers memory-map the shards that they need (where the
-shared folder is not a mounted one, they read them through ``pyarrow.fs``), send all digests of a
-batch's distinct URLs through vectorised binary search, and count a hit only if the stored
-host and path equal the probe's. The longest matching rule decides (at equal length the one with the
-longer host), and URLs without one get the default verdict.
+range-partitions entries by the 64-bit xxhash of their string, and each partition writes its
+keys, strings and values to a file in the shared folder. A rule is an entry (host, NUL, path) with its
+verdict, and each host with rules an entry of its own with the lengths of its paths. The driver
+gets one row a shard.
+
+Tasks gather up to ``_HELD`` rows, and look up the digests of all suffixes of their hosts' labels; a
+suffix that is a rule's host gives as many digests more as that host has lengths of paths, and no
+URL is tried with other hosts' lengths. Digests are sent through vectorised binary search shard by shard, so
+a shard is memory-mapped (where the shared folder is not a mounted one, read through
+``pyarrow.fs``) once for all held rows. A hit counts only if the stored string equals the
+probe's. The longest matching rule decides (at equal length the one with the longer host), and URLs
+without one get the default verdict. The shards are deleted once the verdicts are written.
 
 A null URL or one without ``://`` has an empty host and path and matches no rule. Rules
 with a null or empty host or a null path are ignored; a path that is not empty and does not
@@ -20,17 +22,16 @@ gives every URL the default.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import checkpointed, shared_dir, table
 from .materialise import as_uri
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,13 +45,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(whole, _URL, 1), _UPPER, _LOWER), F.regexp_extract(whole, _URL, 2)
 
 
-def _digest(host: Column, path: Column) -> Column:
-    """xxhash64 of host, NUL and path; as paths are empty or start with a slash, and hosts hold none, the split is part of the key."""
-    return F.xxhash64(F.concat(host, F.lit("\0"), path))
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _digests(texts: list[bytes]) -> np.ndarray:
+    """What ``_digest`` gives, inside tasks."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64).view(np.int64)
 
 
-def write_array(rules: DataFrame, folder: str) -> tuple[list[int], list[int], list[str]]:
-    """Write (host, path, blocked) as shards; the path lengths, each shard's least key, and the shards."""
+def _entries(rules: DataFrame) -> DataFrame:
+    """(text, value): for each rule its host, NUL and path with its verdict, for each host the lengths of its paths."""
+    own = rules.select(F.concat("host", F.lit("\0"), "path").alias("text"), F.array(F.when(F.col("blocked"), 1).otherwise(0)).alias("value"))
+    hosts = rules.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("value")).select(F.col("host").alias("text"), "value")
+    return own.union(hosts)
+
+
+def write_array(rules: DataFrame, folder: str) -> tuple[list[int], list[str]]:
+    """Write the entries of (host, path, blocked) as shards: each shard's least key, and the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -58,24 +70,25 @@ def write_array(rules: DataFrame, folder: str) -> tuple[list[int], list[int], li
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        rows = pa.Table.from_batches(batches)
-        keys = rows.column("digest").to_numpy()
-        strings = [f"{h}\0{p}".encode() for h, p in zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True)]
-        parts = [np.array([len(keys)], np.int64), keys, np.cumsum([len(x) for x in strings], dtype=np.int64), rows.column("blocked").to_numpy(zero_copy_only=False).astype(np.uint8)]
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        keys, values = rows.column("digest").to_numpy(), rows.column("value").chunk(0)
+        strings = [t.encode() for t in rows.column("text").to_pylist()]
+        ends = [np.cumsum(x, dtype=np.int64) for x in ([len(t) for t in strings], values.value_lengths().to_numpy(zero_copy_only=False))]
+        parts = [np.array([len(keys), ends[1][-1]], np.int64), keys, *ends, values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)]
         name = f"shard-{uuid.uuid4().hex}.bin"  # a second attempt writes its own
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         with store.open_output_stream(f"{base}/{name}", compression=None) as out:
             out.write(b"".join(x.tobytes() for x in parts) + b"".join(strings))
-        yield pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([f"{folder}/{name}"]), pa.array([json.dumps(sorted({len(p) for p in rows.column("path").to_pylist()}))])], names=["least", "file", "lengths"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([f"{folder}/{name}"])], names=["least", "file"])
 
-    ordered = rules.select("host", "path", "blocked", _digest(F.col("host"), F.col("path")).alias("digest")).repartitionByRange("digest").sortWithinPartitions("digest")
-    shards = sorted(ordered.mapInArrow(run, "least long, file string, lengths string").collect())
-    return sorted({n for s in shards for n in json.loads(s["lengths"])}), [s["least"] for s in shards], [s["file"] for s in shards]
+    ordered = _entries(rules).withColumn("digest", _digest(F.col("text"))).repartitionByRange("digest").sortWithinPartitions("digest")
+    shards = sorted(ordered.mapInArrow(run, "least long, file string").collect())
+    return [s["least"] for s in shards], [s["file"] for s in shards]
 
 
 class Shard:
-    """One part of the array: sorted keys, and behind them string ends, verdicts and strings."""
+    """One part of the array: sorted keys, and behind them the ends of strings and values, values and strings."""
 
     def __init__(self, file: str):
         from pyarrow import fs
@@ -86,29 +99,80 @@ class Shard:
         else:
             with store.open_input_file(path) as f:
                 data = np.frombuffer(f.read(), dtype=np.uint8)
-        n = int(data[:8].view(np.int64)[0])
-        self.keys, self.ends = data[8 : 8 + 8 * n].view(np.int64), data[8 + 8 * n : 8 + 16 * n].view(np.int64)
-        self.blocked, self.strings = data[8 + 16 * n : 8 + 17 * n], data[8 + 17 * n :]
+        n, m = data[:16].view(np.int64).tolist()
+        numbers = data[16 : 16 + 8 * (3 * n + m)].view(np.int64)
+        self.keys, self.ends, self.upto, self.values = numbers[:n], numbers[n : 2 * n], numbers[2 * n : 3 * n], numbers[3 * n :]
+        self.strings = data[16 + 8 * (3 * n + m) :]
 
     def string(self, at: int) -> bytes:
         return self.strings[int(self.ends[at - 1]) if at else 0 : int(self.ends[at])].tobytes()
 
+    def value(self, at: int) -> list[int]:
+        return self.values[int(self.upto[at - 1]) if at else 0 : int(self.upto[at])].tolist()
+
 
-#: So many shards are kept open. Mapped pages belong to the system's cache; elsewhere a shard is in memory.
-_shard = lru_cache(maxsize=16)(Shard)
+#: Rows that a task gathers before it goes through the shards.
+_HELD = 100_000
 
 
-def _hits(digests: np.ndarray, least: np.ndarray, files: list[str]) -> Iterator[tuple[int, Shard, int]]:
-    """(probe, shard, place) wherever a probe's digest is in the array; equal digests may have several."""
+def _found(texts: list[bytes], least: np.ndarray, files: list[str]) -> dict[bytes, list[int]]:
+    """The values of those of some different texts that are entries; each shard is opened once at most."""
+    if not texts or not files:
+        return {}
+    digests, out = _digests(texts), {}
     # equal digests lie in one shard, as ranges are cut between different digests
     of = np.searchsorted(least, digests, side="right") - 1
-    for k in np.unique(of[of >= 0]):
-        shard = _shard(files[k])
-        own = np.flatnonzero(of == k)
+    order = np.argsort(of, kind="stable")
+    edge = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+    for own in np.split(order, edge[1:]):
+        if of[own[0]] < 0:
+            continue
+        shard = Shard(files[int(of[own[0]])])
         first, last = (np.searchsorted(shard.keys, digests[own], side=side) for side in ("left", "right"))
-        for j in np.flatnonzero(first < last):
+        for j in np.flatnonzero(first < last).tolist():
+            text = texts[int(own[j])]
             for place in range(int(first[j]), int(last[j])):
-                yield int(own[j]), shard, place
+                if shard.string(place) == text:
+                    out[text] = shard.value(place)
+    return out
+
+
+def _verdicts(urls: list[tuple[str, str]], least: np.ndarray, files: list[str], default: str) -> list[tuple[str | None, str]]:
+    """(rule, verdict) of each (host, path)."""
+    suffixes = {}
+    for host in {h for h, _ in urls if h}:
+        labels = host.split(".")
+        suffixes[host] = [".".join(labels[k:]) for k in range(len(labels))]
+    hosts = _found(list({s.encode() for own in suffixes.values() for s in own if s}), least, files)
+    asked = []
+    for host, path in urls:
+        # the longest rule first, and of equally long ones that of the longer host
+        fitting = [(len(s.encode()) + len(path[:n].encode()), len(s.encode()), s, path[:n]) for s in suffixes.get(host, ()) for n in hosts.get(s.encode(), ()) if n <= len(path)]
+        asked.append([(s, p) for _, _, s, p in sorted(fitting, reverse=True)])
+    rules = _found(list({f"{s}\0{p}".encode() for own in asked for s, p in own}), least, files)
+    out = []
+    for own in asked:
+        hit = next(((s + p, rules[k]) for s, p in own if (k := f"{s}\0{p}".encode()) in rules), None)
+        out.append((None, default) if hit is None else (hit[0], "block" if hit[1][0] else "allow"))
+    return out
+
+
+def _judged(batches: Iterator[pa.RecordBatch], least: np.ndarray, files: list[str], default: str) -> Iterator[pa.RecordBatch]:
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple[str, str], int] = {}
+        own = [[place.setdefault(x, len(place)) for x in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)] for b in held]
+        verdicts = _verdicts(list(place), least, files, default)
+        for batch, urls in zip(held, own, strict=True):
+            rule, verdict = ([verdicts[u][k] for u in urls] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "host", "path")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["key", "host", "path", "rule", "verdict"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _HELD:
+            yield from done(held)
+            held = []
+    yield from done(held)
 
 
 def judge_urls(rows: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
@@ -119,43 +183,18 @@ def judge_urls(rows: DataFrame, rules: DataFrame, key: str = "page_id", url: str
     spark = rows.sparkSession
     known = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").filter("host <> '' and (path = '' or startswith(path, '/'))")
     known = known.groupBy("host", "path").agg(F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False)).alias("blocked"))
-    lengths, starts, files = write_array(known, f"{as_uri(shared_dir(spark))}/url-rules-{uuid.uuid4().hex}")
+    folder = f"{as_uri(shared_dir(spark))}/url-rules-{uuid.uuid4().hex}"
+    starts, files = write_array(known, folder)
     least = np.array(starts, dtype=np.int64)
     kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            place: dict[tuple[str, str], int] = {}
-            own = np.array([place.setdefault(x, len(place)) for x in zip(hosts, paths, strict=True)], dtype=np.int64)
-            first = np.zeros(len(place), np.int64)
-            first[own[::-1]] = np.arange(batch.num_rows)[::-1]
-            probes = batch.column("probes").take(pa.array(first))
-            counts = probes.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(counts)
-            best: list[tuple[int, int, str | None, str]] = [(-1, -1, None, default)] * len(place)
-            urls = list(place)
-            for at, shard, k in _hits(probes.flatten().to_numpy(zero_copy_only=False), least, files):
-                u = int(np.searchsorted(ends, at, side="right"))
-                host, path = urls[u]
-                fitting = [n for n in lengths if n <= len(path)]
-                label, length = divmod(at - int(ends[u] - counts[u]), len(fitting))
-                suffix, prefix = host.split(".", label)[-1], path[: fitting[length]]
-                if shard.string(k) == f"{suffix}\0{prefix}".encode():
-                    size = len(suffix.encode())
-                    found = (size + len(prefix.encode()), size, suffix + prefix, "block" if shard.blocked[k] else "allow")
-                    best[u] = max(best[u], found, key=lambda x: x[:2])
-            rule, verdict = [best[u][2] for u in own], [best[u][3] for u in own]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["key", "host", "path", "rule", "verdict"])
-
     host, path = host_and_path(F.col(url))
     urls = rows.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
-    probes = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: _digest(s, F.substring(F.col("path"), F.lit(1), n)))))
-    probed = urls.withColumn("probes", F.coalesce(probes, F.array().cast("array<bigint>")))
-    out = probed.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
+    out = checkpointed(urls.mapInArrow(lambda batches: _judged(batches, least, files, default), f"key {kind}, host string, path string, rule string, verdict string"))
+    if files:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.delete_dir(base)
     return out.withColumnRenamed("key", key)
 
 
