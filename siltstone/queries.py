@@ -15,7 +15,7 @@ from .operators import search as S
 from .operators import update as U
 from .operators.batch import batch_table
 from .plans.pattern import plan, trigrams_of
-from .shared import checkpointed, shared_dir
+from .shared import Store, checkpointed, shared_dir
 from .sources import corpus as C
 from .sources.store import Index, Pieces, root_key, search_index, summary
 from .streaming import ingest
@@ -59,6 +59,14 @@ def _snapshot(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return frame.withColumn("content", F.encode("content", "UTF-8")).withColumn("size", F.octet_length("content").cast("long"))
 
 
+def _cleared(frame: DataFrame, *folders: str) -> DataFrame:
+    """The frame, written to the shared folder, without the scratch folders that it was made from."""
+    out = checkpointed(frame)
+    for folder in folders:
+        Store(frame.sparkSession, folder).delete()
+    return out
+
+
 _built: dict[tuple[str, str], Index] = {}
 
 
@@ -107,7 +115,7 @@ def _written_tree(spark: SparkSession, sf_dir: str) -> str:
 def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files listed and read again: hidden names are in, .git folders are not."""
     tree = C.Tree(spark, _written_tree(spark, sf_dir))
-    return tree.whole().select("path", "size", F.md5("content").alias("digest"))
+    return _cleared(tree.whole().select("path", "size", F.md5("content").alias("digest")), tree.root)
 
 
 def tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +125,8 @@ def tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
     some = [index.update(C.Tree(spark, root, paths)) for paths in (every.filter("path like '%__init__%' or path like '%.env%'"), every)]
     names = ("added", "changed", "removed", "unchanged")
-    return spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(some, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
+    counts = spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(some, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
+    return _cleared(counts, root, index.store.base)
 
 
 def _snapshot_tree(spark: SparkSession, sf_dir: str) -> str:
@@ -134,7 +143,7 @@ def tree_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.update(tree)
     before = tree.opened.value
     index.update(tree)
-    return index.rejected().select("path", "size", "reason", F.lit(tree.opened.value - before).cast("long").alias("opened_again"))
+    return _cleared(index.rejected().select("path", "size", "reason", F.lit(tree.opened.value - before).cast("long").alias("opened_again")), root, index.store.base)
 
 
 def tree_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +151,9 @@ def tree_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _snapshot_tree(spark, sf_dir)
     manifest = _snapshot(spark, sf_dir, NEW).select("path").union(_snapshot(spark, sf_dir, OLD).select("path"))
     tree = C.Tree(spark, root, manifest)
-    stats = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root).update(tree)
-    return tree.unreadable().withColumn("counted", F.lit(stats["skipped_unreadable"]).cast("long"))
+    index = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
+    stats = index.update(tree)
+    return _cleared(tree.unreadable().withColumn("counted", F.lit(stats["skipped_unreadable"]).cast("long")), root, index.store.base)
 
 
 class _Stopped(Exception):
@@ -171,7 +181,7 @@ def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = Index(spark, base, root).manifest()
     index = Index(spark, base, root)
     index.build(tree)
-    return index.files().select("path", "file_id", F.lit(seen is not None).alias("seen_early"))
+    return _cleared(index.files().select("path", "file_id", F.lit(seen is not None).alias("seen_early")), root, base)
 
 
 def appended_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +190,7 @@ def appended_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for k in range(9):
         index.append(C.from_table(docs.filter(f"doc_id % 9 = {k}")), k)
-    return index.stats().withColumn("generations", F.lit(len(index.manifest()["generations"])).cast("long"))
+    return _cleared(index.stats().withColumn("generations", F.lit(len(index.manifest()["generations"])).cast("long")), index.store.base)
 
 
 def index_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +207,7 @@ def forward_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.update(_snapshot(spark, sf_dir, OLD))
     index.update(_snapshot(spark, sf_dir, NEW))
     added = spark.read.parquet(index.store.at(index.manifest()["generations"][-1]["name"], "stats"))
-    return added.select("trigram", F.col("df").alias("n_new"))
+    return _cleared(added.select("trigram", F.col("df").alias("n_new")), index.store.base)
 
 
 def root_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +244,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full build from scratch, and what it holds."""
     index = Index(spark, f"{shared_dir(spark)}/text-build-{uuid.uuid4().hex}", sf_dir)
     index.build(C.from_table(_table(spark, sf_dir, "documents")))
-    return summary(index.files(), index.postings()).select("files", "distinct_trigrams", "pairs")
+    return _cleared(summary(index.files(), index.postings()).select("files", "distinct_trigrams", "pairs"), index.store.base)
 
 
 def search_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +427,8 @@ def search_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, new = _updated_index(spark, sf_dir)
     stale = checkpointed(search_index(index, new, "license"))
     fresh = search_index(index, new, "license", update=True)
-    return stale.select(F.lit(1).alias("step"), "path", "lineno", "line").unionByName(fresh.select(F.lit(2).alias("step"), "path", "lineno", "line"))
+    both = stale.select(F.lit(1).alias("step"), "path", "lineno", "line").unionByName(fresh.select(F.lit(2).alias("step"), "path", "lineno", "line"))
+    return _cleared(both, index.store.base)
 
 
 def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,14 +437,14 @@ def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.update(new)
     updated = checkpointed(summary(index.files(), index.postings()).select(F.lit("updated").alias("state"), "files", "pairs"))
     index.compact(new)
-    return updated.unionByName(summary(index.files(), index.postings()).select(F.lit("compacted").alias("state"), "files", "pairs"))
+    return _cleared(updated.unionByName(summary(index.files(), index.postings()).select(F.lit("compacted").alias("state"), "files", "pairs")), index.store.base)
 
 
 def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of an updated index that hold all trigrams of a pattern, without those that are gone."""
     index, new = _updated_index(spark, sf_dir)
     index.update(new)
-    return index.files().join(S.narrowed(plan("tion"), index.postings(), index.stats()), "file_id", "left_semi").select("path")
+    return _cleared(index.files().join(S.narrowed(plan("tion"), index.postings(), index.stats()), "file_id", "left_semi").select("path"), index.store.base)
 
 
 def posting_list_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,14 +473,14 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     index = Index(spark, f"{base}/index", sf_dir)
     ingest.index_stream(ingest.table_stream(spark, f"{sf_dir}/documents.parquet", 4), index, f"{base}/checkpoint").awaitTermination()
-    return index.stats()
+    return _cleared(index.stats(), base)
 
 
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     hits = ingest.standing_search(ingest.table_stream(spark, f"{sf_dir}/documents.parquet", 4), "license")
     ingest.hits_stream(hits, f"{base}/hits", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(hits.schema).parquet(f"{base}/hits")
+    return _cleared(spark.read.schema(hits.schema).parquet(f"{base}/hits"), base)
 
 
 QUERIES = {
