@@ -9,7 +9,7 @@ document's score for an item sums, over the item's terms with repeats, whole-num
 2. Tasks split whole texts into terms and give, for each document, its number of terms and the
    slice's terms in it with their counts, compared byte by byte. Sums of these are the corpus' statistics.
 3. Documents are dealt into spans, in the order of their keys within each, and searched ``block``
-   documents at a time. A block has a posting list for each term of the slice, by document,
+   documents (and about ``_POSTINGS`` postings) at a time. A block has a posting list for each term of the slice, by document,
    and over all lists one sparse table of the places of range maxima.
 4. Best first: an interval of documents is bounded by the sum over the item's terms of the
    largest impact that each list has in it, found by two look-ups. The interval with the
@@ -43,6 +43,9 @@ from .common import checkpointed, table
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Postings of a block, about; with its sparse tables one takes some 60 bytes.
+_POSTINGS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Ranking:
@@ -193,7 +196,9 @@ def _searched(rows: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], weigh
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
             span = batch.column("span").to_numpy()
-            edge = np.append(np.flatnonzero(np.append(True, span[1:] != span[:-1])), len(span)) if len(span) else [0]
+            # a piece has at most so many postings too, or is one document
+            full = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)) // _POSTINGS
+            edge = np.append(np.flatnonzero(np.append(True, (span[1:] != span[:-1]) | (full[1:] != full[:-1]))), len(span)) if len(span) else [0]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 for at in range(int(a), int(b), how.block):
                     yield int(span[a]), batch.slice(at, min(how.block, int(b) - at))

@@ -130,6 +130,38 @@ def test_ranked_is_exact(spark, how):
     assert sorted(map(tuple, got)) == brute_ranked(items, docs, how.k)
 
 
+def test_pieces_of_few_postings(monkeypatch, spark):
+    """Blocks that are cut by postings, in one task in this process."""
+    docs, items = some_docs(60, 15), some_docs(6, 16)
+    want = brute_ranked(items, docs, 20)
+    kept = {}
+
+    class Frame:
+        """Stands for Spark: gives what is run on batches."""
+
+        schema = {"key": type("K", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "long")})})}
+
+        def __getattr__(self, name):
+            return lambda *a, **k: kept.setdefault("run", a[0]) if name == "mapInArrow" else self
+
+    monkeypatch.setattr(ranked, "_POSTINGS", 40)
+    terms = sorted({t.encode() for _, text in items for t in terms_of(text)})
+    number = {t: k for k, t in enumerate(terms)}
+    held = [(k, terms_of(t)) for k, t in docs]
+    held = [(k, t) for k, t in held if t]
+    n, total = len(held), sum(len(t) for _, t in held)
+    df = [sum(t.decode() in set(x) for _, x in held) for t in terms]
+    weight = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) for d in df])
+    asked = [np.unique(np.array([number[t.encode()] for t in terms_of(text)], np.int64), return_counts=True) for _, text in items]
+    ranked._searched(Frame(), asked, weight, n, total, ranked.Ranking())
+    own = [[number[t.encode()] for t in sorted(set(x)) if t.encode() in number] for _, x in held]
+    counts = [[x.count(terms[k].decode()) for k in o] for o, (_, x) in zip(own, held)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([k for k, _ in held]), pa.array([len(x) for _, x in held]), pa.array(own, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["span", "key", "n", "terms", "counts"])
+    got = [r for b in kept["run"](iter([batch])) for r in b.to_pylist()]
+    got = sorted((items[r["item"]][0], r["key"], r["score"]) for r in got)
+    assert got == sorted((i, k, s) for i, _, k, s in want)
+
+
 def test_ranked_on_odd_rows(spark):
     long = "needle " + "straw " * 30000
     docs = [(1, None), (2, ""), (3, " .,; "), (4, "needle in hay"), (5, "needle in hay"), (5, "needle in hay"), (6, "NEEDLE needle"), (None, "needle needle"), (7, long), (8, "hay hay hay"), (9, "né needle_né"), (10, "a" * 5000)]
