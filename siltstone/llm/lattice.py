@@ -127,11 +127,13 @@ def _filed(vertices: DataFrame, how: Lattice) -> DataFrame:
                 lengths = batch.column("vec").value_lengths().to_numpy(zero_copy_only=False)
                 for length in np.unique(lengths):
                     rows = pa.array(np.flatnonzero(lengths == length))
-                    keys = cells(_unit(_matrix(batch.column("vec").take(rows))), how)
-                    own = rows.take(pa.array(np.repeat(np.arange(len(rows)), keys.shape[1])))
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "cell"])
+                    # a vector may come to one cell by several ways
+                    keys = np.sort(cells(_unit(_matrix(batch.column("vec").take(rows))), how), axis=1)
+                    new = np.append(np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1], axis=1)
+                    own = rows.take(pa.array(np.nonzero(new)[0]))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.array(keys[new].view(np.int64))], names=["id", "cell"])
 
-    return vertices.select("id", "vec").mapInArrow(run, f"id {kind}, cell long").distinct()
+    return vertices.select("id", "vec").mapInArrow(run, f"id {kind}, cell long")
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
