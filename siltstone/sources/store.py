@@ -47,6 +47,8 @@ SKETCH = "trigrams binary, lengths binary"
 FORWARD = "file_id long, trigrams array<int>, fblock long"
 #: Changed files whose ids are pushed into the scan of the forward table, at most.
 _PUSHED = 1000
+#: Bytes of a table's text for each core, up to which it is dealt out anew before it is inverted.
+_LITTLE = 32 << 20
 #: Bytes of text whose lists are one task's work, and whose lists are not worth a folder for each bucket.
 _SMALL, _PLAIN = 4 << 20, 1 << 30
 
@@ -206,7 +208,7 @@ class Index:
         return judged.filter("reason not in ('ok', 'unreadable')").select(F.lit(None).cast("long").alias("file_id"), "path", "mtime_ns", "size", F.lit(None).cast("long").alias("content_hash"), "reason")
 
     def _taken_in(self, corpus: Corpus, rows: DataFrame | None, after: int, ids: str | None = None) -> tuple[dict, int]:
-        """A generation of some listed rows (else of all), with ids after ``after``; content is not shuffled."""
+        """A generation of some listed rows (else of all), with ids after ``after``; content is not shuffled, but for a little."""
         judged = corpus.judged(rows)
         meta = checkpointed(judged.select("path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash"), "reason", *([F.col(ids).cast("long").alias("file_id")] if ids else [])))
         ok = meta.filter("reason = 'ok'")
@@ -215,6 +217,9 @@ class Index:
             content = judged.filter("reason = 'ok'").select(F.col(ids).cast("long").alias("file_id"), "content")
         else:
             content = corpus.reading(numbered.select("path", "size", "file_id"))
+        workers = self.spark.sparkContext.defaultParallelism
+        if not isinstance(corpus, Tree) and (ok.agg(F.sum("size")).first()[0] or 0) <= workers * _LITTLE:
+            content = content.repartition(workers)  # a little text may all be in one row group, and so in one task
         record = self._write("gen", numbered.unionByName(self._rejected(meta), allowMissingColumns=True), P.short_lists(content), forward=P.forward_rows(content) if self.forward else None)
         return record, max(after, record["last"])
 
