@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from ..functions.files import binary_content
 from ..functions.text import lines
 from ..plans.pattern import PatternError, plan, required_literals
 from ..shared import checkpointed
+from . import postings as P
 
 #: Patterns that tasks know at once, about; and patterns of one file that are tested together.
 _SLICE, _TOGETHER = 20000, 64
@@ -51,18 +54,16 @@ def planned(patterns: DataFrame, id: str = "pattern_id", pattern: str = "pattern
         raise PatternError(bad["error"])
     try:
         out.agg(F.count_if(F.rlike(F.lit(""), F.col("java")))).collect()
-    except Exception as e:  # Java's own check
+    except (Py4JJavaError, PySparkException) as e:  # Java's own check
         raise PatternError(str(e).split("\n")[0]) from None
     return out.drop("error")
 
 
 def _rarest(part: DataFrame, stats: DataFrame) -> DataFrame:
     """(tbucket, trigram): each pattern's rarest trigram; patterns with one that no file has are left out."""
-    from .postings import BUCKETS
-
     needed = part.select("pattern_id", F.explode("required").alias("trigram")).join(stats.groupBy("trigram").agg(F.sum("df").alias("df")), "trigram", "left")
     least = needed.groupBy("pattern_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram")).alias("r"))
-    return least.filter("r.df > 0").select(F.col("r.trigram").alias("trigram"), (F.col("r.trigram") % BUCKETS).alias("tbucket")).distinct()
+    return least.filter("r.df > 0").select(F.col("r.trigram").alias("trigram"), (F.col("r.trigram") % P.BUCKETS).alias("tbucket")).distinct()
 
 
 def pairs_in(content: DataFrame, part: DataFrame) -> DataFrame:
@@ -106,10 +107,8 @@ def batch_table(content: DataFrame, patterns: DataFrame, postings: DataFrame, st
     Ids of patterns are unique. ``content`` is (file_id, path, text); content that looks binary, or is not in
     ``files``, has no hits, nor has null content.
     """
-    from .postings import document_frequency
-
     known = planned(patterns, id, pattern)
-    stats = document_frequency(postings) if stats is None else stats
+    stats = P.document_frequency(postings) if stats is None else stats
     n = max(1, -(-known.count() // _SLICE))
     out = None
     for k in range(n):
