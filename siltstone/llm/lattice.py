@@ -254,7 +254,9 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     vertices = source.filter("ok").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count("*").alias("size"), F.first("vec").alias("vec"))
     vertices = checkpointed(vertices.withColumn("id", F.monotonically_increasing_id()))
     body = vertices.select("id", "size", "vec")
-    links = _star_links(_block_pairs(_filed(vertices, how), "cell", body, how.block), how)
+    # written once: both sides of a join are made of it
+    filed = checkpointed(_filed(vertices, how))
+    links = _star_links(_block_pairs(filed, "cell", body, how.block), how)
     component = checkpointed(components(checkpointed(links)))
     counts = _link_counts(_block_pairs(component, "component", body, how.block), how)
     names = component.join(vertices.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("name"))
