@@ -120,7 +120,7 @@ def first_hits_of(live: DataFrame, read, query: Query, n: int, first: int = 32,
         found += first_hits(hits, n - len(found)).collect()
         if some is None:
             break
-        last, size = some[-1]["file_id"], 4 * size
+        last, size = some[-1]["file_id"], 16 * size
     return spark.createDataFrame(found, f"file_id {kind}, path string, lineno int, line string")
 
 
