@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,16 +80,18 @@ def with_ids(rows: DataFrame, after: int, order: str = "path") -> DataFrame:
     """``rows`` with ``file_id`` = after + 1, after + 2, ... in the order of a column.
 
     Rows are sorted by range partitions; a partition's ids start after the counts of the
-    partitions before it, so no task sees all rows.
+    partitions before it, so no task sees all rows. The driver gets one count for each of the
+    ``spark.sql.shuffle.partitions``.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
     at = F.monotonically_increasing_id()
     placed = checkpointed(ranged.withColumn("__p", F.shiftright(at, 33)).withColumn("__k", at.bitwiseAND((1 << 33) - 1)))
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__p", before.alias("__before"))
-    return placed.join(offsets, "__p").withColumn("file_id", F.col("__before") + F.col("__k") + 1 + after).drop("__p", "__k", "__before")
+    sizes = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
+    # the first id of every partition, empty ones too
+    starts = itertools.accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=after + 1)
+    first = F.array(*[F.lit(n).cast("long") for n in starts])
+    return placed.withColumn("file_id", F.get(first, F.col("__p").cast("int")) + F.col("__k")).drop("__p", "__k")
 
 
 def lists_rewritten(pairs: DataFrame) -> DataFrame:

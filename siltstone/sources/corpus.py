@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import head_reason, index_reason, stat_reason
+from ..shared import checkpointed
 
 LISTING = "path string, mtime_ns long, size long"
 
@@ -137,8 +138,8 @@ class Corpus:
         """(path, mtime_ns, size) of the files."""
         return self.entries().filter("kind = 'file'").drop("kind")
 
-    def reading(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (path and whatever else) with ``content``; paths that can't be read are left out."""
+    def reading(self, rows: DataFrame, count: int | None = None) -> DataFrame:
+        """``rows`` (path and whatever else; ``count`` of them, if known) with ``content``; paths that can't be read are left out."""
         raise NotImplementedError
 
     def judged(self, rows: DataFrame | None = None) -> DataFrame:
@@ -173,8 +174,6 @@ class Tree(Corpus):
     def _found(self) -> DataFrame:
         from pyarrow import fs
 
-        from ..shared import checkpointed
-
         store, base = _store(self.root)
         if store.get_file_info(base).type != fs.FileType.Directory:
             raise self._root_error()
@@ -200,7 +199,7 @@ class Tree(Corpus):
         """(path) of folders that could not be listed, and of paths of the manifest that are no files."""
         return self.entries().filter("kind = 'unreadable'").select("path")
 
-    def reading(self, rows: DataFrame) -> DataFrame:
+    def reading(self, rows: DataFrame, count: int | None = None) -> DataFrame:
         return self._read(rows, False)
 
     def judged(self, rows: DataFrame | None = None) -> DataFrame:
@@ -264,11 +263,19 @@ class Table(Corpus):
     def entries(self) -> DataFrame:
         return self.frame.select("path", "mtime_ns", "size", F.lit("file").alias("kind"))
 
-    def reading(self, rows: DataFrame) -> DataFrame:
-        """With few rows their paths are pushed into the scan, and content is not shuffled."""
+    def dealt(self, tasks: int, most: int) -> Table:
+        """The same in ``tasks`` parts, written out, if the planner takes it for at most ``most`` bytes; else as it is.
+
+        All of a little text may be in one row group, and so in one task.
+        """
+        size = int(self.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return Table(checkpointed(self.frame.repartition(tasks))) if size <= most else self
+
+    def reading(self, rows: DataFrame, count: int | None = None) -> DataFrame:
+        """With few rows their paths are pushed into the scan; with many, rows and content are joined."""
         rows, content = rows.drop("content"), self.frame.select("path", "content")
-        few = [r[0] for r in rows.select("path").limit(_PUSHED + 1).collect()]
-        if len(few) > _PUSHED:
+        few = [r[0] for r in rows.select("path").limit(_PUSHED + 1).collect()] if count is None or count <= _PUSHED else []
+        if max(len(few), count or 0) > _PUSHED:
             return rows.join(content, "path")
         return content.filter(F.col("path").isin(few) if few else F.lit(False)).join(F.broadcast(rows), "path")  # at most _PUSHED rows
 

@@ -38,7 +38,7 @@ from ..functions.files import stat_reason
 from ..operators import postings as P
 from ..operators import update as U
 from ..shared import Store, checkpointed
-from .corpus import Corpus, Tree, as_corpus
+from .corpus import Corpus, Table, Tree, as_corpus
 
 FANOUT = 8
 ENTRIES = f"{U.FILES}, reason string"
@@ -196,7 +196,7 @@ class Index:
             stats = self.spark.read.schema("trigram int, df long").parquet(self.store.at(name, "stats"))
             # one row of a few kilobytes
             row = stats.agg(F.hll_sketch_agg("trigram", 14).alias("trigrams"), F.kll_sketch_agg_bigint("df").alias("lengths"), F.count("*").alias("n")).first()
-            self.spark.createDataFrame([(row["trigrams"], row["lengths"])], SKETCH).write.parquet(self.store.at(name, "sketch"))
+            self.spark.createDataFrame([(row["trigrams"], row["lengths"])], SKETCH).coalesce(1).write.parquet(self.store.at(name, "sketch"))
             out["lists"], out["bytes"] = row["n"], self.store.size(name, "postings")
         if forward is not None:
             sorted_rows = forward.repartition("fblock").sortWithinPartitions("fblock", "file_id")
@@ -208,7 +208,14 @@ class Index:
         return judged.filter("reason not in ('ok', 'unreadable')").select(F.lit(None).cast("long").alias("file_id"), "path", "mtime_ns", "size", F.lit(None).cast("long").alias("content_hash"), "reason")
 
     def _taken_in(self, corpus: Corpus, rows: DataFrame | None, after: int, ids: str | None = None) -> tuple[dict, int]:
-        """A generation of some listed rows (else of all), with ids after ``after``; content is not shuffled, but for a little."""
+        """A generation of some listed rows (else of all), with ids after ``after``.
+
+        Without ``ids`` a table's content is joined to the ids of its paths: a broadcast of these while Spark
+        takes them for small, else a shuffle of the content.
+        """
+        workers = self.spark.sparkContext.defaultParallelism
+        if isinstance(corpus, Table):
+            corpus = corpus.dealt(workers, workers * _LITTLE)
         judged = corpus.judged(rows)
         meta = checkpointed(judged.select("path", "mtime_ns", "size", F.xxhash64("content").alias("content_hash"), "reason", *([F.col(ids).cast("long").alias("file_id")] if ids else [])))
         ok = meta.filter("reason = 'ok'")
@@ -216,10 +223,7 @@ class Index:
         if ids:
             content = judged.filter("reason = 'ok'").select(F.col(ids).cast("long").alias("file_id"), "content")
         else:
-            content = corpus.reading(numbered.select("path", "size", "file_id"))
-        workers = self.spark.sparkContext.defaultParallelism
-        if not isinstance(corpus, Tree) and (ok.agg(F.sum("size")).first()[0] or 0) <= workers * _LITTLE:
-            content = content.repartition(workers)  # a little text may all be in one row group, and so in one task
+            content = corpus.reading(numbered.select("path", "size", "file_id"), ok.count())
         record = self._write("gen", numbered.unionByName(self._rejected(meta), allowMissingColumns=True), P.short_lists(content), forward=P.forward_rows(content) if self.forward else None)
         return record, max(after, record["last"])
 
