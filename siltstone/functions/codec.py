@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +30,19 @@ def _bytes(value: object) -> bytes:
     return value.encode() if isinstance(value, str) else bytes(value)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def trigrams(content: pd.Series) -> pd.Series:
+def _lists(found: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow column of numpy arrays, without an object for each of their numbers."""
+    sizes = [0 if x is None else len(x) for x in found]
+    values = [x for x in found if x is not None]
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    held = pa.array(np.concatenate(values) if values else np.zeros(0), kind)
+    return pa.ListArray.from_arrays(offsets, held, mask=pa.array([x is None for x in found], pa.bool_()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def trigrams(content: pa.Array) -> pa.Array:
     """Distinct trigrams of a string's or blob's bytes, ascending; null for null."""
-    return pd.Series([None if c is None else np.unique(packed(np.frombuffer(_bytes(c), np.uint8))) for c in content], dtype=object)
+    return _lists([np.unique(packed(np.frombuffer(c.as_buffer(), np.uint8))) if c.is_valid else None for c in content], pa.int32())
 
 
 @F.pandas_udf(T.LongType())
@@ -68,45 +78,68 @@ def encode_ids(ids: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def decode_ids(data: bytes) -> tuple[list[int] | None, str | None]:
-    """(ids, None), or (None, what is wrong): Truncated, Overlong or Overflow."""
+def _decoded(data: bytes | pa.Buffer) -> tuple[np.ndarray | None, str | None]:
+    """(ids, None), or (None, what is wrong with the first bad number)."""
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return [], None
     ends = np.flatnonzero(raw < 0x80)
-    starts = np.concatenate([[0], ends + 1])
+    starts = np.append(0, ends + 1)
     sizes = np.diff(starts)
-    total = 0
-    ids = []
-    # a number has nine groups of seven bits and one bit more at most
-    for a, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True):
-        value = 0
-        if n > 10:
-            return None, "Overlong"
-        for k, b in enumerate(raw[a : a + n].tolist()):
-            if k == 9 and b > 1:
-                return None, "Overlong"
-            value |= (b & 0x7F) << (7 * k)
-        total += value
-        if value > _TOP or total > _TOP:
-            return None, "Overflow"
-        ids.append(total)
-    left = len(raw) - int(starts[-1])
+    # a number has nine groups of seven bits and one bit more at most, which is beyond 63 bits if it is set
+    overlong = (sizes > 10) | ((sizes == 10) & (raw[ends] > 1))
+    bad = np.flatnonzero(overlong | ((sizes == 10) & (raw[ends] == 1)))
+    n = int(bad[0]) if len(bad) else len(ends)
+    upto = int(starts[n])
+    group = np.arange(upto) - np.repeat(starts[:n], sizes[:n])
+    bits = (raw[:upto] & 0x7F).astype(np.int64) << (7 * group)
+    # a sum of two numbers below 2 ** 63 that is too large is negative
+    ids = np.cumsum(np.add.reduceat(bits, starts[:n])) if n else np.zeros(0, np.int64)
+    if (ids < 0).any():
+        return None, "Overflow"
+    if len(bad):
+        return None, "Overlong" if overlong[n] else "Overflow"
+    left = len(raw) - upto
     if left >= 10:
         return None, "Overlong"
     return (None, "Truncated") if left else (ids, None)
 
 
+def decode_ids(data: bytes) -> tuple[list[int] | None, str | None]:
+    """(ids, None), or (None, what is wrong): Truncated, Overlong or Overflow."""
+    ids, error = _decoded(data)
+    return (None if ids is None else ids.tolist()), error
+
+
+def encoded_lengths(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes of ``encode_ids`` of each list of a column, which holds no nulls inside lists."""
+    gaps = np.diff(ids, prepend=ids[:1])
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    gaps[heads] = ids[heads]
+    size = np.ones(len(gaps), np.int64)
+    for k in range(1, 9):
+        more = gaps >= 1 << (7 * k)
+        if not more.any():
+            break
+        size += more
+    size[gaps < 0] = 10
+    sums = np.append(0, np.cumsum(size))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_postings(ids: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else encode_ids(x) for x in ids], dtype=object)
 
 
-@F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())]))
-def decode_postings(data: pd.Series) -> pd.DataFrame:
+def decoded(data: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(ids, error) of a column of blobs; null for null."""
+    found = [_decoded(d.as_buffer()) if d.is_valid else (None, None) for d in data]
+    return _lists([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())
+
+
+@F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())]))
+def decode_postings(data: pa.Array) -> pa.Array:
     """What a blob holds, or why it is damaged; damaged rows do not fail the job."""
-    found = [(None, None) if d is None else decode_ids(bytes(d)) for d in data]
-    return pd.DataFrame({"ids": pd.Series([f[0] for f in found], dtype=object), "error": pd.Series([f[1] for f in found], dtype=object)})
+    return pa.StructArray.from_arrays(list(decoded(data)), names=["ids", "error"])
 
 
 def gaps(ids: Column) -> Column:
@@ -114,10 +147,11 @@ def gaps(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get(ids, i - 1)))
 
 
-def encoded_size(ids: Column) -> Column:
-    """Bytes of ``encode_postings`` without making them."""
-    size = F.transform(gaps(ids), lambda g: F.ceil(F.length(F.bin(g)) / 7))
-    return F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x)
+@F.arrow_udf(T.LongType())
+def encoded_size(ids: pa.Array) -> pa.Array:
+    """Bytes of ``encode_postings`` without making them; null for null."""
+    values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array(encoded_lengths(values, offsets), pa.int64(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
 
 def intersected(a: Column, b: Column) -> Column:

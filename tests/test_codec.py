@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +79,24 @@ def test_sql_names_and_damage(spark):
     codec.register(spark)
     row = spark.sql("select trigrams('abcd') as t, decode_postings(unhex('80')) as d, decode_postings(encode_postings(array(1L, 9L))) as e, decode_postings(null) as n").first()
     assert row["t"] == [0x616263, 0x626364] and row["d"]["error"] == "Truncated" and row["e"]["ids"] == [1, 9] and row["n"]["ids"] is None
+
+
+def test_decoded_lists_take_few_bytes_an_id():
+    lists = [np.cumsum(np.full(10_000, 1 + k)) for k in range(100)]
+    blobs = pa.array([codec.encode_ids(x) for x in lists], pa.binary())
+    tracemalloc.start()
+    ids, error = codec.decoded(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.to_pylist() == [x.tolist() for x in lists] and error.null_count == len(lists)
+    # objects take 32 bytes an id, and 8 for the list
+    assert peak < 24 * 1_000_000
+
+
+def test_encoded_lengths_of_slices_nulls_and_empty_lists():
+    lists = [[5], [], None, [1, 200, 300000, 5 * 10**9], [(1 << 63) - 1], list(range(1, 1001))]
+    column = pa.array(lists, pa.list_(pa.int64()))
+    expected = [None if x is None else len(codec.encode_ids(np.array(x, dtype=np.int64))) for x in lists]
+    assert codec.encoded_size.func(column).to_pylist() == expected
+    assert codec.encoded_size.func(column[3:]).to_pylist() == expected[3:]
+    assert codec.encoded_size.func(column[:0]).to_pylist() == []
