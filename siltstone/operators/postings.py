@@ -11,22 +11,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec
 
 BLOCK = 65536
 BUCKETS = 64
 #: Blocks whose lists of a bucket are merged and written by one task.
-SPAN = 64
+SPAN = 4
 #: File ids of one partition of the forward table.
 FORWARD = 4096
+#: Bytes of encoded lists that are decoded together.
+_DECODED = 1 << 20
+#: Bytes of text whose lists one task joins, about; where that makes more tasks than Spark's number of shuffle partitions.
+_TASK = 16 << 20
 
 
-def trigram_pairs(files: DataFrame) -> DataFrame:
-    """Long form (trigram, file_id) of (file_id, content), each pair once."""
-    return files.select("file_id", F.explode(codec.trigrams("content")).alias("trigram")).select("trigram", "file_id")
+def _dealt(lists: DataFrame, size: int, *by: str) -> DataFrame:
+    """Lists of ``size`` bytes of text (0: not known) dealt out by some columns, to more tasks the more text there is."""
+    parts = -(-size // _TASK)
+    return lists.repartition(parts, *by) if parts > int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) else lists.repartition(*by)
 
 
 def short_lists(files: DataFrame) -> DataFrame:
@@ -48,22 +55,22 @@ def short_lists(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(run, "trigram int, block long, ids array<long>")
 
 
-def joined_lists(lists: DataFrame, small: bool = False) -> DataFrame:
+def joined_lists(lists: DataFrame, small: bool = False, size: int = 0) -> DataFrame:
     """Blocked form (tbucket, trigram, block, ids) of lists that may be in several parts; ids ascend.
 
     One shuffle, by bucket and span of blocks, joins the parts and puts together what
     goes to one file, so an index of any size has as many tasks as it has spans and buckets. ``small``
-    lists are the work of one task.
+    lists are the work of one task; ``size`` is that of their text, if known.
     """
     keyed = lists.select((F.col("trigram") % BUCKETS).alias("tbucket"), F.floor(F.col("block") / SPAN).alias("span"), "trigram", "block", "ids")
-    dealt = keyed.repartition(1) if small else keyed.repartition("tbucket", "span")
+    dealt = keyed.repartition(1) if small else _dealt(keyed, size, "tbucket", "span")
     whole = dealt.groupBy("tbucket", "span", "trigram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     return whole.drop("span")
 
 
-def inverted(files: DataFrame) -> DataFrame:
-    """Blocked form (tbucket, trigram, block, ids) of (file_id, content); ids ascend."""
-    return joined_lists(short_lists(files))
+def inverted(files: DataFrame, size: int = 0) -> DataFrame:
+    """Blocked form (tbucket, trigram, block, ids) of (file_id, content), of ``size`` bytes if known; ids ascend."""
+    return joined_lists(short_lists(files), size=size)
 
 
 def _inverted_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -122,19 +129,35 @@ def rarest(stats: DataFrame, required: list[int], most: int) -> list[int] | None
     return [r["trigram"] for r in found][:most] if len(found) == len(set(required)) else None
 
 
-def new_pairs(pairs: DataFrame, old: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """Pairs (trigram, file_id) that the old postings lack.
+def _met(lists: DataFrame, other: DataFrame, made, size: int) -> DataFrame:
+    """(trigram, block, ids) of two tables of lists, which may be in parts: ``made`` of both lists, where it holds any id.
 
-    With ``changed`` (file_id) only the lists' ids of these files are looked at: ids of
+    One shuffle of lists; no row is made for a pair, and a row of the result has at most BLOCK ids.
+    """
+    none = F.lit(None).cast("array<long>")
+    both = lists.select("trigram", "block", F.col("ids").alias("one"), none.alias("other")).unionByName(other.select("trigram", "block", none.alias("one"), F.col("ids").alias("other")))
+    grouped = _dealt(both, size, "trigram", "block").groupBy("trigram", "block").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("one", "other")])
+    return grouped.select("trigram", "block", F.sort_array(made(F.col("one"), F.col("other"))).alias("ids")).filter(F.size("ids") > 0)
+
+
+def lacking(lists: DataFrame, old: DataFrame, changed: DataFrame | None = None, size: int = 0) -> DataFrame:
+    """(trigram, block, ids) of what ``lists`` hold and the old lists lack.
+
+    With ``changed`` (file_id) only the old lists' ids of these files are looked at: ids of
     added files can't be in them. A list is intersected with its block's changed ids before it
-    is exploded.
+    is shuffled. ``size`` is that of the lists' text, if known.
     """
-    known = old.select("trigram", F.explode("ids").alias("file_id"))
+    known = old.select("trigram", "block", "ids")
     if changed is not None:
         # at most BLOCK ids a row
         blocks = changed.groupBy(F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.collect_set("file_id").alias("changed"))
-        known = old.join(blocks, "block").select("trigram", F.explode(F.array_intersect("ids", "changed")).alias("file_id"))
-    return pairs.join(known, ["trigram", "file_id"], "left_anti")
+        known = old.join(blocks, "block").select("trigram", "block", F.array_intersect("ids", "changed").alias("ids")).filter(F.size("ids") > 0)
+    return _met(lists, known, F.array_except, size)
+
+
+def in_both(lists: DataFrame, other: DataFrame, size: int = 0) -> DataFrame:
+    """(trigram, block, ids) of what both tables of lists hold."""
+    return _met(lists, other, F.array_intersect, size)
 
 
 def forward_rows(files: DataFrame) -> DataFrame:
@@ -155,13 +178,12 @@ def listed(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("trigram", F.floor(F.col("file_id") / BLOCK).cast("long").alias("block")).agg(F.collect_list("file_id").alias("ids"))
 
 
-def stale(postings: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """(cause, pairs): indexed pairs that are no longer true, by tombstone or lost trigram."""
-    known = postings.select("trigram", F.explode("ids").alias("file_id")).distinct()
-    gone = known.join(pairs, ["trigram", "file_id"], "left_anti")
+def stale(postings: DataFrame, lists: DataFrame, files: DataFrame, size: int = 0) -> DataFrame:
+    """(cause, pairs): indexed pairs that ``lists`` no longer hold, by tombstone or lost trigram."""
+    gone = lacking(postings, lists, size=size).select(F.explode("ids").alias("file_id")).groupBy("file_id").agg(F.count("*").alias("pairs"))
     live = files.select("file_id", F.lit(True).alias("live"))
     cause = F.when(F.col("live"), "lost_trigram").otherwise("tombstone")
-    return gone.join(live, "file_id", "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("pairs"))
+    return gone.join(live, "file_id", "left").groupBy(cause.alias("cause")).agg(F.sum("pairs").alias("pairs"))
 
 
 def id_gaps(pairs: DataFrame) -> DataFrame:
@@ -171,5 +193,18 @@ def id_gaps(pairs: DataFrame) -> DataFrame:
 
 
 def validated(encoded: DataFrame, column: str = "encoded") -> DataFrame:
-    """Rows with ``ids`` and ``error`` of an encoded list column; damaged rows have an error."""
-    return encoded.withColumn("__d", codec.decode_postings(column)).withColumn("ids", F.col("__d.ids")).withColumn("error", F.col("__d.error")).drop("__d")
+    """Rows with ``ids`` and ``error`` of an encoded list column; damaged rows have an error.
+
+    Lists are decoded and sent on about ``_DECODED`` bytes at a time, as a batch of blobs becomes eight times as large.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes) // _DECODED)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                piece = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*piece.columns, *codec.decoded(piece.column(column))], names=[*piece.schema.names, "ids", "error"])
+
+    schema = T.StructType([*encoded.schema.fields, T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
+    return encoded.mapInArrow(run, schema)

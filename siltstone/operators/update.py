@@ -94,6 +94,6 @@ def with_ids(rows: DataFrame, after: int, order: str = "path") -> DataFrame:
     return placed.withColumn("file_id", F.get(first, F.col("__p").cast("int")) + F.col("__k")).drop("__p", "__k")
 
 
-def lists_rewritten(pairs: DataFrame) -> DataFrame:
-    """One row: how many posting lists gain at least one id from new pairs."""
-    return pairs.agg(F.count_distinct("trigram").alias("trigrams_rewritten"))
+def lists_rewritten(gained: DataFrame) -> DataFrame:
+    """One row: how many trigrams' lists gain at least one id, of new pairs or lists."""
+    return gained.agg(F.count_distinct("trigram").alias("trigrams_rewritten"))

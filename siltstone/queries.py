@@ -59,9 +59,14 @@ def _snapshot(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return frame.withColumn("content", F.encode("content", "UTF-8")).withColumn("size", F.octet_length("content").cast("long"))
 
 
-def _cleared(frame: DataFrame, *folders: str) -> DataFrame:
-    """The frame, written to the shared folder, without the scratch folders that it was made from."""
+def _cleared(frame: DataFrame, *folders: str, paths: DataFrame | None = None) -> DataFrame:
+    """The frame, written to the shared folder, without the scratch folders that it was made from.
+
+    With ``paths`` tasks delete these files below the first folder, which are too many for the driver.
+    """
     out = checkpointed(frame)
+    if paths is not None:
+        C.delete_files(paths, folders[0])
     for folder in folders:
         Store(frame.sparkSession, folder).delete()
     return out
@@ -104,56 +109,57 @@ select concat(case doc_id % 7 when 0 then '.git/' when 1 then '.github/' when 2
 from documents"""
 
 
-def _written_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Every document as a file of its own in the shared folder; the tree's root."""
+def _written_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Every document as a file of its own in the shared folder; the tree's root, and the files' paths."""
     root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
     rows = spark.sql(TREE.format(fields="text").replace("from documents", "from {documents}"), documents=_table(spark, sf_dir, "documents"))
     C.write_tree(rows.select("path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), root)
-    return root
+    return root, rows.select("path")
 
 
 def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files listed and read again: hidden names are in, .git folders are not."""
-    tree = C.Tree(spark, _written_tree(spark, sf_dir))
-    return _cleared(tree.whole().select("path", "size", F.md5("content").alias("digest")), tree.root)
+    root, paths = _written_tree(spark, sf_dir)
+    return _cleared(C.Tree(spark, root).whole().select("path", "size", F.md5("content").alias("digest")), root, paths=paths)
 
 
 def tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of half of a tree is indexed, then the whole tree; counts of both updates."""
-    root = _written_tree(spark, sf_dir)
+    root, paths = _written_tree(spark, sf_dir)
     every = C.Tree(spark, root).listing().select("path")
     index = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
-    some = [index.update(C.Tree(spark, root, paths)) for paths in (every.filter("path like '%__init__%' or path like '%.env%'"), every)]
+    steps = [index.update(C.Tree(spark, root, some)) for some in (every.filter("path like '%__init__%' or path like '%.env%'"), every)]
     names = ("added", "changed", "removed", "unchanged")
-    counts = spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(some, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
-    return _cleared(counts, root, index.store.base)
+    counts = spark.createDataFrame([(k, *(s[n] for n in names)) for k, s in enumerate(steps, 1)], "step int, " + ", ".join(f"{n} long" for n in names))
+    return _cleared(counts, root, index.store.base, paths=paths)
 
 
-def _snapshot_tree(spark: SparkSession, sf_dir: str) -> str:
-    """The new snapshot as files, some of them with names or content that is no text; the tree's root."""
+def _snapshot_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The new snapshot as files, some of them with names or content that is no text; the tree's root, and the files' paths."""
     root = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
-    C.write_tree(_snapshot(spark, sf_dir, NEW), root)
-    return root
+    rows = _snapshot(spark, sf_dir, NEW)
+    C.write_tree(rows, root)
+    return root, rows.select("path")
 
 
 def tree_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an index of a tree knows to be no text, after an update that opened no file again."""
-    root = _snapshot_tree(spark, sf_dir)
+    root, paths = _snapshot_tree(spark, sf_dir)
     tree, index = C.Tree(spark, root), Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
     index.update(tree)
     before = tree.opened.value
     index.update(tree)
-    return _cleared(index.rejected().select("path", "size", "reason", F.lit(tree.opened.value - before).cast("long").alias("opened_again")), root, index.store.base)
+    return _cleared(index.rejected().select("path", "size", "reason", F.lit(tree.opened.value - before).cast("long").alias("opened_again")), root, index.store.base, paths=paths)
 
 
 def tree_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a manifest lists that is no file, and how an update counts it."""
-    root = _snapshot_tree(spark, sf_dir)
+    root, paths = _snapshot_tree(spark, sf_dir)
     manifest = _snapshot(spark, sf_dir, NEW).select("path").union(_snapshot(spark, sf_dir, OLD).select("path"))
     tree = C.Tree(spark, root, manifest)
     index = Index(spark, f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}", root)
     stats = index.update(tree)
-    return _cleared(tree.unreadable().withColumn("counted", F.lit(stats["skipped_unreadable"]).cast("long")), root, index.store.base)
+    return _cleared(tree.unreadable().withColumn("counted", F.lit(stats["skipped_unreadable"]).cast("long")), root, index.store.base, paths=paths)
 
 
 class _Stopped(Exception):
@@ -162,7 +168,7 @@ class _Stopped(Exception):
 
 def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree's build in four pieces that is stopped after two, and goes on: the files that readers see, and their ids."""
-    root = _snapshot_tree(spark, sf_dir)
+    root, paths = _snapshot_tree(spark, sf_dir)
     tree, base = C.Tree(spark, root), f"{shared_dir(spark)}/tree-index-{uuid.uuid4().hex}"
     share = -(-tree.listing().count() // 4)
     index, taken, take = Index(spark, base, root), [], Index._taken_in
@@ -181,7 +187,7 @@ def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = Index(spark, base, root).manifest()
     index = Index(spark, base, root)
     index.build(tree)
-    return _cleared(index.files().select("path", "file_id", F.lit(seen is not None).alias("seen_early")), root, base)
+    return _cleared(index.files().select("path", "file_id", F.lit(seen is not None).alias("seen_early")), root, base, paths=paths)
 
 
 def appended_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,33 +355,33 @@ def assigned_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_files(spark, sf_dir).select("path", "file_id")
 
 
-def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Old postings in blocks, the new snapshot with the ids that an update gives, and live files."""
+def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Old postings in blocks, the new snapshot with the ids that an update gives, live files, and bytes of the old snapshot."""
     files = checkpointed(_stored_files(spark, sf_dir))
     changes = checkpointed(U.diff(_snapshot(spark, sf_dir, NEW), files))
-    last = files.agg(F.max("file_id")).first()[0]
+    last, size = files.agg(F.max("file_id"), F.coalesce(F.sum("size"), F.lit(0))).first()
     added = U.with_ids(changes.filter("status = 'added'").drop("file_id"), last)
     live = changes.filter("status in ('unchanged', 'changed')").select("path", "file_id", "status").unionByName(added.select("path", "file_id", "status"))
-    old = P.inverted(_snapshot(spark, sf_dir, OLD).join(files.select("path", "file_id"), "path"))
-    return old, _snapshot(spark, sf_dir, NEW).join(live, "path"), live
+    old = P.inverted(_snapshot(spark, sf_dir, OLD).join(files.select("path", "file_id"), "path"), size)
+    return old, _snapshot(spark, sf_dir, NEW).join(live, "path"), live, size
 
 
-def _new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, _ = _old_and_new(spark, sf_dir)
-    return P.new_pairs(P.trigram_pairs(new.filter("status in ('added', 'changed')")), old)
+def _new_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, live, size = _old_and_new(spark, sf_dir)
+    return P.lacking(P.short_lists(new.filter("status in ('added', 'changed')")), old, live.filter("status = 'changed'"), size)
 
 
 def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _new_pairs(spark, sf_dir).groupBy("trigram").agg(F.count("*").alias("n_new"))
+    return _new_lists(spark, sf_dir).groupBy("trigram").agg(F.sum(F.size("ids")).alias("n_new"))
 
 
 def lists_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.lists_rewritten(_new_pairs(spark, sf_dir))
+    return U.lists_rewritten(_new_lists(spark, sf_dir))
 
 
 def stale_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, live = _old_and_new(spark, sf_dir)
-    return P.stale(old, P.trigram_pairs(new), live)
+    old, new, live, size = _old_and_new(spark, sf_dir)
+    return P.stale(old, P.short_lists(new), live, size)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ _TASK_BYTES, _BATCH_BYTES = 128 << 20, 16 << 20
 _PUSHED = 1000
 #: A folder of more names than this is listed by several tasks.
 _PAGE = 20000
+#: By so many at most: each reads all of its names, and looks up its own.
+_PAGES = 16
 
 
 def _store(root: str):
@@ -46,14 +48,14 @@ def _scanned(base: str, folder: str, page: int, pages: int) -> Iterator[Entry]:
     """(path, mtime_ns, size, kind) in a local folder: files and folders that are no links, but for .git.
 
     With ``pages`` only the names of one page, by their hash; with none, a folder of more than
-    ``_PAGE`` names gives one row of kind pages (their number as its size) in place of its entries.
+    ``_PAGE`` names gives one row of kind pages (their number, at most ``_PAGES``, as its size) in place of its entries.
     """
     try:
         if not pages:
             with os.scandir(f"{base}/{folder}") as names:
                 n = sum(1 for _ in names)
             if n > _PAGE:
-                yield folder, 0, -(-n // _PAGE), "pages"
+                yield folder, 0, min(-(-n // _PAGE), _PAGES), "pages"
                 return
         with os.scandir(f"{base}/{folder}") as names:
             for entry in names:
@@ -288,19 +290,45 @@ class Table(Corpus):
         return self.frame
 
 
+def _dealt(frame: DataFrame) -> DataFrame:
+    """The frame in a part for each core at least."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def write_tree(files: DataFrame, root: str) -> None:
     """Write (path, content) as files below ``root``; a file that is there is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(root)
+        made: set[str] = set()
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(f"{base}/{path}", compression=None) as out:
-                    out.write(content)
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    _dealt(files.select("path", "content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def delete_files(paths: DataFrame, root: str) -> None:
+    """Delete the files of (path) below ``root`` in tasks; those that are not there are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    store.delete_file(f"{base}/{path}")
+                except FileNotFoundError:
+                    continue
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    _dealt(paths.select("path")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def as_corpus(corpus: Corpus | DataFrame) -> Corpus:

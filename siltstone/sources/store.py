@@ -189,7 +189,7 @@ class Index:
             out["gone"] = self.spark.read.schema("path string").parquet(self.store.at(name, "gone")).count()
         if lists is not None:
             # few lists are one file, and not very many a file a task: sorted, so that row groups are skipped as folders are
-            table = P.joined_lists(lists, (size or 0) <= _SMALL).sortWithinPartitions("tbucket", "trigram", "block")
+            table = P.joined_lists(lists, (size or 0) <= _SMALL, size or 0).sortWithinPartitions("tbucket", "trigram", "block")
             (table.write if (size or 0) <= _PLAIN else table.write.partitionBy("tbucket")).parquet(self.store.at(name, "postings"))
             written = self.spark.read.schema(LISTS).parquet(self.store.at(name, "postings"))
             P.document_frequency(written).write.parquet(self.store.at(name, "stats"))
@@ -298,17 +298,17 @@ class Index:
             rows = stays.withColumn("reason", F.lit(None).cast("string")).select("file_id", "path", "mtime_ns", "size", "content_hash", "reason").unionByName(self._rejected(moved.filter("listed")))
             lists = forward = None
             if stats["added"] or stats["changed"]:
-                content = corpus.reading(stays.filter("status in ('added', 'changed')").select("path", "size", "file_id"))
+                fresh = stays.filter("status in ('added', 'changed')").select("path", "size", "file_id")
+                content = corpus.reading(fresh)
                 changed = moved.filter("status = 'changed'").select("file_id")
                 if self.forward:
                     forward = checkpointed(P.forward_rows(content))
                     few = [r[0] for r in changed.limit(_PUSHED + 1).collect()]
                     old = self.trigrams_of(few, manifest) if len(few) <= _PUSHED else self._read(manifest["generations"], "forward", FORWARD, "forward").join(changed, "file_id", "left_semi").groupBy("file_id").agg(F.max_by("trigrams", "seq").alias("trigrams"))
-                    pairs = checkpointed(P.forward_delta(forward, old))
+                    lists = checkpointed(P.listed(P.forward_delta(forward, old)))
                 else:
-                    pairs = checkpointed(P.new_pairs(P.trigram_pairs(content), self.postings(manifest), changed))
-                stats["trigrams_rewritten"] = U.lists_rewritten(pairs).first()[0]
-                lists = P.listed(pairs)
+                    lists = checkpointed(P.lacking(P.short_lists(content), self.postings(manifest), changed, fresh.agg(F.sum("size")).first()[0] or 0))
+                stats["trigrams_rewritten"] = U.lists_rewritten(lists).first()[0]
             record = self._write("gen", rows, lists, moved.filter("known"), forward, level=0)
             if self._commit(manifest, {"generations": [*manifest["generations"], record], "last_id": max(manifest["last_id"], record["last"])}):
                 self._merge_like()
@@ -381,10 +381,10 @@ class Index:
         corpus = as_corpus(corpus)
 
         def made(manifest: dict) -> dict:
-            content = corpus.reading(self.files(manifest).select("path", "size", "file_id"))
-            true = P.trigram_pairs(content)
-            known = self.postings(manifest).select("trigram", F.explode("ids").alias("file_id")).distinct().join(true, ["trigram", "file_id"], "left_semi")
-            return self._write("gen", self._entries(manifest["generations"]), P.listed(known), forward=P.forward_rows(content) if self.forward else None)
+            live = self.files(manifest).select("path", "size", "file_id")
+            content = corpus.reading(live)
+            true = P.in_both(self.postings(manifest), P.short_lists(content), live.agg(F.sum("size")).first()[0] or 0)
+            return self._write("gen", self._entries(manifest["generations"]), true, forward=P.forward_rows(content) if self.forward else None)
 
         self._alone(made)
 

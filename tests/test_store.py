@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import postings as P
 from siltstone.operators import update as U
 from siltstone.sources import corpus as C
 from siltstone.sources.store import FANOUT, Index, Pieces, first_in_index, index_folder, search_index, summary
@@ -546,3 +547,42 @@ def test_first_hits_read_little(spark, tmp_path):
 
     got = S.first_hits_of(live, read, plan("late needle"), 3, first=2, most=100)
     assert [r["file_id"] for r in got.collect()] == [562, 563, 564]
+
+
+def _lists(spark, rows):
+    return spark.createDataFrame(rows, "trigram int, block long, ids array<long>")
+
+
+def test_lists_are_compared_without_a_row_for_each_pair(spark):
+    new = _lists(spark, [(1, 0, [1, 5]), (1, 0, [3]), (2, 0, [5]), (3, 1, [70000])])
+    old = _lists(spark, [(1, 0, [3, 4]), (1, 0, [1]), (2, 0, [5, 6]), (4, 0, [9])])
+    changed = spark.createDataFrame([(3,), (5,)], "file_id long")
+
+    def rows(frame):
+        return sorted((r["trigram"], r["block"], r["ids"]) for r in frame.collect())
+
+    assert rows(P.lacking(new, old)) == [(1, 0, [5]), (3, 1, [70000])]
+    assert rows(P.lacking(new, old, changed)) == [(1, 0, [1, 5]), (3, 1, [70000])]  # 1 is no changed file
+    assert rows(P.lacking(new, old, size=1 << 30)) == [(1, 0, [5]), (3, 1, [70000])]
+    assert rows(P.in_both(old, new)) == [(1, 0, [1, 3]), (2, 0, [5])]
+    files = spark.createDataFrame([(6,), (3,)], "file_id long")
+    assert {r["cause"]: r["pairs"] for r in P.stale(old, new, files).collect()} == {"lost_trigram": 1, "tombstone": 2}
+    plan = P.lacking(new, old)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_more_text_is_joined_by_more_tasks(spark):
+    lists = spark.range(1000).selectExpr("cast(id as int) as trigram", "id * 9 as block", "array(id) as ids")
+    few, many = (P.joined_lists(lists, size=size) for size in (0, 10 * P._TASK))
+    assert many.rdd.getNumPartitions() == 10 > few.rdd.getNumPartitions()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_files_of_a_tree_are_written_and_deleted_by_tasks(spark, tmp_path):
+    files = spark.createDataFrame([(f"d{k % 3}/f{k}", b"x") for k in range(60)], "path string, content binary").coalesce(1)
+    assert C._dealt(files).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    C.write_tree(files, str(tmp_path))
+    assert C.Tree(spark, str(tmp_path)).listing().count() == 60
+    missing = spark.createDataFrame([("d0/none",)], "path string")
+    C.delete_files(files.select("path").union(missing), str(tmp_path))
+    assert C.Tree(spark, str(tmp_path)).listing().count() == 0
