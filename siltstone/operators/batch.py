@@ -4,10 +4,10 @@
 2. Patterns are taken in slices of at most about ``_SLICE`` rows; a slice is known to all tasks.
 3. The files that hold the rarest trigram of any of a slice's patterns come from the index; only
    their content is read (of all files, if a pattern has no literal of three bytes).
-4. One Aho-Corasick automaton of the slice's literals goes over each text once and gives the (file,
-   pattern) pairs in which all literals of the pattern occur.
-5. Each regular expression runs over the lines of its own pairs. Pairs of a file with very many patterns
-   are dealt out in groups, so that one file is not the work of one task.
+4. One Aho-Corasick automaton of the slice's literals goes over each line once and gives the (file,
+   pattern) pairs with the lines in which all literals of the pattern occur in their order.
+5. Each regular expression is compiled once a pair and runs over these lines only. The pairs are dealt out
+   anew, so that a file with very many patterns is not the work of one task.
 """
 
 from __future__ import annotations
@@ -21,13 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import binary_content
-from ..functions.text import lines
 from ..plans.pattern import PatternError, plan, required_literals
 from ..shared import checkpointed
 from . import postings as P
 
-#: Patterns that tasks know at once, about; and patterns of one file that are tested together.
-_SLICE, _TOGETHER = 20000, 64
+#: Patterns that tasks know at once, about; patterns of one file that are tested together; and characters of lines in an Arrow batch.
+_SLICE, _TOGETHER, _WRITTEN = 20000, 64, 1 << 23
+
+
+def _lines_of(text: str | None) -> list[str]:
+    """The lines of a text, as ``lines`` tells them."""
+    body = text.removesuffix("\n") if text else ""
+    return body.split("\n") if body else []
+
+
+def _in_order(line: str, runs: list[str]) -> bool:
+    """Whether a line holds the runs one behind the other, as every match does."""
+    at = 0
+    for r in runs:
+        at = line.find(r, at)
+        if at < 0:
+            return False
+        at += len(r)
+    return True
 
 
 def planned(patterns: DataFrame, id: str = "pattern_id", pattern: str = "pattern") -> DataFrame:
@@ -40,7 +56,7 @@ def planned(patterns: DataFrame, id: str = "pattern_id", pattern: str = "pattern
             for text in batch.column("pattern").to_pylist():
                 try:
                     query = plan(text)
-                    runs = [r.decode() for r in required_literals(text) if len(r) >= 3] if query.required else []
+                    runs = [r.decode() for r in required_literals(text)]
                     rows.append((query.java, runs, list(query.required or ()), None))
                 except (PatternError, TypeError) as e:
                     rows.append((None, None, None, f"{text}: {e}"))
@@ -67,38 +83,61 @@ def _rarest(part: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def pairs_in(content: DataFrame, part: DataFrame) -> DataFrame:
-    """(file_id, text, ids): texts of (file_id, text) with the numbers of the patterns whose literals they hold, some at a time."""
+    """(file_id, lines, ids, at): lines of (file_id, text), and for some patterns at a time their numbers and the
+    places of the lines, among these, that hold all literals of the pattern in order; all lines if it has none."""
     rows = part.select("number", "literals").toArrow()
-    needs = dict(zip(rows.column("number").to_pylist(), (set(x) for x in rows.column("literals").to_pylist()), strict=True))
+    needs = dict(zip(rows.column("number").to_pylist(), rows.column("literals").to_pylist(), strict=True))
     kind = content.schema["file_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        always = [k for k, runs in needs.items() if not runs]
-        users: dict[str, list[int]] = {}
+        bare = [k for k, runs in needs.items() if not runs]
+        # the automaton has one literal of a pattern, the longest; those of one or two bytes are in most lines
+        short, users = [], {}
         for k, runs in needs.items():
-            for r in runs:
+            r = max(runs, key=len, default="")
+            if len(r.encode()) >= 3:
                 users.setdefault(r, []).append(k)
+            elif r:
+                short.append(k)
         known = ahocorasick.Automaton()
-        for r in users:
-            known.add_word(r, r)
+        for r, ids in users.items():
+            known.add_word(r, (r, ids))
         known.make_automaton()
+
+        def places_of(held: list[str]) -> list[tuple[int, list[int]]]:
+            own: dict[int, list[int]] = {k: list(range(len(held))) for k in bare} if held else {}
+            for place, line in enumerate(held):
+                met = dict(x for _, x in known.iter(line)) if users else {}
+                for ids in (short, *met.values()):
+                    for k in ids:
+                        if _in_order(line, needs[k]):
+                            own.setdefault(k, []).append(place)
+            return list(own.items())
+
+        def written(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["file_id", "lines", "ids", "at"])
+
         for batch in batches:
-            places, ids = [], []
-            for place, text in enumerate(batch.column("text").to_pylist()):
-                met: dict[int, int] = {}
-                for r in {r for _, r in known.iter(text)} if users and text else ():
-                    for k in users[r]:
-                        met[k] = met.get(k, 0) + 1
-                own = always + [k for k, n in met.items() if n == len(needs[k])]
-                for at in range(0, len(own), _TOGETHER):
-                    places.append(place)
-                    ids.append(own[at : at + _TOGETHER])
-            at = pa.array(places, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("file_id").take(at), batch.column("text").take(at), pa.array(ids, pa.list_(pa.int64()))], names=["file_id", "text", "ids"])
-
-    return content.select("file_id", "text").mapInArrow(run, f"file_id {kind}, text string, ids array<long>")
+            found, size = [], 0
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                held = _lines_of(text)
+                own = places_of(held)
+                for k in range(0, len(own), _TOGETHER):
+                    numbers, places = zip(*own[k : k + _TOGETHER], strict=True)
+                    used = sorted(set().union(*places))
+                    new = {place: n for n, place in enumerate(used)}
+                    found.append((row, [held[place] for place in used], numbers, [[new[x] for x in some] for some in places]))
+                    size += sum(len(held[place]) for place in used) + sum(map(len, places))
+                    if size >= _WRITTEN:
+                        yield written(batch.column("file_id"), found)
+                        found, size = [], 0
+            yield written(batch.column("file_id"), found)
+
+    return content.select("file_id", "text").mapInArrow(run, f"file_id {kind}, lines array<string>, ids array<long>, at array<array<int>>")
 
 
 def batch_table(content: DataFrame, patterns: DataFrame, postings: DataFrame, stats: DataFrame | None = None, files: DataFrame | None = None, id: str = "pattern_id", pattern: str = "pattern", pushed: int = 1000) -> DataFrame:
@@ -121,8 +160,11 @@ def batch_table(content: DataFrame, patterns: DataFrame, postings: DataFrame, st
             few = [r[0] for r in chosen.limit(pushed + 1).collect()]
             live = live.join(chosen, "file_id", "left_semi") if len(few) > pushed else live.filter(F.col("file_id").isin(few) if few else F.lit(False))
         pairs = pairs_in(live.filter(~binary_content(F.encode("text", "UTF-8"))), part).hint("rebalance")
-        rows = pairs.select("file_id", lines(F.col("text")).alias("lines"), F.explode("ids").alias("number"))
+        rows = pairs.select("file_id", "lines", F.explode(F.arrays_zip("ids", "at")).alias("p")).select("file_id", F.transform("p.at", lambda x: F.col("lines")[x]).alias("own"), F.col("p.ids").alias("number"))
         rows = rows.join(F.broadcast(part.select("number", F.col("pattern_id").alias(id), "java")), "number")  # at most a slice of rows
-        found = rows.select(id, "file_id", F.size(F.filter("lines", lambda x: F.rlike(x, F.col("java")))).cast("long").alias("n_lines")).filter("n_lines > 0")
+        # not rlike, which compiles a column's pattern again for each line; the lines of a pair stay together, so this compiles it
+        # once. The outer form has Spark infer no filter that would gather the lines twice; no pair is without lines
+        found = rows.select(id, "file_id", "java", F.explode_outer("own").alias("line")).filter(F.regexp_instr("line", F.col("java")) > 0)
+        found = found.groupBy(id, "file_id").agg(F.count("*").alias("n_lines"))
         out = found if out is None else out.union(found)
     return out

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.files import binary_content, binary_name, index_reason
 from siltstone.functions.text import highlighted, lines, spans
+from siltstone.operators import batch as B
 from siltstone.operators import postings as P
 from siltstone.operators import search as S
 from siltstone.plans.pattern import plan
@@ -109,6 +110,20 @@ def test_batch(content, postings):
     assert got == [(1, 1, 1), (1, 2, 1), (2, 4, 2)]
 
 
+def test_regular_expressions_see_only_lines_with_their_literals(spark):
+    """Of each file and pattern only the lines that hold its literals in order are handed on, and the hits are those of a search."""
+    texts = {1: "foo bar\nnothing\nbar foo\nof foo, of bar\n", 2: "\n\nxxy 7\n", 3: "", 4: None, 5: "foo\nbar", 6: "aé-b\r\nFOO abd"}
+    content = spark.createDataFrame([(k, f"p{k}", t) for k, t in texts.items()], "file_id long, path string, text string")
+    patterns = {1: "foo.*bar", 2: "of", 3: "[0-9]", 4: "(?i)foo", 5: "x{2}y", 6: "(ab|c)d", 7: "^$", 8: "é.b", 9: "foo\nbar", 10: "a.*(b)+", 11: "of.*of"}
+    known = B.planned(spark.createDataFrame(list(patterns.items()), "pattern_id int, pattern string")).withColumn("number", F.col("pattern_id").cast("long"))
+    got = {(r["file_id"], k): [r["lines"][x] for x in at] for r in B.pairs_in(content, known).collect() for k, at in zip(r["ids"], r["at"], strict=True)}
+    assert got[1, 1] == ["foo bar", "of foo, of bar"] and got[1, 2] == got[1, 11] == ["of foo, of bar"] and got[2, 3] == ["", "", "xxy 7"]
+    assert (5, 1) not in got and (5, 9) not in got and not any(file in (3, 4) for file, _ in got)
+    hits = {(k, r["file_id"]): r["n_lines"] for k, p in patterns.items() for r in S.hits_per_file(S.search(content, p)).collect()}
+    found = S.batch(content, patterns, P.inverted(content.filter("text is not null").select("file_id", F.encode("text", "UTF-8").alias("content")))).collect()
+    assert {(r["pattern_id"], r["file_id"]): r["n_lines"] for r in found} == hits and len(found) == len(hits)
+
+
 def test_lines(spark):
     df = spark.createDataFrame([("a\nb\n",), ("a\n\nb",), ("",), ("\n",), ("\n\n",), (None,)], "s string")
     assert [r[0] for r in df.select(lines(F.col("s"))).collect()] == [["a", "b"], ["a", "", "b"], [], [], ["", ""], []]
