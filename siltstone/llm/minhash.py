@@ -158,22 +158,25 @@ def central_candidates(entries: DataFrame, percent: int) -> DataFrame:
     return chosen.select(F.least("id", "c.o").alias("a"), F.greatest("id", "c.o").alias("b")).distinct()
 
 
-def _ranked_items(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """(id, c, n, x, i, s0, ...): the first items of each set, rarest first; i is the item's rank from 0.
+#: Items of a prefix that travel with its entries.
+_CARRIED = 64
 
-    Items of one set only need no row, but count in the ranks of those behind them.
+
+def _prefixes(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(id, h, c, n, own, within): the first items of each set, rarest first.
+
+    Items of one set only (there are ``own``) need no row, but count in the ranks of those behind them.
     """
     item = checkpointed(sets.join(component, "id").select("id", "h", "n", "c", F.explode("items").alias("x")))
     often = checkpointed(item.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"))
     shared = item.join(often, "x").groupBy("id", "h", "n", "c").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common"))
     shared = shared.withColumn("own", F.col("n") - F.size("common"))
     # a set's partner has at least percent of its items, and all but (100 - percent) of them in common
-    within = F.expr(f"slice(common, 1, cast(greatest(0, {100 - percent} * n div 100 + 1 - own) as int))")
-    first = shared.select("id", "h", "c", "n", "own", within.alias("within")).join(sets.select("id", "h", *_PARITY), ["id", "h"])
-    return first.select("id", "c", "n", "own", *_PARITY, F.posexplode("within").alias("k", "e")).select("id", "c", "n", F.col("e.x").alias("x"), (F.col("own") + F.col("k")).alias("i"), *_PARITY)
+    within = F.expr(f"slice(common.x, 1, cast(greatest(0, {100 - percent} * n div 100 + 1 - own) as int))")
+    return shared.select("id", "h", "c", "n", "own", within.alias("within"))
 
 
-def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def prefix_meetings(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that may be links, by an exact prefix filter.
 
     All sets are ordered in one way, rarest items first. A link has an overlap of
@@ -183,27 +186,40 @@ def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> Da
     meet in steps of 5 %. Where most entries of an item and step are of one component,
     these are met with the others only. Of the pairs that meet, those whose parities differ
     in more places than the items of a link can are dropped in the join, before any is written.
+
+    A pair is due at the first item that the two have in common. So an entry carries the items before it
+    (the prefix's first ``_CARRIED``), and is met by no entry that carries one of these too: it was due there.
+    Only pairs whose first common item is behind these are given more than once.
     """
-    ranked = checkpointed(_ranked_items(sets, component, percent))
+    prefixes = checkpointed(_prefixes(sets, component, percent))
+    ranked = prefixes.select("id", "h", "c", "n", "own", F.posexplode("within").alias("k", "x")).select("id", "h", "c", "n", "x", "k", (F.col("own") + F.col("k")).alias("i"))
     step = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
     # the smaller one: overlap >= 2 * percent / (100 + percent) of its size
     small = ranked.filter(f"{100 + percent} * (n - i) >= {2 * percent} * n").withColumn("q", step)
     upto = f"least(n, ({100 + percent} * (n - i)) div {percent} - n)"
     large = ranked.withColumn("most", F.expr(upto)).withColumn("least", F.expr(f"greatest(1, n * {percent} div 100)")).filter("most >= least")
     steps = F.sequence(F.floor(F.log("least") / F.log(F.lit(1.05))).cast("int"), F.floor(F.log("most") / F.log(F.lit(1.05))).cast("int"))
-    large = large.select("id", "c", "n", "x", "i", *_PARITY, F.explode(steps).alias("q"))
-    columns = ["x", "q", "id", "c", "n", "i", *_PARITY]
+    large = large.select("id", "h", "c", "n", "x", "k", "i", F.explode(steps).alias("q"))
+    columns = ["x", "q", "id", "h", "c", "n", "k", "i"]
     entries = checkpointed(small.select(*columns, F.lit(False).alias("is_large")).union(large.select(*columns, F.lit(True))))
     each = entries.groupBy("x", "q", "c").agg(F.count("*").alias("m"), F.max("is_large").alias("l"), F.min("is_large").alias("s"))
     most = each.groupBy("x", "q").agg(F.max(F.struct("m", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("l").alias("l"), F.min("s").alias("s"))
     most = checkpointed(most.filter("lo < hi and l and not s").select("x", "q", F.col("top.c").alias("top")))
-    met = checkpointed(entries.join(most, ["x", "q"]).withColumn("is_top", F.col("c") == F.col("top")).drop("top"))
-    one, other = met.filter("is_large").drop("is_large"), met.filter("not is_large").drop("is_large").select("x", "q", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "n", "i", "is_top", *_PARITY)])
+    met = entries.join(most, ["x", "q"]).withColumn("is_top", F.col("c") == F.col("top")).drop("top")
+    carried = prefixes.select("id", "h", F.slice("within", 1, _CARRIED).alias("within")).join(sets.select("id", "h", *_PARITY), ["id", "h"])
+    met = met.join(carried, ["id", "h"]).withColumn("before", F.slice("within", F.lit(1), F.least("k", F.lit(_CARRIED)))).drop("within", "h", "k")
+    met = checkpointed(met)
+    one, other = met.filter("is_large").drop("is_large"), met.filter("not is_large").drop("is_large").select("x", "q", *[F.col(k).alias(f"o_{k}") for k in ("id", "c", "n", "i", "is_top", "before", *_PARITY)])
     differ = " + ".join(f"bit_count({s} ^ o_{s})" for s in _PARITY)
-    fits = F.expr(f"c <> o_c and n >= o_n and {100 + percent} * least(n - i, o_n - o_i) >= {percent} * (n + o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (n + o_n)")
+    fits = F.expr(f"c <> o_c and (n > o_n or n = o_n and id > o_id) and {100 + percent} * least(n - i, o_n - o_i) >= {percent} * (n + o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (n + o_n) and not arrays_overlap(before, o_before)")
     found = [one.filter("not is_top").join(other, ["x", "q"]).filter(fits), one.filter("is_top").join(other.filter("not o_is_top"), ["x", "q"]).filter(fits)]
     found = [f.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")) for f in found]
-    return found[0].union(found[1]).distinct()
+    return found[0].union(found[1])
+
+
+def prefix_candidates(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs that meet by their prefixes, once each."""
+    return prefix_meetings(sets, component, percent).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 12, rows: int = 3) -> DataFrame:

@@ -715,6 +715,22 @@ def test_pages_of_one_template_meet_few_others(spark, monkeypatch):
     assert sum(got[k] == least[k] for k in got) >= 0.99 * len(got)
 
 
+@pytest.mark.parametrize("carried", [64, 2])
+def test_a_pair_is_written_at_its_first_common_item(spark, monkeypatch, carried):
+    """Sets with many items in common meet once, not once an item; with few items carried no link is lost either."""
+    chance = np.random.default_rng(5)
+    base, pool = chance.integers(0, 1 << 62, 100).astype(np.uint64), chance.integers(0, 1 << 62, 30).astype(np.uint64)
+    found = [np.unique(np.concatenate([base[np.sort(chance.choice(100, 92, replace=False))], chance.choice(pool, 8 + k % 3, replace=False)])) for k in range(60)]
+    rows = [(k, 1, len(x), x.view(np.int64).tolist(), *minhash._parities(x).tolist()) for k, x in enumerate(found)]
+    sets = spark.createDataFrame(rows, "id long, h long, n long, items array<long>, " + ", ".join(f"{s} long" for s in minhash._PARITY))
+    component = spark.createDataFrame([(k, k - k % 2) for k in range(60)], "id long, c long")
+    monkeypatch.setattr(minhash, "_CARRIED", carried)
+    met = [tuple(r) for r in minhash.prefix_meetings(sets, component, 80).collect()]
+    links = {(a, b) for b in range(60) for a in range(b - b % 2) if 180 * len(np.intersect1d(found[a], found[b])) >= 80 * (len(found[a]) + len(found[b]))}
+    assert len(links) > 50 and links <= set(met)
+    assert len(met) == len(set(met)) or carried == 2
+
+
 def test_parities_differ_in_no_more_places_than_items():
     chance = np.random.default_rng(8)
     for n in (1, 40, 300, 5000):
