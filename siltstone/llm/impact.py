@@ -3,14 +3,14 @@
 Vectors become whole numbers, floor(scale * x). Rows and queries are dealt out in blocks: a task has
 some queries and a span of rows, which it indexes and searches ``block`` rows at a time.
 
-* Index of a block: for each dimension its rows by value; the rows of one value are a segment,
-  and a segment's impact on a query is the query's component times its value.
-* Score at a time: impacts are quantised by powers of eight, and all segments of one level are
-  processed together, from the highest level down: each row sums what it has met.
-* After each of the last levels a row has an upper bound: its sum, and the largest impacts that are
-  left in all dimensions. The k-th best exact score so far (of earlier blocks, or of the k
+* Index of a block: the rows of one dimension whose values are of one level, by powers of four, are a
+  segment. A level's segments are kept as one matrix, a column for each dimension.
+* Score at a time: all segments of one level are processed together, for many queries at once, from
+  the highest level down: each row sums what it has met.
+* After each level a row has an upper bound: its sum, and the product of the query's length with that of
+  the row's values below the level. The k-th best exact score so far (of earlier blocks, or of the k
   rows with the largest sums) is the bar. Rows that can't reach it are proved out. Once few
-  are left, or nothing but impacts of zero and below is, the rest is scored exactly.
+  are left, or no lower level is, the rest is scored exactly.
 * The bar goes on from block to block within a task; the k best of each task meet in a window.
 
 So results are exact; the bar only saves work. Equal scores go to the smaller key.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-#: Impacts of one level differ by this factor at most.
-_BASE = 8
+#: Values of one level differ by this factor at most, but for the highest level, which has all above; queries whose sums are held together.
+_BASE, _ABREAST = 4, 128
 
 
 @dataclass(frozen=True)
@@ -44,95 +44,78 @@ class Search:
     scale: int = 64
     #: Rows that are indexed together, blocks that a task searches one after another, and its queries.
     block: int = 4096
-    span: int = 32
-    queries: int = 64
+    span: int = 8
+    queries: int = 512
     #: The share of a block (1 / rest) that may be left to score exactly when levels stop.
     rest: int = 4
 
 
 class Segments:
-    """A block's posting lists: for each dimension its rows by value, ascending."""
+    """A block's rows by levels of their values, from the highest down."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.single = values.astype(np.float32)
         self.bound = max(1, int(np.abs(values).max(initial=0)))
-        d = values.shape[1]
-        lists = np.ascontiguousarray(values.T)
-        # small numbers are sorted by their digits
-        order = np.argsort(lists.astype(np.int16) if self.bound < 1 << 15 else lists, axis=1, kind="stable")
-        ordered = np.take_along_axis(lists, order, 1)
-        self.rows, self.held = order.ravel(), ordered.ravel().astype(np.float64)
-        self.least, self.most = values.min(axis=0), values.max(axis=0)
-        self.low, self.width = int(values.min()), int(values.max()) - int(values.min()) + 2
-        self.starts = np.arange(d) * self.width
-        self.keys = (ordered - self.low + self.starts[:, None]).ravel()
-
-    def first(self, value: np.ndarray) -> np.ndarray:
-        """In each dimension the first posting of at least a value."""
-        return np.searchsorted(self.keys, np.clip(value - self.low, 0, self.width - 1) + self.starts)
-
-    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact scores of some rows; in single precision where that holds all whole numbers on the way."""
-        if self.bound * int(np.abs(q).max()) * len(q) < 1 << 24:
-            return (self.single[rows] @ q.astype(np.float32)).astype(np.int64)
-        return self.values[rows] @ q
-
-
-def _levels(index: Segments, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(first, last, floor, left): the postings of each dimension whose impact is ``floor`` or more, and
-    below the level before; and what all dimensions' lower impacts can add up to."""
-    up, live = q > 0, q != 0
-    divisor = np.where(live, q, 1)
-
-    def edges(floor: int) -> np.ndarray:
-        # up: the first posting with enough impact; down: one behind the last
-        return index.first(np.where(up, -(-floor // divisor), floor // divisor + 1))
-
-    largest = np.maximum(q * index.least, q * index.most)
-    most = int(largest.max(initial=0))
-    floor = 1
-    while _BASE * floor <= most:
-        floor *= _BASE
-    before = edges(most + 1)
-    while floor:
-        now = edges(floor)
-        first, last = np.where(up, now, before), np.where(up, before, now)
-        yield first, np.where(live, last, first), floor, int(np.clip(largest, 0, floor - 1).sum())
-        before, floor = now, floor // _BASE
-
-
-def possible_rows(index: Segments, q: np.ndarray, own: list[int], k: int, bar: int | None, rest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores): all rows of a block that can be among the k best, with their exact scores; ``own`` rows are barred."""
-    n = len(index.values)
-    sums = np.zeros(n)
-    left, raised = None, False
-    for first, last, floor, more in _levels(index, q):
-        some = np.flatnonzero(last > first)
-        if len(some):
-            spans = [slice(a, b) for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
-            gain = np.concatenate([index.held[s] for s in spans])
-            gain *= np.repeat(q[some], (last - first)[some])
-            sums += np.bincount(np.concatenate([index.rows[s] for s in spans]), gain, n)
-        if floor > _BASE * _BASE:
-            continue
-        if not raised:
+        self._levels: dict[type, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def kind(self, asked: np.ndarray) -> type:
+        """Single precision where that holds all whole numbers on the way."""
+        return np.float32 if self.bound * int(np.abs(asked).max(initial=0)) * asked.shape[1] < 1 << 24 else np.float64
+
+    def levels(self, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(segments, left): a level's segments as one matrix, and the lengths of the rows' lower values."""
+        if kind not in self._levels:
+            size, floor, out = np.abs(self.values), 1, []
+            while _BASE * _BASE * floor <= self.bound:
+                floor *= _BASE
+            above = self.bound + 1
+            while floor:
+                lower = np.where(size < floor, self.values, 0).astype(np.float64)
+                out.append((np.where((size >= floor) & (size < above), self.values, 0).astype(kind), np.sqrt((lower * lower).sum(axis=1))))
+                above, floor = floor, floor // _BASE
+            self._levels[kind] = out
+        return self._levels[kind]
+
+    def scores(self, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs of a row and a query."""
+        parts = [np.einsum("ij,ij->i", self.values[rows[k : k + 8192]], asked[queries[k : k + 8192]]) for k in range(0, len(rows), 8192)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def possible_pairs(index: Segments, asked: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int, bars: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, queries, scores): all pairs of a block that can be among the k best of their query, with exact scores.
+
+    ``own`` pairs are barred; ``bars`` has what a query's rows must reach, minus infinity if that isn't known.
+    """
+    n, m, kind = len(index.values), len(asked), index.kind(asked)
+    turned, bars = np.ascontiguousarray(asked.T).astype(kind), bars.astype(np.float64)
+    length = np.sqrt((asked.astype(np.float64) ** 2).sum(axis=1))
+    slack = 1 + 1e-6 * index.bound * float(np.abs(asked).max(initial=0)) * asked.shape[1]
+    sums, left = np.zeros((n, m), kind), np.ones((n, m), bool)
+    for level, (segments, lower) in enumerate(index.levels(kind)):
+        sums += segments @ turned
+        if not level:
             # the k rows with the largest sums so far: their k-th exact score is met by k rows
-            raised = True
             sums[own] = -np.inf
-            likely = np.argpartition(-sums, k - 1)[:k] if n - len(own) >= k else np.zeros(0, np.int64)
-            if len(likely):
-                least = int(index.scores(likely, q).min())
-                bar = least if bar is None else max(bar, least)
-        if bar is not None:
-            left = sums + more >= bar
-            if np.count_nonzero(left) * rest <= n:
-                break
-    if left is None:
-        left = np.ones(n, bool)
+            fresh = np.flatnonzero(np.isneginf(bars) & (n - np.bincount(own[1], minlength=m) >= k))
+            if len(fresh):
+                likely = np.argpartition(-sums[:, fresh], k - 1, axis=0)[:k].ravel() if n > k else np.repeat(np.arange(n), len(fresh))
+                bars[fresh] = index.scores(likely, asked, np.tile(fresh, k)).reshape(k, -1).min(axis=0)
+        left = sums >= (bars - slack - np.multiply.outer(lower * (1 + 1e-6), length)).astype(kind)
+        if np.count_nonzero(left) * rest <= n * m:
+            break
     left[own] = False
-    rows = np.flatnonzero(left)
-    return rows, index.scores(rows, q)
+    rows, queries = np.nonzero(left)
+    scores = index.scores(rows, asked, queries)
+    able = scores >= bars[queries]
+    return rows[able], queries[able], scores[able]
+
+
+def possible_rows(index: Segments, q: np.ndarray, own: list[int], k: int, bar: int | None, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores): all rows of a block that can be among the k best of one query; ``own`` rows are barred."""
+    barred = np.array(own, dtype=np.int64)
+    rows, _, scores = possible_pairs(index, q[None], (barred, np.zeros_like(barred)), k, np.array([-np.inf if bar is None else bar]), rest)
+    return rows, scores
 
 
 def _tasks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -192,18 +175,23 @@ def top_k(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str
                 asking += list(values)
                 best += [[] for _ in names]
                 continue
-            index, place, sought = Segments(values), {}, set(searched)
-            for k, name in enumerate(names):
-                if name in sought:
-                    place.setdefault(name, []).append(k)
-            for k, (name, q) in enumerate(zip(searched, asking, strict=True)):
-                bar = -best[k][-1][0] if len(best[k]) == how.k else None
-                near, scores = possible_rows(index, q, place.get(name, []), how.k, bar, how.rest)
-                if len(scores) > how.k:
-                    bar = max(int(np.partition(scores, -how.k)[-how.k]), scores.min() if bar is None else bar)
-                if bar is not None:
-                    near, scores = near[scores >= bar], scores[scores >= bar]
-                best[k] = heapq.nsmallest(how.k, [*best[k], *((-int(s), names[r]) for r, s in zip(near, scores, strict=True))])
+            index, sought = Segments(values), {}
+            for k, name in enumerate(searched):
+                sought.setdefault(name, []).append(k)
+            barred = [(row, k) for row, name in enumerate(names) for k in sought.get(name, ())]
+            barred = np.array(barred, dtype=np.int64).reshape(-1, 2)
+            for first in range(0, len(searched), _ABREAST):
+                some = np.array(asking[first : first + _ABREAST])
+                bars = np.array([-near[-1][0] if len(near) == how.k else -np.inf for near in best[first : first + _ABREAST]])
+                own_here = barred[(barred[:, 1] >= first) & (barred[:, 1] < first + _ABREAST)]
+                near, asker, scores = possible_pairs(index, some, (own_here[:, 0], own_here[:, 1] - first), how.k, bars, how.rest)
+                order = np.argsort(asker, kind="stable")
+                edge = np.searchsorted(asker[order], np.arange(len(some) + 1))
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    at = order[edge[k] : edge[k + 1]]
+                    if len(at) > how.k:
+                        at = at[scores[at] >= np.partition(scores[at], -how.k)[-how.k]]
+                    best[first + k] = heapq.nsmallest(how.k, [*best[first + k], *((-s, names[r]) for r, s in zip(near[at].tolist(), scores[at].tolist(), strict=True))])
         if best:
             yield results()
 

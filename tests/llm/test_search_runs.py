@@ -77,6 +77,23 @@ def test_a_stop_is_proved():
     assert set(np.flatnonzero(exact >= bar)) - {3} <= set(rows.tolist())
 
 
+@pytest.mark.parametrize("high", [20, 1 << 19])
+def test_queries_of_a_task_are_searched_together(high):
+    """One pass over a block for many queries gives each one's k best, with its own rows barred."""
+    chance = np.random.default_rng(7)
+    values, asked = (chance.normal(0, high / 4, (n, 16)).astype(np.int64).clip(-high, high) for n in (700, 40))
+    own = (np.arange(40) * 3, np.arange(40))
+    bars = np.where(np.arange(40) % 2, -np.inf, 1.0)
+    rows, queries, scores = impact.possible_pairs(impact.Segments(values), asked, own, 9, bars, 4)
+    exact = values @ asked.T
+    assert (scores == exact[rows, queries]).all() and len(rows) < 0.6 * exact.size
+    exact[own] = exact.min() - 1
+    for k in range(40):
+        best = set(np.flatnonzero(exact[:, k] >= max(np.sort(exact[:, k])[-9], bars[k])).tolist())
+        mine = rows[queries == k].tolist()
+        assert best <= set(mine) and 3 * k not in mine
+
+
 def test_op11_on_the_driver_s_rows(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = impact.op11_top_k(spark, SF).collect()
